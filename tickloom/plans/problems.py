@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.operators import attributes, grid, spikes, timestamps
+from tickloom.operators import attributes, drift, grid, spikes, timestamps
 
 CODE = r"upper(regexp_replace(contract, '^\s+|\s+$', '', 'g'))"
 TRADE_DATE = "cast(({} + interval 6 hours) at time zone 'America/New_York' as date)"
@@ -11,6 +11,7 @@ TRADE_DATE = "cast(({} + interval 6 hours) at time zone 'America/New_York' as da
 def queries() -> dict:
     return {
         "p1_found": spikes.p1_found,
+        "p2_found": drift.p2_found,
         "p3_found": timestamps.p3_found,
         "p5_found": attributes.p5_found,
         "p5_attributes": attributes.p5_attributes,
