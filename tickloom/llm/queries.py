@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tickloom.llm import nearest
+from tickloom.llm import nearest, prose
 
 
 def queries() -> dict:
-    return {"p4_found": nearest.p4_found}
+    return {
+        "p4_found": nearest.p4_found,
+        "p9_found": prose.p9_found,
+        "p9_statistics": prose.p9_statistics,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
