@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tickloom.llm import nearest, prose
+from tickloom.llm import mixing, nearest, packing, prose
 
 
 def queries() -> dict:
     return {
         "p4_found": nearest.p4_found,
+        "p7_packed": packing.p7_packed,
+        "p7_report": packing.p7_report,
+        "p8_mixture": mixing.p8_mixture,
+        "p8_shares": mixing.p8_shares,
         "p9_found": prose.p9_found,
         "p9_statistics": prose.p9_statistics,
     }
