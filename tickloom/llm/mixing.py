@@ -5,7 +5,8 @@ golden-ratio point frac(j * 0.618...) lies, so every stretch of the mixture has
 Slots are ranked per source. Each source's documents, shuffled by hash, form a tape as long as its repeats allow; the tape is
 cut into blocks of a slot's tokens (a document lies in the block it begins in) and block r goes to the source's r-th slot.
 
-The length of the mixture is the largest at which every source that has documents reaches its share within its cap. Tape
+The mixture is as long as the documents of its sources together. A source whose cap keeps it under its share gives all its
+cap allows, and what it lacks goes to the others in proportion to their targets, so those keep their ratios. Tape
 places and ranks are prefix sums in two levels: within shards of a bounded number of rows and over the table of shards, so a
 source with a third of all documents is many tasks.
 """
@@ -21,7 +22,7 @@ from tickloom.llm.tokens import TOKENIZER, token_counts
 from tickloom.runtime import durable, table
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-BLOCK_TOKENS = 2048
+BLOCK_TOKENS = 1024
 SHARD_DOCUMENTS = 4096
 SLOT_CHUNK = 65_536
 #: Sources a table of targets may name; its rows go to every task.
@@ -37,13 +38,29 @@ def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
     return sorted((r["source"], r["share"], r["repeats"]) for r in rows)
 
 
-def mixture(counts: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def amounts(wanted: dict[str, float], most: dict[str, float], total: float) -> dict[str, float]:
+    """Sizes per source that add up to ``total`` if they can: in proportion to ``wanted``, but for sources held at ``most``."""
+    out: dict[str, float] = {}
+    free = dict(wanted)
+    while free:
+        rest, weight = total - sum(out.values()), sum(free.values())
+        held = [s for s, w in free.items() if most[s] < rest * w / weight]
+        if not held:
+            return out | {s: rest * w / weight for s, w in free.items()}
+        for s in held:
+            out[s] = float(most[s])
+            del free[s]
+    return out
+
+
+def mixture(counts: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None) -> DataFrame:
     """(slot, place, doc_id, source, use, tokens): the documents of the mixture in order of slot and place.
 
     ``counts`` is what token_counts gives. ``use`` counts the uses of a document from 1. Sources are compared without case and
     outer blanks; those without a target are not used, those without documents leave their share to the others in proportion. A doc_id
-    repeated in the table counts once, with its smallest size. No document is cut or used more than max_repeats times. If there is
-    too little of a source for one block, or a table is empty, the result is empty.
+    repeated in the table counts once, with its smallest size. No document is cut or used more than max_repeats times.
+    ``total_tokens`` is the size of the mixture, by default that of the sources' documents. With less than one block in all,
+    or an empty table, the result is empty.
     """
     col = F.col
     wanted = _targets(targets)
@@ -58,18 +75,16 @@ def mixture(counts: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_
     used = [(s, w, k, *have[s]) for s, w, k in wanted if s in have]
     if not used:
         return empty
-    whole = sum(w for _, w, *_ in used)
-    length = min(k * tokens * whole / w for _, w, k, tokens, _ in used)
-    slots = int(length / block_tokens)
-    # a low-discrepancy count strays by a few slots from its share; the tightest source must not run out
-    slots = max(0, slots - (2 + int(math.log2(slots)) if slots > 8 else 0))
+    sizes = amounts({s: w for s, w, *_ in used}, {s: k * tokens for s, _, k, tokens, _ in used}, total_tokens or sum(u[3] for u in used))
+    whole = sum(sizes.values())
+    slots = int(whole / block_tokens)
     if not slots:
         return empty
     # slots, owners and ranks per owner
     owner = F.lit(used[-1][0])
     point = F.pmod(col("id") * F.lit(GOLDEN), F.lit(1.0))
     for i in range(len(used) - 2, -1, -1):
-        owner = F.when(point < sum(u[1] for u in used[: i + 1]) / whole, used[i][0]).otherwise(owner)
+        owner = F.when(point < sum(sizes[u[0]] for u in used[: i + 1]) / whole, used[i][0]).otherwise(owner)
     line = spark.range(slots).select(col("id").alias("slot"), owner.alias("source"), F.floor(col("id") / SLOT_CHUNK).alias("chunk"))
     ahead = line.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     ahead = ahead.select("source", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
