@@ -52,13 +52,13 @@ def log_equity(spark, folder):
 def met_summary(spark, folder):
     s = metrics.summary(trades_of(spark, folder), RUN)
     names = ["win_rate", "avg_win_usd", "avg_loss_usd", "profit_factor", "expectancy_usd", "trades_per_week", "sharpe", "sortino", "calmar", "max_drawdown_usd", "max_drawdown_pct", "avg_mae_points", "avg_mfe_points"]
-    return s.select("run_id", "total_trades", F.col("max_consec_losses").cast("bigint"), F.col("drawdown_duration_days").cast("bigint"), *_r(*names, d=8))
+    return s.select("run_id", "total_trades", F.col("max_consec_losses").cast("bigint"), F.col("drawdown_duration_days").cast("bigint"), *_r(*names, d=9))
 
 
 def met_subperiods(spark, folder):
     """The summary per run and month of exit, each with its own equity."""
     t = trades_of(spark, folder).withColumn("period", F.date_format("exit_ts", "yyyy-MM"))
-    return metrics.summary(t, ["run_id", "period"]).select("run_id", "period", "total_trades", *_r("win_rate", "profit_factor", "sharpe", "calmar", "max_drawdown_usd", d=8))
+    return metrics.summary(t, ["run_id", "period"]).select("run_id", "period", "total_trades", *_r("win_rate", "profit_factor", "sharpe", "calmar", "max_drawdown_usd", d=9))
 
 
 def met_extended_risk(spark, folder):
@@ -228,7 +228,7 @@ CO = "c0 as (select day, sum(pnl) as pnl from dp group by 1), c1 as (select *, s
 
 def oracle_sql() -> dict[str, str]:
     ev = "ev as (select unnest([" + ", ".join(f"date '{x}'" for x in EVENT_DAYS) + "]) as event_date)"
-    su_cols = "round(wr, 8) as win_rate, round(coalesce(sw, 0) / nullif(abs(sl), 0), 8) as profit_factor, round(sharpe, 8) as sharpe, round(tot / nullif(span, 0) * 252 / nullif(abs(dd), 0), 8) as calmar, round(dd, 8) as max_drawdown_usd"
+    su_cols = "round(wr, 9) as win_rate, round(coalesce(sw, 0) / nullif(abs(sl), 0), 9) as profit_factor, round(sharpe, 9) as sharpe, round(tot / nullif(span, 0) * 252 / nullif(abs(dd), 0), 9) as calmar, round(dd, 9) as max_drawdown_usd"
     acf = "a0 as (select root, net_pnl_usd - avg(net_pnl_usd) over (partition by root) as x, var_pop(net_pnl_usd) over (partition by root) as v, count(*) over (partition by root) as n, exit_ts, entry_ts, trade_id from d), " + "ac as (" + " union all ".join(f"select root, {k} as lag, any_value(n) as n, avg(x * l) / nullif(any_value(v), 0) as acf from (select *, lag(x, {k}) over (partition by root order by {O}) as l from a0 where n >= 7) group by root" for k in range(1, 6)) + ")"
     sized = {
         "equal_weight": "select day, run_id, pnl, 1.0 / k as w from kk",
@@ -244,7 +244,7 @@ def oracle_sql() -> dict[str, str]:
         "log_give_back": f"with {T} select trade_id, round(mfe_r, 6) as mfe_r, net_pnl_usd from d where mfe_r > 1 and net_pnl_usd < 0 order by d.mfe_r desc, trade_id limit 30",
         "log_streaks": f"with {T}, r0 as (select run_id, net_pnl_usd <= 0 as losing, row_number() over (partition by run_id order by {O}) - row_number() over (partition by run_id, net_pnl_usd <= 0 order by {O}) as k from d), r1 as (select run_id, losing, k, count(*) as length from r0 group by 1, 2, 3) select run_id, losing, length, count(*) as n from r1 group by 1, 2, 3",
         "log_equity": f"with {T}, {_equity('run_id')} select run_id, trade_id, round(equity, 4) as equity, round(peak, 4) as peak, round(drawdown, 4) as drawdown from e",
-        "met_summary": f"with {T}, {_summary('run_id')} select run_id, n as total_trades, coalesce(mcl, 0) as max_consec_losses, coalesce(dur, 0) as drawdown_duration_days, {su_cols}, round(aw, 8) as avg_win_usd, round(al, 8) as avg_loss_usd, round(ex, 8) as expectancy_usd, round(n / nullif(span / 7, 0), 8) as trades_per_week, round(sortino, 8) as sortino, round(dd / nullif(abs(pk), 0), 8) as max_drawdown_pct, round(mae, 8) as avg_mae_points, round(mfe, 8) as avg_mfe_points from su",
+        "met_summary": f"with {T}, {_summary('run_id')} select run_id, n as total_trades, coalesce(mcl, 0) as max_consec_losses, coalesce(dur, 0) as drawdown_duration_days, {su_cols}, round(aw, 9) as avg_win_usd, round(al, 9) as avg_loss_usd, round(ex, 9) as expectancy_usd, round(n / nullif(span / 7, 0), 9) as trades_per_week, round(sortino, 9) as sortino, round(dd / nullif(abs(pk), 0), 9) as max_drawdown_pct, round(mae, 9) as avg_mae_points, round(mfe, 9) as avg_mfe_points from su",
         "met_subperiods": f"with {T}, dd as (select *, strftime(exit_ts at time zone 'UTC', '%Y-%m') as period from d), {_summary('run_id, period', 'dd')} select run_id, period, n as total_trades, {su_cols} from su",
         "met_extended_risk": f"with {T}, {_equity('run_id')}, x as (select run_id, count(*) as n, arg_max(equity, ({O})) as last, max(-drawdown) as dd, avg(-drawdown) as pain, sqrt(avg(case when peak > 0 then (drawdown / peak) * (drawdown / peak) else 0 end)) as ui, greatest(floor((epoch_us(max(exit_ts)) - epoch_us(min(exit_ts))) / 86400000000), 1) as days, quantile_cont(net_pnl_usd, 0.95) as hi, quantile_cont(net_pnl_usd, 0.05) as lo, sum(greatest(net_pnl_usd, 0)) as g, sum(greatest(-net_pnl_usd, 0)) as l from e group by 1) select run_id, round(last / days * 252 / nullif(dd, 0), 5) as mar, round(ui, 5) as ulcer_index, round(last / days * 252 / nullif(ui, 0), 5) as ulcer_performance, round(last / nullif(dd, 0), 5) as recovery, round(last / nullif(pain, 0), 5) as pain_ratio, round(abs(hi) / nullif(abs(lo), 0), 5) as tail_ratio, round(g / nullif(l, 0), 5) as omega from x where n >= 2",
         "met_drawdowns": f"with {T}, {_equity('run_id')}, {_spells('run_id')} select run_id, epoch_us(start_ts) as start_us, epoch_us(trough_ts) as trough_us, round(depth_usd, 5) as depth_usd, round(depth_usd / nullif(abs(peak_usd), 0), 5) as depth_pct, points, days from sp",
