@@ -15,11 +15,15 @@ from tickloom.functions.nulls import ratio
 from tickloom.operators.grid import trade_date
 
 KEYS, ORDER = ["symbol", "timeframe"], ["timestamp_utc"]
-SERIES = Window.partitionBy(*KEYS).orderBy(*ORDER)
+
+
+def series():
+    """The window of one series in order of time."""
+    return Window.partitionBy(*KEYS).orderBy(*ORDER)
 
 
 def rolling(n: int, lag: int = 0):
-    return SERIES.rowsBetween(-(n - 1) - lag, -lag)
+    return series().rowsBetween(-(n - 1) - lag, -lag)
 
 
 def full(value: Column, of: Column, n: int, lag: int = 0) -> Column:
@@ -53,7 +57,7 @@ def order_flow_imbalance(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def true_range(df: DataFrame, out: str = "true_range") -> DataFrame:
-    before = F.lag("close").over(SERIES)
+    before = F.lag("close").over(series())
     return df.withColumn(out, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
@@ -130,15 +134,15 @@ def recursive(df: DataFrame, *, ema: tuple[int, ...] = (), atr: int | None = Non
 def macd_state(df: DataFrame, hist: str = "macd_hist") -> DataFrame:
     """From a MACD histogram: above zero, slope, bars since its sign changed, and its run towards or away from zero."""
     h = F.col(hist)
-    df = df.withColumns({"macd_hist_above_zero": F.coalesce(h > 0, F.lit(False)), "macd_hist_slope": h - F.lag(h).over(SERIES), "__s": F.signum(h), "__d": F.signum(F.abs(h) - F.abs(F.lag(h).over(SERIES)))})
-    crossed = h.isNotNull() & (F.lag("__s").over(SERIES).isNull() | (F.col("__s") != F.lag("__s").over(SERIES)))
-    df = df.withColumn("__g", F.sum(crossed.cast("int")).over(SERIES))
+    df = df.withColumns({"macd_hist_above_zero": F.coalesce(h > 0, F.lit(False)), "macd_hist_slope": h - F.lag(h).over(series()), "__s": F.signum(h), "__d": F.signum(F.abs(h) - F.abs(F.lag(h).over(series())))})
+    crossed = h.isNotNull() & (F.lag("__s").over(series()).isNull() | (F.col("__s") != F.lag("__s").over(series())))
+    df = df.withColumn("__g", F.sum(crossed.cast("int")).over(series()))
     df = df.withColumn("bars_since_zero_cross", F.when(h.isNotNull(), F.row_number().over(Window.partitionBy(*KEYS, "__g").orderBy(*ORDER)) - 1))
     # runs: zero counts as below; a regime starts at +1, rises go up from there, falls down from 0; equal sizes leave the run as it is
     side = F.when(h > 0, 1).when(h.isNotNull(), -1)
     df = df.withColumn("__side", side)
-    new = h.isNotNull() & (F.lag("__side").over(SERIES).isNull() | (F.col("__side") != F.lag("__side").over(SERIES)))
-    df = df.withColumns({"__new": new, "__r": F.sum(new.cast("int")).over(SERIES)})
+    new = h.isNotNull() & (F.lag("__side").over(series()).isNull() | (F.col("__side") != F.lag("__side").over(series())))
+    df = df.withColumns({"__new": new, "__r": F.sum(new.cast("int")).over(series())})
     regime = Window.partitionBy(*KEYS, "__r").orderBy(*ORDER)
     df = df.withColumn("__dir", F.when(F.col("__new"), 1).when(F.col("__d") != 0, F.col("__d").cast("int")))
     df = df.withColumn("__dir", F.last("__dir", ignorenulls=True).over(regime))
@@ -154,8 +158,8 @@ def session_vwap(df: DataFrame, gap_minutes: int = 60, widths: tuple[float, ...]
 
     Sums are taken of closes less the session's first, so the variance does not cancel.
     """
-    gap = F.unix_micros("timestamp_utc") - F.lag(F.unix_micros("timestamp_utc")).over(SERIES)
-    df = df.withColumn("session_id", F.sum(F.coalesce((gap > gap_minutes * 60_000_000).cast("int"), F.lit(0))).over(SERIES))
+    gap = F.unix_micros("timestamp_utc") - F.lag(F.unix_micros("timestamp_utc")).over(series())
+    df = df.withColumn("session_id", F.sum(F.coalesce((gap > gap_minutes * 60_000_000).cast("int"), F.lit(0))).over(series()))
     return _vwap(df, ["session_id"], "vwap_session", widths)
 
 

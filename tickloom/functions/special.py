@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EULER_GAMMA = 0.5772156649
 _NORMAL = NormalDist()
@@ -49,17 +50,17 @@ def chi2_sf(x: float, k: int) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return pd.Series(normal_cdf_array(x.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda v: _NORMAL.inv_cdf(v) if v is not None and 0 < v < 1 else None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(v, int(n)) if v == v and n == n else np.nan for v, n in zip(x.astype("float64"), k.astype("float64"))])
 

@@ -38,14 +38,14 @@ def attributes_at_event(events: DataFrame, history: DataFrame, *, event_id: str,
     A history row of attribute a counts if a is non-null (with ``complete``: if all attributes are), its valid date is
     before the event's trade date and it was known by the event. Among those the latest valid date wins, then the latest
     known_at, then the lowest row id. Events of one id repeated in the table count once, with the earliest event_ts (and the
-    lowest entity code where even those tie). Null entity, time or date: no match. Events without a match for any
+    lowest entity code where even those tie). Rows without id, entity, time or date match nothing and decide nothing. Events without a match for any
     attribute give no row; a missing attribute beside found ones is null. Entity codes are compared without case and
     outer blanks. Only the named columns are read, so extra ones may have any name. Empty tables give an empty result.
     """
     col = F.col
     ev = events.select(col(event_id).alias("at_id"), entity_code(col(entity)).alias("at_entity"), F.unix_micros(col(event_ts)).alias("at_us"))
+    ev = ev.where(col("at_id").isNotNull() & col("at_us").isNotNull() & col("at_entity").isNotNull())
     ev = ev.groupBy("at_id").agg(F.min(F.struct("at_us", "at_entity")).alias("at_first")).select("at_id", col("at_first.at_us").alias("at_us"), col("at_first.at_entity").alias("at_entity"))
-    ev = ev.where(col("at_us").isNotNull() & col("at_entity").isNotNull())
     ev = ev.select("at_entity", F.explode(F.array(*map(F.lit, attributes))).alias("at_name"), "at_us", "at_id")
 
     hist = history.select(entity_code(col(entity)).alias("at_entity"), col(valid_date).alias("at_date"), F.unix_micros(col(known_at)).alias("at_known"), col(row_id).cast("bigint").alias("at_row"), *[F.nanvl(col(a).cast("double"), F.lit(None).cast("double")).alias(f"at_v{i}") for i, a in enumerate(attributes)])

@@ -16,9 +16,11 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.segments import map_sorted_groups
 from tickloom.runtime import barrier, table
@@ -255,3 +257,85 @@ def p2_found(spark, folder: str) -> DataFrame:
     """Every change of a field against the contract's preceding file."""
     changes, _ = schema_changes(table(spark, folder, "raw_files"), table(spark, folder, "raw_records"))
     return changes.select("file_id", "field_name", "change")
+
+
+#: Names of the unified columns by what a field's name says, with their types. Fixed values.
+STANDARD = {
+    frozenset({"open"}): ("open", "double"), frozenset({"high"}): ("high", "double"), frozenset({"low"}): ("low", "double"), frozenset({"close"}): ("close", "double"), frozenset({"volume"}): ("volume", "bigint"),
+    frozenset({"up", "volume"}): ("buy_volume", "bigint"), frozenset({"down", "volume"}): ("sell_volume", "bigint"), frozenset({"up", "ticks"}): ("up_ticks", "bigint"), frozenset({"down", "ticks"}): ("down_ticks", "bigint"),
+    frozenset({"ticks"}): ("total_ticks", "bigint"), frozenset({"realtime"}): ("is_realtime", "boolean"), frozenset({"end"}): ("is_end_of_history", "boolean"),
+}
+
+
+def _roots(group: pa.Table) -> pa.RecordBatch | None:
+    """The renames of one contract in order of file_seq to spells (name, first_seq, last_seq, root)."""
+    live: dict[str, tuple[str, int | None]] = {}
+    out: list[tuple[str, int | None, int | None, str]] = []
+    seqs, olds, news = (group[c].to_pylist() for c in ("dr_seq", "dr_old", "dr_new"))
+    i = 0
+    while i < len(seqs):
+        j = i
+        while j < len(seqs) and seqs[j] == seqs[i]:
+            j += 1
+        # all renames of a file happen at once, so names may change places
+        roots = [(new, live.get(old, (old, None))[0], old) for old, new in zip(olds[i:j], news[i:j])]
+        for _, _, old in roots:
+            if old in live:
+                root, since = live.pop(old)
+                out.append((old, since, seqs[i] - 1, root))
+        for new, root, _ in roots:
+            live[new] = (root, seqs[i])
+        i = j
+    out += [(name, since, None, root) for name, (root, since) in live.items()]
+    c = group["dr_contract"][0].as_py()
+    cols = list(zip(*out)) if out else [[], [], [], []]
+    return pa.RecordBatch.from_pydict({"dr_contract": [c] * len(out), "dr_name": cols[0], "dr_since": cols[1], "dr_until": cols[2], "dr_root": cols[3]}, schema=pa.schema([("dr_contract", pa.string()), ("dr_name", pa.string()), ("dr_since", pa.int64()), ("dr_until", pa.int64()), ("dr_root", pa.string())]))
+
+
+def unified_records(files: DataFrame, records: DataFrame) -> DataFrame:
+    """One row per record id in one schema: record_id, file_id, contract, bar_no, the standard bar columns, and ``other``.
+
+    A field is followed back through its renames to its first name; that, or failing it the field's own name, tells the standard
+    column. ``other`` maps the first names of further fields to their values as text. A repeated record id counts once. Texts that are no
+    number are null in number columns; 0 and 1 are false and true. Files delivered again are read with the names of their first delivery.
+    """
+    col = F.col
+    changes, order = schema_changes(files, records)
+    ren = changes.where("change = 'renamed'").select(col("file_id").alias("dr_file"), col("old_name").alias("dr_old"), col("field_name").alias("dr_new")).join(order.select("dr_contract", "dr_file", "dr_seq"), "dr_file")
+    spells = map_sorted_groups(ren, ["dr_contract"], ["dr_seq", "dr_new"], _roots, "dr_contract string, dr_name string, dr_since long, dr_until long, dr_root string")
+    spells = spells.groupBy("dr_contract", "dr_name").agg(F.collect_list(F.struct("dr_since", "dr_until", "dr_root")).alias("dr_spells"))
+    hashed = files.select(col("file_id").cast("bigint").alias("dr_file"), col("file_seq").cast("bigint").alias("dr_seq")).where("dr_file is not null").groupBy("dr_file").agg(F.min("dr_seq").alias("dr_seq"))
+    first = files.select(col("contract").alias("dr_contract"), col("file_id").cast("bigint").alias("dr_file"), F.from_json("manifest", "map<string,string>").alias("dr_m"))
+    first = first.withColumn("dr_hash", F.array_max(F.filter(F.map_values("dr_m"), lambda v: v.rlike("^[0-9a-f]{12,64}$")))).where("dr_hash is not null").select("dr_contract", "dr_file", "dr_hash").join(hashed, "dr_file")
+    same = first.select("dr_contract", "dr_file", F.min("dr_seq").over(Window.partitionBy("dr_contract", "dr_hash")).alias("dr_first")).groupBy("dr_file").agg(F.min("dr_first").alias("dr_first"))
+    rec = records.where("record_id is not null").select(col("record_id").cast("bigint").alias("record_id"), col("file_id").cast("bigint").alias("dr_file"), col("contract").alias("dr_contract"), col("bar_no").cast("bigint").alias("bar_no"), col("payload").alias("dr_json"))
+    rec = rec.groupBy("record_id").agg(F.min(F.struct("dr_file", "dr_contract", "bar_no", "dr_json")).alias("x")).select("record_id", "x.*")
+    keys = ["record_id", "dr_file", "dr_contract", "bar_no"]
+    rec = rec.join(hashed, "dr_file", "left").join(same, "dr_file", "left").withColumn("dr_at", F.coalesce("dr_first", "dr_seq")).select(*keys, "dr_at", "dr_json")
+    vals = _values(rec, col("dr_json"), [*keys, "dr_at"], "record").join(spells, ["dr_contract", "dr_name"], "left")
+    hit = F.filter("dr_spells", lambda s: F.coalesce(s["dr_since"] <= col("dr_at"), F.lit(True)) & F.coalesce(s["dr_until"] >= col("dr_at"), F.lit(True)))
+    vals = vals.withColumn("dr_root", F.coalesce(F.try_element_at(hit, F.lit(1))["dr_root"], col("dr_name")))
+    vals = vals.withColumn("dr_std", F.coalesce(_standard("dr_root"), _standard("dr_name")))
+    out = []
+    for name, kind in STANDARD.values():
+        v = col("dr_number").cast("bigint") if kind == "bigint" else (col("dr_number") != 0) if kind == "boolean" else col("dr_number")
+        if kind == "boolean":
+            v = F.coalesce(v, F.when(F.lower("dr_text") == "true", True).when(F.lower("dr_text") == "false", False))
+        out.append(F.max(F.when(col("dr_std") == name, v)).alias(name))
+    rest = F.collect_list(F.when(col("dr_std").isNull() & col("dr_text").isNotNull(), F.struct("dr_root", "dr_text")))
+    wide = vals.groupBy(*keys).agg(*out, F.map_from_entries(F.array_sort(rest)).alias("other"))
+    blank = rec.select(*keys).join(wide.select("record_id"), "record_id", "left_anti")
+    return wide.unionByName(blank, allowMissingColumns=True).select("record_id", col("dr_file").alias("file_id"), col("dr_contract").alias("contract"), "bar_no", *[n for n, _ in STANDARD.values()], "other")
+
+
+@F.pandas_udf(T.StringType())
+def _standard(names: pd.Series) -> pd.Series:
+    known: dict = {}
+    for n in names.unique():
+        known[n] = None if n is None else STANDARD.get(frozenset(concepts(n)), (None,))[0]
+    return names.map(known)
+
+
+def p2_records(spark, folder: str) -> DataFrame:
+    """All records in one schema."""
+    return unified_records(table(spark, folder, "raw_files"), table(spark, folder, "raw_records"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def deflated_sharpe(trials: DataFrame, cohort: str = "cohort_label") -> DataFram
     b = best.select(cohort, "trials", "b.sharpe", F.coalesce("b.n_obs", F.lit(252)).alias("n"), F.coalesce("b.skewness", F.lit(0.0)).alias("s"), F.coalesce("b.kurtosis_pearson", F.lit(3.0)).alias("k"))
 
     @F.pandas_udf("double")
-    def bench(n):
+    def bench(n: pd.Series) -> pd.Series:
         return n.map(lambda v: expected_best_sharpe(int(v)))
 
     v = sharpe_variance(F.col("n"), F.col("sharpe"), F.col("s"), F.col("k"))

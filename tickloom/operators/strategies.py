@@ -77,7 +77,7 @@ def combine(df: DataFrame, long: Column, short: Column, stop: tuple[Column, Colu
 
 def from_rules(bars: DataFrame, config: dict, regimes: list[Column] | None = None) -> DataFrame:
     """Signals of a declared strategy: {knobs, entry: {long, short, time_window}, exits: {stop, target}}."""
-    compiler = Compiler(bars.columns, config.get("knobs") or {}, ind.SERIES)
+    compiler = Compiler(bars.columns, config.get("knobs") or {}, ind.series())
     entry, exits = config["entry"], config["exits"]
     window = entry.get("time_window")
     allowed = in_window(window["start_utc"], window["end_utc"]) if window else F.lit(True)
@@ -148,7 +148,7 @@ def donchian_breakout(bars: DataFrame, knobs: dict) -> DataFrame:
     need(bars, "close", "donchian_upper", "donchian_lower", "atr_14", "daily_ema_50", "daily_ema_200")
     k = {"stop": 2.0, "target": 3.0} | knobs
     c, atr = F.col("close"), F.col("atr_14")
-    up, down = F.lag("donchian_upper").over(ind.SERIES), F.lag("donchian_lower").over(ind.SERIES)
+    up, down = F.lag("donchian_upper").over(ind.series()), F.lag("donchian_lower").over(ind.series())
     bull = F.col("daily_ema_50") > F.col("daily_ema_200")
     return combine(bars, (c > up) & bull, (c < down) & (F.col("daily_ema_50") < F.col("daily_ema_200")), (c - k["stop"] * atr, c + k["stop"] * atr), (c + k["target"] * atr, c - k["target"] * atr))
 

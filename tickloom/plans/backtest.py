@@ -16,7 +16,7 @@ from tickloom.sources import broker
 
 RULES = Rules(tick_size=0.01, point_value=50.0, slippage_ticks=1.0, commission_per_side=2.0, quantity=1, eod_flat=True, rth_close_minute=960, max_holding_bars=40)
 CONFIG = {
-    "knobs": {"stop_mult": 1.5},
+    "knobs": {"stop_mult": 2.0},
     "entry": {"long": {"all": ["close < bb_lower"]}, "short": {"all": ["close > bb_upper"]}},
     "exits": {"stop": {"long": "close - stop_mult * half", "short": "close + stop_mult * half"}, "target": {"long": "bb_mid", "short": "bb_mid"}},
 }
@@ -39,7 +39,7 @@ def str_expression(spark, folder):
     from tickloom.functions.expressions import Compiler
 
     b = ind.sma(bars_of(spark, folder), 20)
-    c = Compiler(b.columns, {"k": 2.0}, ind.SERIES)
+    c = Compiler(b.columns, {"k": 2.0}, ind.series())
     return b.select(*ID, c.condition("close > shift(close, 3) and volume > k * 10").alias("up"), c.condition("sma_20 != close").alias("off"), c.condition("not (close - open > 0) or high - low == 0").alias("down"), c.condition("1 / (high - low) > 100").alias("tight"))
 
 
@@ -135,7 +135,7 @@ def rs_hash_bootstrap(spark, folder):
 
 
 def stat_tests(spark, folder):
-    b = bars_of(spark, folder).withColumn("x", F.ln("close") - F.lag(F.ln("close")).over(ind.SERIES)).where("x is not null")
+    b = bars_of(spark, folder).withColumn("x", F.ln("close") - F.lag(F.ln("close")).over(ind.series())).where("x is not null")
     return stationarity.tests(b, ["symbol"], ["timestamp_utc"], "x", max_lag=4).select("symbol", "test", *_r("statistic", "p_value", d=5), "n")
 
 
@@ -238,7 +238,7 @@ def oracle_sql() -> dict[str, str]:
     f20 = f"({S} rows between 19 preceding and current row)"
     band = f"""{B}, bb as (select *, case when count(close) over {f20} = 20 then avg(close) over {f20} end as mid, case when count(close) over {f20} = 20 then stddev_samp(close) over {f20} end as dev from b),
         k as (select *, round(mid, 9) as bb_mid, round(mid + 2 * dev, 9) as bb_upper, round(mid - 2 * dev, 9) as bb_lower, round(round(mid + 2 * dev, 9) - round(mid, 9), 9) as half from bb),
-        sg as (select *, case when close < bb_lower then 1 when close > bb_upper then -1 else 0 end as sig, case when close < bb_lower then close - 1.5 * half when close > bb_upper then close + 1.5 * half end as stop,
+        sg as (select *, case when close < bb_lower then 1 when close > bb_upper then -1 else 0 end as sig, case when close < bb_lower then close - 2 * half when close > bb_upper then close + 2 * half end as stop,
             case when close < bb_lower or close > bb_upper then bb_mid end as target from k)"""
     sim = f"""with recursive {band}, x as (select *, row_number() over (partition by symbol order by timestamp_utc) as n, count(*) over (partition by symbol) as nn, lead(open) over (partition by symbol order by timestamp_utc) as nxo, lead(timestamp_utc) over (partition by symbol order by timestamp_utc) as nxt,
             hour(timestamp_utc at time zone 'America/New_York') * 60 + minute(timestamp_utc at time zone 'America/New_York') as mi from sg),

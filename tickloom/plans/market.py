@@ -174,7 +174,7 @@ def ind_day_range_used(spark, folder):
 
 
 def ind_shift(spark, folder):
-    w = ind.SERIES
+    w = ind.series()
     return bars_of(spark, folder).select(*ID, F.lag("close", 3).over(w).alias("close_3"), F.lead("close", 1).over(w).alias("close_next"))
 
 

@@ -12,6 +12,7 @@ def queries() -> dict:
     return {
         "p1_found": spikes.p1_found,
         "p2_found": drift.p2_found,
+        "p2_records": drift.p2_records,
         "p3_found": timestamps.p3_found,
         "p5_found": attributes.p5_found,
         "p5_attributes": attributes.p5_attributes,
