@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.segments import map_sorted_groups
-from tickloom.runtime import barrier, table
+from tickloom.runtime import barrier, durable, table
 
 #: What the words in field names of market data stand for. Fixed values.
 VOCABULARY = {
@@ -219,8 +219,9 @@ def schema_changes(files: DataFrame, records: DataFrame) -> tuple[DataFrame, Dat
     Columns other than contract, file_id, file_seq, manifest, bar_no and payload are ignored. Empty tables give an empty result.
     """
     col = F.col
-    order = ordered_files(files)
+    order = durable(ordered_files(files))
     prof, values = profiles(files, records)
+    prof = durable(prof)
     cur = prof.join(order.where("dr_prev is not null").select("dr_file"), "dr_file").withColumn("dr_pair", col("dr_file")).withColumn("dr_role", F.lit(1))
     old = prof.join(order.where("dr_prev is not null").select(col("dr_file").alias("dr_pair"), col("dr_prev").alias("dr_file")), "dr_file").withColumn("dr_role", F.lit(0))
     both = cur.unionByName(old)
