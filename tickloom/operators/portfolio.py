@@ -9,6 +9,12 @@ from tickloom.functions.nulls import ratio
 from tickloom.operators.metrics import YEAR_DAYS
 
 
+def _corr(x: str, y: str, over=None):
+    """Pearson correlation, null without spread on either side."""
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return ratio(at(F.covar_pop(x, y)), at(F.stddev_pop(x)) * at(F.stddev_pop(y)))
+
+
 def aligned(daily: DataFrame) -> DataFrame:
     """Long (day, run_id, pnl) over every day any run has, zero where a run has none. The grid is days by runs."""
     return daily.select("day").distinct().crossJoin(daily.select("run_id").distinct()).join(daily, ["day", "run_id"], "left").fillna(0.0, ["pnl"])
@@ -30,17 +36,17 @@ def correlation(daily: DataFrame, method: str = "pearson") -> DataFrame:
         ties = Window.partitionBy("run_id", "pnl")
         d = d.withColumn("pnl", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
     a, b = d.select("day", F.col("run_id").alias("run_a"), F.col("pnl").alias("x")), d.select("day", F.col("run_id").alias("run_b"), F.col("pnl").alias("y"))
-    return a.join(b, "day").where("run_a < run_b").groupBy("run_a", "run_b").agg(F.corr("x", "y").alias("corr"))
+    return a.join(b, "day").where("run_a < run_b").groupBy("run_a", "run_b").agg(_corr("x", "y").alias("corr"))
 
 
 def rolling_correlation(daily: DataFrame, run_a: str, run_b: str, n: int = 60) -> DataFrame:
     d = aligned(daily).groupBy("day").agg(F.sum(F.when(F.col("run_id") == run_a, F.col("pnl")).otherwise(0.0)).alias("x"), F.sum(F.when(F.col("run_id") == run_b, F.col("pnl")).otherwise(0.0)).alias("y"))
     w = Window.partitionBy().orderBy("day").rowsBetween(-(n - 1), 0)
-    return d.select("day", F.when(F.count("*").over(w) == n, F.corr("x", "y").over(w)).alias("corr"))
+    return d.select("day", F.when(F.count("*").over(w) == n, _corr("x", "y", w)).alias("corr"))
 
 
 def benchmark_correlation(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return daily.join(benchmark.select("day", F.col("value").alias("b")), "day").groupBy("run_id").agg(F.corr("pnl", "b").alias("corr"), F.count("*").alias("days"))
+    return daily.join(benchmark.select("day", F.col("value").alias("b")), "day").groupBy("run_id").agg(_corr("pnl", "b").alias("corr"), F.count("*").alias("days"))
 
 
 def sized(daily: DataFrame, method: str, lookback: int = 60) -> DataFrame:

@@ -38,7 +38,7 @@ def str_expression(spark, folder):
     """The language's corners: shift, division by zero, inequality with a missing side."""
     from tickloom.functions.expressions import Compiler
 
-    b = ind.sma(bars_of(spark, folder), 20)
+    b = ind.sma(bars_of(spark, folder), 20).withColumn("sma_20", F.round("sma_20", 7))
     c = Compiler(b.columns, {"k": 2.0}, ind.series())
     return b.select(*ID, c.condition("close > shift(close, 3) and volume > k * 10").alias("up"), c.condition("sma_20 != close").alias("off"), c.condition("not (close - open > 0) or high - low == 0").alias("down"), c.condition("1 / (high - low) > 100").alias("tight"))
 
@@ -259,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
     runs = f"with {T}"
     return {
         "str_rule_signals": f"with {band} select symbol, timestamp_utc, cast(sig as int) as signal, round(stop, 9) as stop, round(target, 9) as target from sg",
-        "str_expression": f"with {B}, m as (select *, case when count(close) over {f20} = 20 then avg(close) over {f20} end as sma, lag(close, 3) over ({S}) as c3 from b) select symbol, timestamp_utc, coalesce(close > c3, false) and volume > 20 as up, coalesce(sma <> close, true) as off, not (close - open > 0) or high - low = 0 as down, case when high - low = 0 then true else 1 / (high - low) > 100 end as tight from m",
+        "str_expression": f"with {B}, m as (select *, case when count(close) over {f20} = 20 then avg(close) over {f20} end as sma, lag(close, 3) over ({S}) as c3 from b) select symbol, timestamp_utc, coalesce(close > c3, false) and volume > 20 as up, coalesce(round(sma, 7) <> close, true) as off, not (close - open > 0) or high - low = 0 as down, case when high - low = 0 then true else 1 / (high - low) > 100 end as tight from m",
         "str_volatility_regime": f"with {B}, t as (select *, greatest(high - low, abs(high - lag(close) over ({S})), abs(low - lag(close) over ({S}))) as tr from b), l as (select symbol, quantile_cont(tr, 0.75) as lim from t where day(timestamp_utc at time zone 'UTC') <= 20 group by 1) select t.symbol, timestamp_utc, coalesce(tr > 0 and tr <= lim, false) as calm from t left join l on t.symbol = l.symbol",
         "sim_trades": f"{sim} select symbol, case when d > 0 then 'long' else 'short' end as direction, epoch_us(ets) as entry_us, epoch_us(xts) as exit_us, reason as exit_reason, round(e, 8) as entry_price, round(price, 8) as exit_price, round(d * (price - e) * 50 - 0.01 * 50 * 2 - 4, 8) as net_pnl_usd, round(case when d > 0 then e - xlo else xhi - e end, 8) as mae_points, round(case when d > 0 then xhi - e else e - xlo end, 8) as mfe_points from tr",
         "wf_fold_bounds": f"with {B}, n as (select symbol, timestamp_utc, row_number() over (partition by symbol order by timestamp_utc) - 1 as i, count(*) over (partition by symbol) as t from b), s as (select *, (t - 90) // 4 as sz from n where t - 90 >= 40), f as (select *, case when i < sz then 0 when i >= (sz + 30) + 10 and i < (sz + 30) + 10 + sz then 1 when i >= 2 * (sz + 30) + 10 and i < 2 * (sz + 30) + 10 + sz then 2 when i >= 3 * (sz + 30) + 10 then 3 end as fold from s) select symbol, cast(fold as int) as fold, count(*) as bars, min(timestamp_utc) as first_ts from f where fold is not null group by 1, 2",

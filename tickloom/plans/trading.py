@@ -25,7 +25,7 @@ def daily_of(spark, folder):
 
 
 def log_derived(spark, folder):
-    return trades_of(spark, folder).select("trade_id", *_r("initial_risk_usd", "pnl_r", "mae_r", "mfe_r"), "hold_bars", "outcome", "entry_dow", "entry_hour")
+    return trades_of(spark, folder).select("trade_id", *_r("initial_risk_usd", "pnl_r", "mae_r", "mfe_r", d=9), "hold_bars", "outcome", "entry_dow", "entry_hour")
 
 
 def log_top_trades(spark, folder):
@@ -239,7 +239,7 @@ def oracle_sql() -> dict[str, str]:
     sizing = f"with {T}, {DP}, {ALIGN}, kk as (select *, count(*) over (partition by day) as k from al), " + ", ".join(f"z_{m} as (select day, sum(pnl * w) as pnl from ({q}) group by day), y_{m} as (select *, sum(pnl) over (order by day rows unbounded preceding) as eq from z_{m})" for m, q in sized.items())
     sizing += " " + " union all ".join(f"select '{m}' as method, round(sum(pnl), 4) as final_pnl, round(max(pk - eq), 4) as max_dd, round(sum(pnl) / (count(*) / 252.0) / nullif(max(pk - eq), 0), 4) as calmar, round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252), 4) as sharpe from (select *, max(eq) over (order by day rows unbounded preceding) as pk from y_{m})" for m in sized)
     return {
-        "log_derived": f"with {T} select trade_id, round(risk, 6) as initial_risk_usd, round(pnl_r, 6) as pnl_r, round(mae_r, 6) as mae_r, round(mfe_r, 6) as mfe_r, cast(greatest(0, round_even(hold_minutes / 5, 0)) as bigint) as hold_bars, case when net_pnl_usd > 0 then 'win' else 'loss' end as outcome, cast(entry_dow as int) as entry_dow, cast(entry_hour as int) as entry_hour from d",
+        "log_derived": f"with {T} select trade_id, round(risk, 9) as initial_risk_usd, round(pnl_r, 9) as pnl_r, round(mae_r, 9) as mae_r, round(mfe_r, 9) as mfe_r, cast(greatest(0, round_even(hold_minutes / 5, 0)) as bigint) as hold_bars, case when net_pnl_usd > 0 then 'win' else 'loss' end as outcome, cast(entry_dow as int) as entry_dow, cast(entry_hour as int) as entry_hour from d",
         "log_top_trades": f"with {T} (select trade_id, net_pnl_usd, 'best' as side from d order by net_pnl_usd desc nulls last, trade_id limit 20) union all (select trade_id, net_pnl_usd, 'worst' as side from d order by net_pnl_usd nulls first, trade_id limit 20)",
         "log_give_back": f"with {T} select trade_id, round(mfe_r, 6) as mfe_r, net_pnl_usd from d where mfe_r > 1 and net_pnl_usd < 0 order by d.mfe_r desc, trade_id limit 30",
         "log_streaks": f"with {T}, r0 as (select run_id, net_pnl_usd <= 0 as losing, row_number() over (partition by run_id order by {O}) - row_number() over (partition by run_id, net_pnl_usd <= 0 order by {O}) as k from d), r1 as (select run_id, losing, k, count(*) as length from r0 group by 1, 2, 3) select run_id, losing, length, count(*) as n from r1 group by 1, 2, 3",
