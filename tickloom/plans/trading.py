@@ -51,8 +51,9 @@ def log_equity(spark, folder):
 
 def met_summary(spark, folder):
     s = metrics.summary(trades_of(spark, folder), RUN)
-    names = ["win_rate", "avg_win_usd", "avg_loss_usd", "profit_factor", "expectancy_usd", "trades_per_week", "sharpe", "sortino", "calmar", "max_drawdown_usd", "max_drawdown_pct", "avg_mae_points", "avg_mfe_points"]
-    return s.select("run_id", "total_trades", F.col("max_consec_losses").cast("bigint"), F.col("drawdown_duration_days").cast("bigint"), *_r(*names, d=9))
+    means = ["avg_win_usd", "avg_loss_usd", "expectancy_usd", "avg_mae_points", "avg_mfe_points"]
+    names = ["win_rate", "profit_factor", "trades_per_week", "sharpe", "sortino", "calmar", "max_drawdown_usd", "max_drawdown_pct"]
+    return s.select("run_id", "total_trades", F.col("max_consec_losses").cast("bigint"), F.col("drawdown_duration_days").cast("bigint"), *_r(*means, d=11), *_r(*names, d=9))
 
 
 def met_subperiods(spark, folder):
@@ -169,7 +170,7 @@ def port_attribution(spark, folder):
 
 def port_capital(spark, folder):
     m = table(spark, folder, "instruments").select("symbol", (F.col("point_value") * 25).alias("margin"))
-    return portfolio.capital(trades_of(spark, folder), RUN, m).select("run_id", *_r("on_margin", "on_peak_capital", "on_max_dd", d=5))
+    return portfolio.capital(trades_of(spark, folder), RUN, m).select("run_id", *_r("on_margin", "on_peak_capital", "on_max_dd", d=9))
 
 
 def port_kelly(spark, folder):
@@ -244,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "log_give_back": f"with {T} select trade_id, round(mfe_r, 6) as mfe_r, net_pnl_usd from d where mfe_r > 1 and net_pnl_usd < 0 order by d.mfe_r desc, trade_id limit 30",
         "log_streaks": f"with {T}, r0 as (select run_id, net_pnl_usd <= 0 as losing, row_number() over (partition by run_id order by {O}) - row_number() over (partition by run_id, net_pnl_usd <= 0 order by {O}) as k from d), r1 as (select run_id, losing, k, count(*) as length from r0 group by 1, 2, 3) select run_id, losing, length, count(*) as n from r1 group by 1, 2, 3",
         "log_equity": f"with {T}, {_equity('run_id')} select run_id, trade_id, round(equity, 4) as equity, round(peak, 4) as peak, round(drawdown, 4) as drawdown from e",
-        "met_summary": f"with {T}, {_summary('run_id')} select run_id, n as total_trades, coalesce(mcl, 0) as max_consec_losses, coalesce(dur, 0) as drawdown_duration_days, {su_cols}, round(aw, 9) as avg_win_usd, round(al, 9) as avg_loss_usd, round(ex, 9) as expectancy_usd, round(n / nullif(span / 7, 0), 9) as trades_per_week, round(sortino, 9) as sortino, round(dd / nullif(abs(pk), 0), 9) as max_drawdown_pct, round(mae, 9) as avg_mae_points, round(mfe, 9) as avg_mfe_points from su",
+        "met_summary": f"with {T}, {_summary('run_id')} select run_id, n as total_trades, coalesce(mcl, 0) as max_consec_losses, coalesce(dur, 0) as drawdown_duration_days, {su_cols}, round(aw, 11) as avg_win_usd, round(al, 11) as avg_loss_usd, round(ex, 11) as expectancy_usd, round(n / nullif(span / 7, 0), 9) as trades_per_week, round(sortino, 9) as sortino, round(dd / nullif(abs(pk), 0), 9) as max_drawdown_pct, round(mae, 11) as avg_mae_points, round(mfe, 11) as avg_mfe_points from su",
         "met_subperiods": f"with {T}, dd as (select *, strftime(exit_ts at time zone 'UTC', '%Y-%m') as period from d), {_summary('run_id, period', 'dd')} select run_id, period, n as total_trades, {su_cols} from su",
         "met_extended_risk": f"with {T}, {_equity('run_id')}, x as (select run_id, count(*) as n, arg_max(equity, ({O})) as last, max(-drawdown) as dd, avg(-drawdown) as pain, sqrt(avg(case when peak > 0 then (drawdown / peak) * (drawdown / peak) else 0 end)) as ui, greatest(floor((epoch_us(max(exit_ts)) - epoch_us(min(exit_ts))) / 86400000000), 1) as days, quantile_cont(net_pnl_usd, 0.95) as hi, quantile_cont(net_pnl_usd, 0.05) as lo, sum(greatest(net_pnl_usd, 0)) as g, sum(greatest(-net_pnl_usd, 0)) as l from e group by 1) select run_id, round(last / days * 252 / nullif(dd, 0), 5) as mar, round(ui, 5) as ulcer_index, round(last / days * 252 / nullif(ui, 0), 5) as ulcer_performance, round(last / nullif(dd, 0), 5) as recovery, round(last / nullif(pain, 0), 5) as pain_ratio, round(abs(hi) / nullif(abs(lo), 0), 5) as tail_ratio, round(g / nullif(l, 0), 5) as omega from x where n >= 2",
         "met_drawdowns": f"with {T}, {_equity('run_id')}, {_spells('run_id')} select run_id, epoch_us(start_ts) as start_us, epoch_us(trough_ts) as trough_us, round(depth_usd, 5) as depth_usd, round(depth_usd / nullif(abs(peak_usd), 0), 5) as depth_pct, points, days from sp",
@@ -267,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "port_combined": f"with {T}, {DP}, {CO} select day, round(pnl, 4) as pnl, round(equity, 4) as equity, round(equity - peak, 4) as drawdown from co",
         "port_sizing": sizing,
         "port_attribution": f"with {T}, {DP}, {CO}, b as (select *, (equity - peak) / case when peak = 0 then 1e-9 else peak end as p from co), g as (select *, sum(case when p < 0 then 0 else 1 end) over (order by day) as g from b), s as (select min(day) as start_day, max(day) as end_day, min(p) as max_dd_pct, arg_min(day, (p, day)) as trough_day from g where p < 0 group by g having abs(min(p)) >= 0.01), x as (select start_day, trough_day, max_dd_pct, run_id, sum(pnl) as l from s join dp on dp.day between start_day and trough_day group by all), y as (select *, sum(l) over (partition by start_day) as t from x) select start_day, trough_day, run_id, round(max_dd_pct, 5) as max_dd_pct, round(l, 5) as loss_usd, round(t, 5) as total_loss_usd, round(case when t < 0 then l / t else 0 end, 5) as share from y",
-        "port_capital": f"with {T}, {_equity('run_id')}, a as (select run_id, arg_min(root, ({O})) as root, sum(net_pnl_usd) as net, max(equity) as top, max(-drawdown) as dd from e group by 1) select run_id, round(coalesce(net / nullif(i.point_value * 25, 0), 0), 5) as on_margin, round(net / (top + 100000), 5) as on_peak_capital, round(case when dd > 0 then net / dd end, 5) as on_max_dd from a left join instruments i on a.root = i.symbol",
+        "port_capital": f"with {T}, {_equity('run_id')}, a as (select run_id, arg_min(root, ({O})) as root, sum(net_pnl_usd) as net, max(equity) as top, max(-drawdown) as dd from e group by 1) select run_id, round(coalesce(net / nullif(i.point_value * 25, 0), 0), 9) as on_margin, round(net / (top + 100000), 9) as on_peak_capital, round(case when dd > 0 then net / dd end, 9) as on_max_dd from a left join instruments i on a.root = i.symbol",
         "port_kelly": f"with {T}, {DP}, k as (select *, exp(sum(ln(1 + pnl / 100000)) over (partition by run_id order by day rows unbounded preceding)) as c, pnl / 100000 as r from dp), m as (select *, max(c) over (partition by run_id order by day rows unbounded preceding) as p from k), z as (select run_id, avg(r) as m, var_samp(r) as v, max((p - c) / p) as h from m group by 1 having count(*) >= 2), f as (select *, case when v > 0 and m > 0 then m / v else 0 end as fk from z) select run_id, round(fk, 9) as full_kelly, round(fk / 2, 9) as half_kelly, round(case when h > 0 then least(fk, 0.2 / h) else fk end, 9) as dd_constrained_kelly, round(h, 9) as hist_max_dd from f",
         "port_rolling_correlation": f"with {T}, {DP}, z as (select day, sum(case when run_id = 'st-00' then pnl else 0 end) as x, sum(case when run_id = 'st-08' then pnl else 0 end) as y from dp group by 1) select day, round(case when count(*) over w = 10 then corr(x, y) over w end, 5) as corr from z window w as (order by day rows between 9 preceding and current row)",
     }
