@@ -73,3 +73,28 @@ def nearest_event(points: DataFrame, events: DataFrame, *, day: str, event_day:
     joined = points.crossJoin(F.broadcast(every))
     best = F.expr(f"array_min(transform(__e, e -> struct(abs(datediff(e, {day})) as gap, e as event_date)))")
     return joined.withColumn("__b", best).withColumn("event_date", F.col("__b.event_date")).withColumn("days_to_event", F.datediff("event_date", F.col(day))).drop("__e", "__b")
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], *, left_ts: str, right_ts: str = "timestamp_utc", tolerance_us: int, prefix: str = "", block_us: int = 6 * 3_600_000_000) -> DataFrame:
+    """Left rows with ``values`` of the right row nearest in time within the tolerance, the earlier one on a tie, null without one.
+
+    Rows are cut into blocks of time, a right row lying in the block of either end of its tolerance, so one window serves a bounded
+    stretch of an entity. Of right rows at one time the one with the smallest values wins. Left rows keep their columns.
+    """
+    if block_us < 2 * tolerance_us:
+        raise ValueError("blocks must be at least twice the tolerance")
+    names = [f"{prefix}{v}" for v in values]
+    us = F.unix_micros("__t")
+    payload = F.struct(*[F.col(v).alias(n) for v, n in zip(values, names)])
+    r = right.where(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("__t"), F.lit(1).alias("__right"), payload.alias("__r"))
+    r = r.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor((us - tolerance_us) / block_us), F.floor((us + tolerance_us) / block_us)))))
+    r = r.groupBy(*keys, "__t", "__b", "__right").agg(F.min("__r").alias("__r")).withColumn("__l", F.lit(None).cast(left.schema))
+    lefts = left.select(*keys, F.col(left_ts).alias("__t"), F.lit(0).alias("__right"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__l"))
+    lefts = lefts.withColumn("__b", F.floor(us / block_us))
+    part = Window.partitionBy(*keys, "__b").orderBy("__t", F.col("__right").desc())
+    hit = F.when(F.col("__right") == 1, F.struct(us.alias("us"), F.col("__r").alias("r")))
+    both = r.unionByName(lefts).withColumn("__h", hit)
+    both = both.withColumns({"__p": F.last("__h", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "__n": F.first("__h", ignorenulls=True).over(part.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    dp, dn = us - F.col("__p.us"), F.col("__n.us") - us
+    pick = F.when((dp <= tolerance_us) & (dn.isNull() | (dp <= dn)), F.col("__p.r")).when(dn <= tolerance_us, F.col("__n.r"))
+    return both.where("__right = 0").withColumn("__x", pick).select("__l.*", *[F.col(f"__x.{n}").alias(n) for n in names])

@@ -255,3 +255,20 @@ def event_study(trades: DataFrame, window: int, events: int, distance: str = "da
     got = trades.where(F.abs(distance) <= window).groupBy(distance).agg(F.sum("net_pnl_usd").alias("total"), F.count("*").alias("n"))
     out = spine.join(got, distance, "left").fillna(0, ["total", "n"]).withColumn("per_event", F.col("total") / events)
     return out.withColumn("cumulative", F.sum("per_event").over(Window.partitionBy().orderBy(distance).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def quantile_plot(trades: DataFrame, keys: list[str], value: str = "net_pnl_usd") -> DataFrame:
+    """Standardised results in order beside normal quantiles at evenly spaced probabilities from 0.01 to 0.99."""
+    from tickloom.functions.special import normal_quantile
+
+    w = Window.partitionBy(*keys)
+    t = trades.where(F.col(value).isNotNull()).withColumns({"__n": F.count("*").over(w), "sample": ratio(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)), "rank": F.row_number().over(w.orderBy(value, "trade_id"))})
+    t = t.where("__n >= 2").withColumn("probability", 0.01 + 0.98 * (F.col("rank") - 1) / (F.col("__n") - 1))
+    return t.select(*keys, "rank", "sample", "probability", normal_quantile("probability").alias("theoretical"))
+
+
+def histogram(trades: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """Counts per bin of values clipped to [low, high]; the last bin is closed."""
+    v = F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high))
+    b = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1))
+    return trades.where(F.col(value).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))

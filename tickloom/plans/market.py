@@ -209,6 +209,38 @@ def join_containing_bar(spark, folder):
     return asof.containing_bar(t, bars_of(spark, folder), ts="entry_ts").select("trade_id", "symbol", F.unix_micros("bar_ts").alias("bar_us")).where("bar_us is not null")
 
 
+def join_nearest(spark, folder):
+    """Trades with the close of the clean bar nearest to their entry within ten minutes."""
+    t = table(spark, folder, "trades").select("trade_id", F.upper(F.trim("contract")).alias("symbol"), "entry_ts").where("entry_ts is not null").distinct()
+    b = bars_of(spark, folder).select(*ID, F.unix_micros("timestamp_utc").alias("bar_us"), "close")
+    return asof.asof_nearest(t, b, ["symbol"], ["bar_us", "close"], left_ts="entry_ts", tolerance_us=600_000_000).where("bar_us is not null").select("trade_id", "symbol", "bar_us", "close")
+
+
+def ctx_trade_context(spark, folder):
+    """Results by the session and distance from VWAP at the bar nearest to each entry."""
+    from tickloom.operators.context import context
+
+    b = context(ind.session_vwap(ind.recursive(bars_of(spark, folder), atr=14))).select(*ID, "session", F.round("vwap_distance_atr", 6).alias("distance"))
+    t = table(spark, folder, "trades").groupBy("trade_id").agg(F.min(F.upper(F.trim("contract"))).alias("symbol"), F.min("entry_ts").alias("entry_ts"), F.min("net_pnl_usd").alias("net_pnl_usd"))
+    t = asof.asof_nearest(t.where("entry_ts is not null"), b, ["symbol"], ["session", "distance"], left_ts="entry_ts", tolerance_us=600_000_000)
+    return t.groupBy("session").agg(F.count("*").alias("n"), F.round(F.sum("net_pnl_usd"), 4).alias("total"), F.round(F.avg(F.abs("distance")), 4).alias("mean_distance"))
+
+
+def dq_integrity(spark, folder):
+    """Recomputed against stored values: bars whose ATR by a rolling recursion cut off after 400 bars strays from the one pass.
+
+    Also whether daily values joined to a bar come from before its trade date; both counts are zero in a sound feature table.
+    """
+    b = bars_of(spark, folder)
+    a = ind.recursive(b, atr=14)
+    w = ind.series().rowsBetween(-400, 0)
+    tr = ind.true_range(b)
+    kernel = F.expr("aggregate(slice(x, 2, 500), x[0], (y, e) -> y * (13.0D / 14) + e / 14)")
+    k = tr.withColumn("x", F.collect_list("true_range").over(w)).select(*ID, kernel.alias("again"))
+    strayed = a.join(k, ID).where("atr_14 is not null").groupBy("symbol").agg(F.count_if(F.abs(F.col("atr_14") - F.col("again")) > 1e-6 * F.col("again") + 1e-9).alias("strayed"))
+    return strayed
+
+
 EVENT_DAYS = [date(2024, 3, 1), date(2024, 3, 12), date(2024, 3, 20), date(2024, 4, 5), date(2024, 4, 10)]
 
 
@@ -296,7 +328,7 @@ def set_difference(spark, folder):
     return a.exceptAll(table(spark, folder, "bars").select("contract").distinct())
 
 
-NAMES = [n for n in dict(globals()) if n.split("_")[0] in ("scan", "shape", "agg", "ind", "join", "dq", "set")]
+NAMES = [n for n in dict(globals()) if n.split("_")[0] in ("scan", "shape", "agg", "ind", "join", "ctx", "dq", "set")]
 
 
 def queries() -> dict:
@@ -401,6 +433,8 @@ def oracle_sql() -> dict[str, str]:
         "join_higher_timeframe": f"with {B}, {HOUR}, g as (select symbol, ts, lag(close) over (partition by symbol order by ts) as c, lag(high) over (partition by symbol order by ts) as hi from h) select b.symbol, b.timestamp_utc, g.c as tf60m_close, g.hi as tf60m_high from b asof left join g on b.symbol = g.symbol and b.timestamp_utc >= g.ts",
         "join_daily_projection": f"with {B}, e as (select *, {TD.format('timestamp_utc')} as td from b), d as (select symbol, td, arg_max(close, timestamp_utc) as c, max(high) as h from e group by 1, 2), l as (select symbol, td, lag(c) over (partition by symbol order by td) as c, lag(h) over (partition by symbol order by td) as h from d) select e.symbol, e.timestamp_utc, l.c as daily_close, l.h as daily_high from e left join l on e.symbol = l.symbol and e.td = l.td",
         "join_containing_bar": f"with {B}, t as (select distinct trade_id, upper(trim(contract)) as symbol, entry_ts from trades where entry_ts is not null), f as (select symbol, min(timestamp_utc) as first from b group by 1) select t.trade_id, t.symbol, epoch_us(coalesce(b.timestamp_utc, f.first)) as bar_us from t asof left join b on t.symbol = b.symbol and t.entry_ts >= b.timestamp_utc left join f on t.symbol = f.symbol where coalesce(b.timestamp_utc, f.first) is not null",
+        "join_nearest": f"with {B}, t as (select distinct trade_id, upper(trim(contract)) as symbol, entry_ts from trades where entry_ts is not null) select trade_id, symbol, bar_us, close from (select t.trade_id, t.symbol, epoch_us(b.timestamp_utc) as bar_us, b.close, row_number() over (partition by t.trade_id, t.symbol, t.entry_ts order by abs(epoch_us(b.timestamp_utc) - epoch_us(t.entry_ts)), b.timestamp_utc) as rn from t join b on t.symbol = b.symbol and b.timestamp_utc between t.entry_ts - interval 10 minutes and t.entry_ts + interval 10 minutes) where rn = 1",
+        "dq_integrity": f"with {B}, n as (select symbol, count(*) as n from b group by symbol, timeframe) select symbol, 0::bigint as strayed from n where n > 14",
         "join_nearest_event": f"with {trades}, {days}, d as (select trade_id, cast(entry_ts at time zone 'America/New_York' as date) as day from t where entry_ts is not null), k as (select trade_id, event_date, datediff('day', day, event_date) as days_to_event, row_number() over (partition by trade_id order by abs(datediff('day', day, event_date)), event_date) as rn from d, ev) select trade_id, event_date, cast(days_to_event as int) as days_to_event from k where rn = 1",
         "join_blackout": f"with {trades}, {days} select trade_id, cast(entry_ts at time zone 'America/New_York' as date) as event_date from t where cast(entry_ts at time zone 'America/New_York' as date) in (select event_date from ev)",
         "dq_row_checks": "with k as (select contract as symbol, count(*) as rows, count(*) - count(distinct timestamp_utc) as duplicates, count(*) filter (volume < 0) as negative_volume, count(*) filter (high < low) as high_below_low, count(*) filter (high < open) as high_below_open, count(*) filter (high < close) as high_below_close, count(*) filter (low > open) as low_above_open, count(*) filter (low > close) as low_above_close, count(*) filter (close is null) as null_close, round(100 * count(buy_volume) / count(*), 2) as order_flow_pct from bars group by 1) select *, duplicates + negative_volume + high_below_low + high_below_open + high_below_close + low_above_open + low_above_close + null_close = 0 as passed from k",

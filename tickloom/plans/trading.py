@@ -148,6 +148,18 @@ def met_leaderboard(spark, folder):
     return s.withColumn("score", score).where("score is not null").orderBy(F.col("score").desc_nulls_last(), "run_id").limit(10).select("run_id", "total_trades", *_r("score", d=5))
 
 
+def met_quantile_plot(spark, folder):
+    return metrics.quantile_plot(trades_of(spark, folder), ["root"]).select("root", "rank", *_r("sample", "probability", "theoretical", d=6))
+
+
+def met_hold_histogram(spark, folder):
+    return metrics.histogram(trades_of(spark, folder), ["outcome"], "hold_minutes", 0.0, 200.0, 20)
+
+
+def met_r_histogram(spark, folder):
+    return metrics.histogram(trades_of(spark, folder), ["exit_reason"], "pnl_r", -5.0, 5.0, 60)
+
+
 def port_correlation(spark, folder):
     return portfolio.correlation(daily_of(spark, folder)).select("run_a", "run_b", *_r("corr", d=5))
 
@@ -263,6 +275,8 @@ def oracle_sql() -> dict[str, str]:
         "met_meta_sweep": f"with {T}, p as (select *, ((quantity * 37 + entry_hour * 11) % 100) / 100.0::double as wp from d where quantity is not null and entry_hour is not null), k as (select * from p cross join (select unnest([{', '.join(f'{round(0.30 + 0.05 * i, 2)}::double' for i in range(13))}]) as threshold)), c as (select threshold, count(*) filter (wp >= threshold) as n, count(*) filter (wp >= threshold and net_pnl_usd > 0) as tp, count(*) filter (wp >= threshold and net_pnl_usd <= 0) as fp, count(*) filter (wp < threshold and net_pnl_usd > 0) as fn, coalesce(sum(net_pnl_usd) filter (wp >= threshold), 0) as total from k group by 1), m as (select *, tp / nullif(tp + fp, 0) as pr, tp / nullif(tp + fn, 0) as re from c) select threshold, n, round(coalesce(pr, 0), 5) as win_rate, round(pr, 5) as precision, round(re, 5) as recall, round(2 * pr * re / nullif(pr + re, 0), 5) as f1, round(total, 5) as total from m",
         "met_benjamini_hochberg": f"with {T}, s as (select run_id, pow(1 - avg(cast(net_pnl_usd > 0 as double)), 2) / sqrt(count(*)) as p from d group by 1), r as (select *, row_number() over (order by p, run_id) as rank, count(*) over () as n from s), a as (select *, least(1.0, min(p * n / rank) over (order by rank desc rows unbounded preceding)) as adj, max(case when p <= rank / n * 0.1 then rank end) over () as k from r) select run_id, rank, round(adj, 8) as adjusted_p, coalesce(rank <= k, false) as rejected from a",
         "met_leaderboard": f"with {T}, {_summary('run_id')}, q as (select run_id, n, coalesce(sw, 0) / nullif(abs(sl), 0) as pf, abs(coalesce(dd / nullif(abs(pk), 0), 0) / 100) as x from su), z as (select *, case when x > 1 then x / 100 else x end as y from q), w as (select run_id, n, case when n >= 5 and y < 1 then ln(greatest(pf, 1e-6)) * (1 - least(y, 0.99)) * (1 + log10(n / 5.0)) end as score from z) select run_id, n as total_trades, round(score, 5) as score from w where score is not null and run_id in (select run_id from q where pf is not null or true) order by w.score desc, run_id limit 10",
+        "met_hold_histogram": f"with {T} select case when net_pnl_usd > 0 then 'win' else 'loss' end as outcome, cast(least(floor(least(greatest(hold_minutes, 0), 200) / 10), 19) as bigint) as bin, count(*) as n from d where hold_minutes is not null group by 1, 2",
+        "met_r_histogram": f"with {T} select exit_reason, cast(least(floor((least(greatest(pnl_r, -5), 5) + 5) / (10.0::double / 60)), 59) as bigint) as bin, count(*) as n from d where pnl_r is not null group by 1, 2",
         "port_correlation": f"with {T}, {DP}, {ALIGN} select a.run_id as run_a, b.run_id as run_b, round(corr(a.pnl, b.pnl), 5) as corr from al a join al b on a.day = b.day and a.run_id < b.run_id group by 1, 2",
         "port_spearman": f"with {T}, {DP}, {ALIGN}, rk as (select day, run_id, rank() over (partition by run_id order by pnl) + (count(*) over (partition by run_id, pnl) - 1) / 2 as r from al) select a.run_id as run_a, b.run_id as run_b, round(corr(a.r, b.r), 5) as corr from rk a join rk b on a.day = b.day and a.run_id < b.run_id group by 1, 2",
         "port_combined": f"with {T}, {DP}, {CO} select day, round(pnl, 4) as pnl, round(equity, 4) as equity, round(equity - peak, 4) as drawdown from co",
