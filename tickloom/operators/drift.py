@@ -12,7 +12,6 @@ shared bars are compared for vanished and new fields alone. Matching sees one fi
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -100,21 +99,20 @@ def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] <= n and weight[match[j] - 1, j - 1] > 0]
 
 
-def pair_weight(old: dict, new: dict, agreement: list[tuple[bool, float]]) -> float:
+def pair_weight(old: dict, new: dict, agreement: tuple[int, float, float] | None) -> float:
     """How much speaks for ``new`` carrying on ``old``; positive is a rename.
 
-    ``agreement``: for each shared bar with both values, whether they agree and how rare the value is, as information in
-    nats.
+    ``agreement``: the number of shared bars with both values, on how many they agree, and how much those agreements tell, in nats,
+    a rare value more than a common one.
     """
     if old["section"] != new["section"]:
         return -1.0
     similar = name_similarity(old["name"], new["name"])
     if old["section"] == "record":
         if agreement:
-            hits = sum(a for a, _ in agreement)
-            if hits < 0.75 * len(agreement) or (hits < len(agreement) and len(agreement) < 4):
+            bars, hits, told = agreement
+            if hits < 0.75 * bars or (hits < bars and bars < 4):
                 return -1.0
-            told = sum(min(i, 3.0) for a, i in agreement if a)
             strangers = not concepts(old["name"]) & concepts(new["name"])
             # flags agree by chance: they need kindred names or many bars
             return told + 3 * similar - (3.0 if strangers and told < 4 else 1.5)
@@ -193,17 +191,16 @@ def _match(group: pa.Table) -> pa.RecordBatch | None:
     """Renames of one file: rows are its vanished and new fields (part 0) and agreements on shared bars (part 1)."""
     rows = group.to_pylist()
     fields: dict[int, list[dict]] = {0: [], 1: []}
-    agree: dict[tuple[str, str], list[tuple[bool, float]]] = {}
+    agree: dict[tuple[str, str], tuple[int, float, float]] = {}
     for r in rows:
         if r["part"] == 0:
             fields[r["role"]].append({"name": r["name"], "section": r["section"], "type": r["type"], "mean": r["mean"], "spread": r["spread"], "text": r["text"], "records": r["records"] or 0})
         else:
-            told = -math.log(min(max(r["mean"], 1e-6), 1.0))
-            agree.setdefault((r["name"], r["other"]), []).append((bool(r["role"]), told))
+            agree[r["name"], r["other"]] = (r["role"], r["mean"], r["spread"])
     olds, news = fields[0], fields[1]
     if not olds or not news:
         return None
-    weight = np.array([[pair_weight(o, n, agree.get((o["name"], n["name"]), [])) for n in news] for o in olds])
+    weight = np.array([[pair_weight(o, n, agree.get((o["name"], n["name"]))) for n in news] for o in olds])
     found = assign(weight)
     if not found:
         return None
@@ -222,25 +219,30 @@ def schema_changes(files: DataFrame, records: DataFrame) -> tuple[DataFrame, Dat
     order = durable(ordered_files(files))
     prof, values = profiles(files, records)
     prof = durable(prof)
-    cur = prof.join(order.where("dr_prev is not null").select("dr_file"), "dr_file").withColumn("dr_pair", col("dr_file")).withColumn("dr_role", F.lit(1))
-    old = prof.join(order.where("dr_prev is not null").select(col("dr_file").alias("dr_pair"), col("dr_prev").alias("dr_file")), "dr_file").withColumn("dr_role", F.lit(0))
+    cur = prof.join(order.where("dr_prev is not null").select("dr_file").hint("merge"), "dr_file").withColumn("dr_pair", col("dr_file")).withColumn("dr_role", F.lit(1))
+    old = prof.join(order.where("dr_prev is not null").select(col("dr_file").alias("dr_pair"), col("dr_prev").alias("dr_file")).hint("merge"), "dr_file").withColumn("dr_role", F.lit(0))
     both = cur.unionByName(old)
     names = ["dr_section", "dr_type", "dr_mean", "dr_spread", "dr_text", "dr_file"]
     side = lambda r: F.max(F.when(col("dr_role") == r, F.struct(*names)))
     fields = both.groupBy("dr_pair", "dr_name").agg(side(0).alias("o"), side(1).alias("c"))
     retyped = fields.where(col("o.dr_type") != col("c.dr_type")).select("dr_pair", "dr_name", F.lit("retyped").alias("change"), F.lit(None).cast("string").alias("old_name"), col("o.dr_type").alias("old_type"), col("c.dr_type").alias("new_type"))
     moved = fields.where(col("o").isNull() | col("c").isNull()).select("dr_pair", "dr_name", col("c").isNotNull().cast("int").alias("dr_role"), F.coalesce("c", "o").alias("f")).select("dr_pair", "dr_name", "dr_role", "f.*")
+    # Sizes after parsing JSON are badly underestimated, so joins with such sides are told to sort and merge: broadcast, they
+    # would send all values of all records to the driver.
     # values of vanished and new fields on the bars of both files
     told = moved.where("dr_section = 'record'").select("dr_pair", "dr_name", "dr_role", "dr_file")
     said = F.coalesce(F.round("dr_number", 6).cast("string"), F.lower(F.trim("dr_text")))
-    vals = values.where("dr_bar is not null and dr_type is not null").select("dr_file", "dr_bar", "dr_name", said.alias("dr_said")).join(told, ["dr_file", "dr_name"]).groupBy("dr_pair", "dr_role", "dr_name", "dr_bar").agg(F.min("dr_said").alias("dr_said"))
-    common = vals.groupBy("dr_pair", "dr_role", "dr_name", "dr_said").agg(F.count("*").alias("k"), F.collect_list("dr_bar").alias("dr_bars"))
-    common = common.withColumn("dr_share", col("k") / F.sum("k").over(Window.partitionBy("dr_pair", "dr_role", "dr_name"))).select("dr_pair", "dr_role", "dr_name", "dr_said", "dr_share", F.explode("dr_bars").alias("dr_bar"))
-    was = common.where("dr_role = 0").select("dr_pair", "dr_bar", col("dr_name").alias("dr_old"), col("dr_said").alias("dr_before"))
-    now = common.where("dr_role = 1").select("dr_pair", "dr_bar", col("dr_name").alias("dr_new"), "dr_said", "dr_share")
-    agree = was.join(now, ["dr_pair", "dr_bar"]).select(col("dr_pair").alias("dr_file"), F.lit(1).alias("part"), (col("dr_before") == col("dr_said")).cast("int").alias("role"), col("dr_old").alias("name"), col("dr_new").alias("other"), col("dr_share").alias("mean"))
+    vals = values.where("dr_bar is not null and dr_type is not null").select("dr_file", "dr_bar", "dr_name", said.alias("dr_said")).join(told.hint("merge"), ["dr_file", "dr_name"]).groupBy("dr_pair", "dr_role", "dr_name", "dr_bar").agg(F.min("dr_said").alias("dr_said"))
+    now = vals.where("dr_role = 1").select("dr_pair", "dr_bar", col("dr_name").alias("dr_new"), "dr_said")
+    was = vals.where("dr_role = 0").select("dr_pair", "dr_bar", col("dr_name").alias("dr_old"), col("dr_said").alias("dr_before"))
+    # how common each new value is, so that agreement on rare ones counts more; all as partial sums, however long a file
+    known = now.groupBy("dr_pair", "dr_new", "dr_said").agg(F.count("*").alias("k"))
+    known = known.join(now.groupBy("dr_pair", "dr_new").agg(F.count("*").alias("t")).hint("merge"), ["dr_pair", "dr_new"]).select("dr_pair", "dr_new", "dr_said", F.least(F.lit(3.0), -F.ln(col("k") / col("t"))).alias("dr_told"))
+    met = was.join(now.hint("merge"), ["dr_pair", "dr_bar"]).groupBy("dr_pair", "dr_old", "dr_new", "dr_said", (col("dr_before") == col("dr_said")).alias("dr_hit")).agg(F.count("*").alias("n"))
+    agree = met.join(known.hint("merge"), ["dr_pair", "dr_new", "dr_said"]).groupBy("dr_pair", "dr_old", "dr_new").agg(F.sum("n").cast("int").alias("role"), F.sum(F.when(col("dr_hit"), col("n")).otherwise(0)).cast("double").alias("mean"), F.sum(F.when(col("dr_hit"), col("n") * col("dr_told")).otherwise(0.0)).alias("spread"))
+    agree = agree.select(col("dr_pair").alias("dr_file"), F.lit(1).alias("part"), "role", col("dr_old").alias("name"), col("dr_new").alias("other"), "mean", "spread")
     counts = prof.where("dr_section = 'record'").groupBy("dr_file").agg(F.max("dr_seen").cast("double").alias("records"))
-    asked = moved.join(counts, "dr_file", "left").select(col("dr_pair").alias("dr_file"), F.lit(0).alias("part"), col("dr_role").alias("role"), col("dr_name").alias("name"), col("dr_section").alias("section"), col("dr_type").alias("type"), col("dr_mean").alias("mean"), col("dr_spread").alias("spread"), col("dr_text").alias("text"), "records")
+    asked = moved.join(counts.hint("merge"), "dr_file", "left").select(col("dr_pair").alias("dr_file"), F.lit(0).alias("part"), col("dr_role").alias("role"), col("dr_name").alias("name"), col("dr_section").alias("section"), col("dr_type").alias("type"), col("dr_mean").alias("mean"), col("dr_spread").alias("spread"), col("dr_text").alias("text"), "records")
     renames = map_sorted_groups(asked.unionByName(agree, allowMissingColumns=True), ["dr_file"], ["part", "role", "name"], _match, "dr_file long, dr_old string, dr_new string")
     shapes = moved.select("dr_pair", "dr_name", "dr_role", "dr_type").join(
         renames.select(col("dr_file").alias("dr_pair"), F.explode(F.array(F.struct(F.lit(0).alias("r"), col("dr_old").alias("n"), col("dr_new").alias("m")), F.struct(F.lit(1).alias("r"), col("dr_new").alias("n"), col("dr_old").alias("m")))).alias("x")).select("dr_pair", col("x.r").alias("dr_role"), col("x.n").alias("dr_name"), col("x.m").alias("old_name")),
@@ -312,8 +314,8 @@ def unified_records(files: DataFrame, records: DataFrame) -> DataFrame:
     rec = records.where("record_id is not null").select(col("record_id").cast("bigint").alias("record_id"), col("file_id").cast("bigint").alias("dr_file"), col("contract").alias("dr_contract"), col("bar_no").cast("bigint").alias("bar_no"), col("payload").alias("dr_json"))
     rec = rec.groupBy("record_id").agg(F.min(F.struct("dr_file", "dr_contract", "bar_no", "dr_json")).alias("x")).select("record_id", "x.*")
     keys = ["record_id", "dr_file", "dr_contract", "bar_no"]
-    rec = rec.join(hashed, "dr_file", "left").join(same, "dr_file", "left").withColumn("dr_at", F.coalesce("dr_first", "dr_seq")).select(*keys, "dr_at", "dr_json")
-    vals = _values(rec, col("dr_json"), [*keys, "dr_at"], "record").join(spells, ["dr_contract", "dr_name"], "left")
+    rec = rec.join(hashed.hint("merge"), "dr_file", "left").join(same.hint("merge"), "dr_file", "left").withColumn("dr_at", F.coalesce("dr_first", "dr_seq")).select(*keys, "dr_at", "dr_json")
+    vals = _values(rec, col("dr_json"), [*keys, "dr_at"], "record").join(spells.hint("merge"), ["dr_contract", "dr_name"], "left")
     hit = F.filter("dr_spells", lambda s: F.coalesce(s["dr_since"] <= col("dr_at"), F.lit(True)) & F.coalesce(s["dr_until"] >= col("dr_at"), F.lit(True)))
     vals = vals.withColumn("dr_root", F.coalesce(F.try_element_at(hit, F.lit(1))["dr_root"], col("dr_name")))
     vals = vals.withColumn("dr_std", F.coalesce(_standard("dr_root"), _standard("dr_name")))
