@@ -88,7 +88,8 @@ def mixture(counts: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_
     line = spark.range(slots).select(col("id").alias("slot"), owner.alias("source"), F.floor(col("id") / SLOT_CHUNK).alias("chunk"))
     ahead = line.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     ahead = ahead.select("source", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = line.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1).join(ahead, ["source", "chunk"]).select("source", (col("r") + col("before")).alias("rank"), "slot")
+    ranked = line.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1).join(ahead.hint("merge"), ["source", "chunk"]).select("source", (col("r") + col("before")).alias("rank"), "slot")
+    # joins sort and merge: all sides grow with the corpus, however small they are taken for
     # places of documents on their source's tape
     many = F.lit(1).cast("bigint")
     cap, total = F.lit(1), F.lit(1).cast("bigint")
@@ -99,10 +100,10 @@ def mixture(counts: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_
     shards = tape.groupBy("source", "shard").agg(F.sum("tokens").alias("n"))
     shards = shards.select("source", "shard", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     upto = F.coalesce(F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tape = tape.withColumn("at", upto).join(shards, ["source", "shard"]).withColumn("at", col("at") + col("before"))
+    tape = tape.withColumn("at", upto).join(shards.hint("merge"), ["source", "shard"]).withColumn("at", col("at") + col("before"))
     passes = tape.withColumn("use", F.explode(F.sequence(F.lit(1), cap.cast("int")))).withColumn("at", col("at") + (col("use") - 1) * total)
     passes = passes.select("source", F.floor(col("at") / block_tokens).alias("rank"), (col("at") % block_tokens).alias("place"), "doc_id", "use", "tokens")
-    return passes.join(ranked, ["source", "rank"]).select("slot", "place", "doc_id", "source", "use", "tokens")
+    return passes.join(ranked.hint("merge"), ["source", "rank"]).select("slot", "place", "doc_id", "source", "use", "tokens")
 
 
 def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
