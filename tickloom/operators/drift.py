@@ -232,7 +232,7 @@ def schema_changes(files: DataFrame, records: DataFrame) -> tuple[DataFrame, Dat
     # values of vanished and new fields on the bars of both files
     told = moved.where("dr_section = 'record'").select("dr_pair", "dr_name", "dr_role", "dr_file")
     said = F.coalesce(F.round("dr_number", 6).cast("string"), F.lower(F.trim("dr_text")))
-    vals = values.where("dr_bar is not null and dr_type is not null").select("dr_file", "dr_bar", "dr_name", said.alias("dr_said")).join(told.hint("merge"), ["dr_file", "dr_name"]).groupBy("dr_pair", "dr_role", "dr_name", "dr_bar").agg(F.min("dr_said").alias("dr_said"))
+    vals = durable(values.where("dr_bar is not null and dr_type is not null").select("dr_file", "dr_bar", "dr_name", said.alias("dr_said")).join(told.hint("merge"), ["dr_file", "dr_name"]).groupBy("dr_pair", "dr_role", "dr_name", "dr_bar").agg(F.min("dr_said").alias("dr_said")))
     now = vals.where("dr_role = 1").select("dr_pair", "dr_bar", col("dr_name").alias("dr_new"), "dr_said")
     was = vals.where("dr_role = 0").select("dr_pair", "dr_bar", col("dr_name").alias("dr_old"), col("dr_said").alias("dr_before"))
     # how common each new value is, so that agreement on rare ones counts more; all as partial sums, however long a file
