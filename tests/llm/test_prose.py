@@ -72,4 +72,5 @@ def test_lines():
     wrapped = "the door was open and\nthey said that it is\nold and not for the\nmarket of the town and\nthen it was not there"
     assert "list" not in line_forms(wrapped, COMMON["en"])[1]
     assert set(line_forms("a,1,2\nb,3,4\nc,5,6", COMMON["en"])[1]) == {"table"}
+    assert line_forms("There was a garden for the village of old and there was a garden for the market of old.", COMMON["en"])[1] == ["prose"]
     assert set(line_forms("1. one\n2. two\n3. three", COMMON["en"])[1]) == {"list"}

@@ -98,13 +98,13 @@ def _tables(lines: list[str]) -> list[bool]:
 
 
 def _repetition(words: list[str]) -> float:
-    """The largest share of words that equal the one k places before them, k from 1 to 8."""
+    """The largest share of words that equal the one k places before them, k from 1 to 8 and at most a fifth of the words."""
     n = len(words)
     if n < 12:
         return 0.0
     codes: dict[str, int] = {}
     a = np.array([codes.setdefault(w, len(codes)) for w in words])
-    return float(max((a[k:] == a[:-k]).mean() for k in range(1, 9)))
+    return float(max((a[k:] == a[:-k]).mean() for k in range(1, min(8, n // 5) + 1)))
 
 
 def _is_junk(line: str, words: list[str], common: frozenset) -> bool:
