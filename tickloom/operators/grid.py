@@ -38,7 +38,7 @@ def trade_date(ts: Column, zone: str = NEW_YORK) -> Column:
 
 def period_seconds(timeframe: Column) -> Column:
     """Seconds of a label such as 1m, 5m or 1h; null for others."""
-    n = F.expr("try_cast(regexp_extract(gr_tf, '^([0-9]+)[mh]$', 1) as bigint)") if timeframe is None else F.try_to_number(F.nullif(F.regexp_extract(timeframe, r"^([0-9]+)[mh]$", 1), F.lit("")), F.lit("999999999")).cast("bigint")
+    n = F.nullif(F.regexp_extract(timeframe, r"^([0-9]+)[mh]$", 1), F.lit("")).try_cast("bigint")
     return F.when(n > 0, n * F.when(timeframe.endswith("h"), 3600).otherwise(60))
 
 

@@ -147,8 +147,7 @@ def _components(df: DataFrame) -> DataFrame:
     known = F.when(col("tsn_a").isin("UTC", "GMT", "Z"), 0).otherwise(F.coalesce(F.try_element_at("tsn_known", col("tsn_a")), F.try_element_at(fixed, col("tsn_a"))))
     digits = F.length("tsn_e")
     count = F.expr("try_cast(tsn_e as bigint)")
-    count_us = F.when(digits <= 10, count * 1_000_000).when(digits <= 13, count * 1000).when(digits <= 16, count).otherwise(F.floor(count / F.lit(1000).cast("bigint")))
-    count_us = F.when(digits > 16, F.expr("try_cast(tsn_e as bigint) div 1000")).otherwise(count_us)
+    count_us = F.when(digits <= 10, count * 1_000_000).when(digits <= 13, count * 1000).when(digits <= 16, count).otherwise(F.expr("try_cast(tsn_e as bigint) div 1000"))
     written = (col("tsn_o").isNotNull() & offset.isNull()) | (col("tsn_a").isNotNull() & known.isNull())
     region_ok = col("tsn_region").isin(sorted(available_timezones()))
     return df.withColumns({
