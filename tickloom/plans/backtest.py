@@ -173,10 +173,12 @@ def reg_keep_runs(spark, folder):
 
 
 def reg_manifests(spark, folder):
-    """Declared against actual rows per file, the count under whichever name it is declared."""
-    f = table(spark, folder, "raw_files").select("file_id", F.from_json("manifest", "row_count long, n_rows long, rows long, record_count long").alias("m"))
+    """Declared against actual rows per file, the count under whichever name it is declared, as a number or as text."""
+    names = ["row_count", "n_rows", "rows", "record_count"]
+    f = table(spark, folder, "raw_files").select("file_id", F.from_json("manifest", ", ".join(f"{n} string" for n in names)).alias("m"))
+    count = lambda n: F.expr(f"try_cast(round(try_cast(m.{n} as decimal(38, 6))) as bigint)")
     n = table(spark, folder, "raw_records").groupBy("file_id").agg(F.count("*").alias("actual"))
-    return f.select("file_id", F.coalesce("m.row_count", "m.n_rows", "m.rows", "m.record_count").alias("declared")).join(n, "file_id", "left").where("declared <> coalesce(actual, 0)").select("file_id", "declared", F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"))
+    return f.select("file_id", F.coalesce(*[count(n) for n in names]).alias("declared")).join(n, "file_id", "left").where("declared <> coalesce(actual, 0)").select("file_id", "declared", F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"))
 
 
 def reg_lineage(spark, folder):
