@@ -62,11 +62,17 @@ def back_adjust(bars: DataFrame, segments: DataFrame) -> DataFrame:
 
 def session_calendar(spark: SparkSession, start: date, end: date, *, holidays: tuple[date, ...] = (), open_et: str = "18:00", close_et: str = "17:00") -> DataFrame:
     """Overnight sessions (trade_date, session_open, session_close) in UTC, without weekends, holidays and observed 19 June from 2022."""
-    days = spark.sql(f"select explode(sequence(date'{start}', date'{end}', interval 1 day)) as trade_date").where("dayofweek(trade_date) between 2 and 6")
+    days = spark.sql(f"select explode(sequence(date'{start}', date'{end}', interval 1 day)) as trade_date")
+    return sessions_of(days, holidays=holidays, open_et=open_et, close_et=close_et)
+
+
+def sessions_of(days: DataFrame, *, holidays: tuple[date, ...] = (), open_et: str = "18:00", close_et: str = "17:00") -> DataFrame:
+    """The days (trade_date and other columns) that have an overnight session, with its session_open and session_close in UTC."""
+    days = days.where("dayofweek(trade_date) between 2 and 6")
     june = F.make_date(F.year("trade_date"), F.lit(6), F.lit(19))
     observed = F.when(F.dayofweek(june) == 1, F.date_add(june, 1)).when(F.dayofweek(june) == 7, F.date_sub(june, 1)).otherwise(june)
     days = days.where(~((F.year("trade_date") >= 2022) & (F.col("trade_date") == observed)))
     if holidays:
         days = days.where(~F.col("trade_date").isin(*holidays))
     at = lambda d, t: F.to_utc_timestamp(F.to_timestamp(F.concat(d.cast("string"), F.lit(f" {t}:00"))), "America/New_York")
-    return days.select("trade_date", at(F.date_sub("trade_date", 1), open_et).alias("session_open"), at(F.col("trade_date"), close_et).alias("session_close"))
+    return days.withColumns({"session_open": at(F.date_sub("trade_date", 1), open_et), "session_close": at(F.col("trade_date"), close_et)})

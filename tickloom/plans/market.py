@@ -284,10 +284,22 @@ def dq_gap_classes(spark, folder):
     return gaps.select("symbol", F.unix_seconds("run_start").alias("run_start_s"), F.col("bars_missing").cast("bigint"), "in_rth", "kind")
 
 
+def _coverage(bars, first, last):
+    """Bars per session between two trade dates of each symbol."""
+    span = bars.groupBy("symbol").agg(first.alias("a"), last.alias("z"))
+    sessions = stitch.sessions_of(span.select("symbol", F.explode(F.sequence("a", "z")).alias("trade_date"))).drop("trade_date")
+    return quality.session_coverage(bars, sessions).select("symbol", F.unix_seconds("session_open").alias("open_s"), "bars")
+
+
 def dq_session_coverage(spark, folder):
-    cal = stitch.session_calendar(spark, date(2024, 3, 1), date(2024, 3, 31)).select("session_open", "session_close")
-    symbols = bars_of(spark, folder).select("symbol").distinct()
-    return quality.session_coverage(bars_of(spark, folder), symbols.crossJoin(cal)).select("symbol", F.unix_seconds("session_open").alias("open_s"), "bars")
+    """The sessions of March 2024 alone; dq_session_coverage_all has every session."""
+    return _coverage(bars_of(spark, folder), F.lit(date(2024, 3, 1)), F.lit(date(2024, 3, 31)))
+
+
+def dq_session_coverage_all(spark, folder):
+    """The sessions from each symbol's first trade date to its last."""
+    day = trade_date(F.col("timestamp_utc"))
+    return _coverage(bars_of(spark, folder), F.min(day), F.max(day))
 
 
 def dq_minute_runs(spark, folder):
@@ -442,6 +454,7 @@ def oracle_sql() -> dict[str, str]:
         "dq_gap_classes": f"{miss}, ru as ({runs.format('mm')}), k as (select *, hour(s at time zone 'America/New_York') * 60 + minute(s at time zone 'America/New_York') between 500 and 900 as in_rth, hour(s at time zone 'America/Chicago') * 60 + minute(s at time zone 'America/Chicago') as ct from ru) select symbol, cast(epoch(s) as bigint) as run_start_s, n as bars_missing, in_rth, case when n <= 5 then 'minor' when n <= 30 and ct >= 1020 and ct < 1050 then 'maintenance' when not in_rth and n <= 60 then 'overnight' else 'large' end as kind from k",
         "dq_minute_runs": f"with {B}, {mi}, ru as ({runs.format('mi')}) select symbol, cast(epoch(s) as bigint) as run_start_s, n from ru",
         "dq_session_coverage": f"with {B}, cal as (select d, timezone('America/New_York', (d - interval 1 day) + interval 18 hours) as o, timezone('America/New_York', d + interval 17 hours) as c from (select unnest(generate_series(timestamp '2024-03-01', timestamp '2024-03-31', interval 1 day)) as d) where dayofweek(d) between 1 and 5), sy as (select distinct symbol from b) select sy.symbol, cast(epoch(o) as bigint) as open_s, count(b.timestamp_utc) as bars from sy cross join cal left join b on b.symbol = sy.symbol and b.timestamp_utc >= o and b.timestamp_utc < c group by 1, 2",
+        "dq_session_coverage_all": f"with {B}, sp as (select symbol, min({TD.format('timestamp_utc')}) as a, max({TD.format('timestamp_utc')}) as z from b group by 1), da as (select symbol, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day)) as d from sp), cal as (select symbol, timezone('America/New_York', (d - interval 1 day) + interval 18 hours) as o, timezone('America/New_York', d + interval 17 hours) as c from da where dayofweek(d) between 1 and 5 and not (year(d) >= 2022 and month(d) = 6 and (day(d) = 19 or (day(d) = 18 and dayofweek(d) = 5) or (day(d) = 20 and dayofweek(d) = 1)))) select cal.symbol, cast(epoch(o) as bigint) as open_s, count(b.timestamp_utc) as bars from cal left join b on b.symbol = cal.symbol and b.timestamp_utc >= o and b.timestamp_utc < c group by 1, 2",
         "set_back_adjust": f"{chain} select i.root, i.symbol as contract, epoch_us(i.timestamp_utc) as us, round(close + adjustment, 8) as close, round(adjustment, 8) as adjustment from i join ad on i.root = ad.root and i.seq = ad.seq",
         "set_session_calendar": "select cast(d as date) as trade_date, cast(epoch(timezone('America/New_York', (d - interval 1 day) + interval 18 hours)) as bigint) as open_s, cast(epoch(timezone('America/New_York', d + interval 17 hours)) as bigint) as close_s from (select unnest(generate_series(timestamp '2024-03-01', timestamp '2024-06-30', interval 1 day)) as d) where dayofweek(d) between 1 and 5 and cast(d as date) <> date '2024-06-19'",
         "set_union_distinct": "select upper(trim(contract)) as contract from trades union select contract from bars",
