@@ -41,3 +41,18 @@ def test_sessions_of_every_month(spark, tmp_path):
     got = same_as_oracle(spark, tmp_path, "dq_session_coverage_all")
     # weekdays from 29 January to 21 June without 19 June, and the one day of B
     assert len(got) == 104 + 1 and got.bars.sum() == 5 and (got.bars == 0).sum() == 100
+
+
+def test_joins_that_look_ahead_are_counted(spark):
+    from pyspark.sql import functions as F
+
+    from tests.helpers import frame, walk
+    from tickloom.operators import asof, quality, resample
+
+    b = frame(spark, walk(300)).drop("contract", "timestamp_ny")
+    hour = F.floor(F.unix_seconds("timestamp_utc") / 3600)
+    h = resample.resample(b, 60)
+    sound = asof.higher_timeframe(b.select("symbol", "timestamp_utc"), h, ["close"], "h_")
+    ahead = asof.asof_backward(b.select("symbol", "timestamp_utc"), h, ["symbol"], ["close"], prefix="h_")
+    count = lambda joined: quality.shift_breaks(b, joined, "h_close", hour).first()["breaks"]
+    assert count(sound) == 0 and count(ahead) > 200 and count(sound.limit(100)) > 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.islands import minute_runs
@@ -66,6 +66,17 @@ def session_coverage(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessions.join(hit, ["symbol", "session_open"], "left").fillna(0, ["bars"])
 
 
+def shift_breaks(bars: DataFrame, joined: DataFrame, value: str, period: Column) -> DataFrame:
+    """(symbol, breaks): bars whose joined ``value`` is not the close of the last bar of an earlier ``period``, a number that grows with time.
+
+    The close is found over the bars themselves, without the join under test; a bar the join lost counts too.
+    """
+    w = Window.partitionBy("symbol").orderBy("__p").rangeBetween(Window.unboundedPreceding, -1)
+    want = bars.withColumn("__p", period).select("symbol", "timestamp_utc", F.max(F.struct("timestamp_utc", "close")).over(w)["close"].alias("__want"))
+    got = joined.select("symbol", "timestamp_utc", F.col(value).alias("__got"))
+    return want.join(got, ["symbol", "timestamp_utc"], "left").groupBy("symbol").agg(F.count_if(~F.col("__got").eqNullSafe(F.col("__want"))).alias("breaks"))
+
+
 def bar_count_outliers(bars: DataFrame, sigmas: float = 2.0) -> DataFrame:
     """Bars per New York date, and whether that is beyond ``sigmas`` of the symbol's mean."""
     from pyspark.sql import Window

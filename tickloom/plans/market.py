@@ -12,7 +12,7 @@ from tickloom.functions.ewm import ewm_long, span_alpha
 from tickloom.operators import asof, islands, quality, resample, stitch
 from tickloom.operators.grid import trade_date
 from tickloom.runtime import table
-from tickloom.schema import clean_bars, keep_one
+from tickloom.schema import clean_bars, clean_trades, keep_one
 
 D = 6  # decimals compared
 
@@ -229,7 +229,7 @@ def ctx_trade_context(spark, folder):
 def dq_integrity(spark, folder):
     """Recomputed against stored values: bars whose ATR by a rolling recursion cut off after 400 bars strays from the one pass.
 
-    Also whether daily values joined to a bar come from before its trade date; both counts are zero in a sound feature table.
+    The count is zero in a sound feature table; dq_integrity_joins has the counts for the daily and hourly values joined to a bar.
     """
     b = bars_of(spark, folder)
     a = ind.recursive(b, atr=14)
@@ -241,6 +241,21 @@ def dq_integrity(spark, folder):
     return strayed
 
 
+def dq_integrity_joins(spark, folder):
+    """Bars whose joined daily value is not of the trade date before, or whose joined hourly value is not of the hour before; both are zero in a sound feature table."""
+    b = bars_of(spark, folder)
+    day = quality.shift_breaks(b, join_daily_projection(spark, folder), "daily_close", F.unix_date(trade_date(F.col("timestamp_utc"))))
+    hour = quality.shift_breaks(b, join_higher_timeframe(spark, folder), "tf60m_close", F.floor(F.unix_seconds("timestamp_utc") / 3600))
+    return day.withColumnRenamed("breaks", "day_breaks").join(hour.withColumnRenamed("breaks", "hour_breaks"), "symbol")
+
+
+def dq_trade_dates(spark, folder):
+    """Per run the trades that end on another trade date than they began, and those of them that are no end-of-day exits."""
+    t = clean_trades(table(spark, folder, "trades")).where("entry_ts is not null and exit_ts is not null")
+    over = trade_date(F.col("entry_ts")) != trade_date(F.col("exit_ts"))
+    return t.groupBy("run_id").agg(F.count("*").alias("trades"), F.count_if(over).alias("crossed"), F.count_if(over & F.coalesce(F.col("exit_reason") != "eod", F.lit(True))).alias("flagged"))
+
+
 EVENT_DAYS = [date(2024, 3, 1), date(2024, 3, 12), date(2024, 3, 20), date(2024, 4, 5), date(2024, 4, 10)]
 
 
@@ -447,6 +462,8 @@ def oracle_sql() -> dict[str, str]:
         "join_containing_bar": f"with {B}, t as (select distinct trade_id, upper(trim(contract)) as symbol, entry_ts from trades where entry_ts is not null), f as (select symbol, min(timestamp_utc) as first from b group by 1) select t.trade_id, t.symbol, epoch_us(coalesce(b.timestamp_utc, f.first)) as bar_us from t asof left join b on t.symbol = b.symbol and t.entry_ts >= b.timestamp_utc left join f on t.symbol = f.symbol where coalesce(b.timestamp_utc, f.first) is not null",
         "join_nearest": f"with {B}, t as (select distinct trade_id, upper(trim(contract)) as symbol, entry_ts from trades where entry_ts is not null) select trade_id, symbol, bar_us, close from (select t.trade_id, t.symbol, epoch_us(b.timestamp_utc) as bar_us, b.close, row_number() over (partition by t.trade_id, t.symbol, t.entry_ts order by abs(epoch_us(b.timestamp_utc) - epoch_us(t.entry_ts)), b.timestamp_utc) as rn from t join b on t.symbol = b.symbol and b.timestamp_utc between t.entry_ts - interval 10 minutes and t.entry_ts + interval 10 minutes) where rn = 1",
         "dq_integrity": f"with {B}, n as (select symbol, count(*) as n from b group by symbol, timeframe) select symbol, 0::bigint as strayed from n where n > 14",
+        "dq_integrity_joins": f"with {B} select distinct symbol, 0::bigint as day_breaks, 0::bigint as hour_breaks from b",
+        "dq_trade_dates": f"with t as (select *, lower(trim(exit_reason)) as why, row_number() over (partition by trade_id order by exported_at desc, net_pnl_usd) as rn from trades), k as (select strategy_id as run_id, why, {TD.format('entry_ts')} <> {TD.format('exit_ts')} as over_date from t where rn = 1 and entry_ts is not null and exit_ts is not null) select run_id, count(*) as trades, count(*) filter (over_date) as crossed, count(*) filter (over_date and why is distinct from 'eod') as flagged from k group by 1",
         "join_nearest_event": f"with {trades}, {days}, d as (select trade_id, cast(entry_ts at time zone 'America/New_York' as date) as day from t where entry_ts is not null), k as (select trade_id, event_date, datediff('day', day, event_date) as days_to_event, row_number() over (partition by trade_id order by abs(datediff('day', day, event_date)), event_date) as rn from d, ev) select trade_id, event_date, cast(days_to_event as int) as days_to_event from k where rn = 1",
         "join_blackout": f"with {trades}, {days} select trade_id, cast(entry_ts at time zone 'America/New_York' as date) as event_date from t where cast(entry_ts at time zone 'America/New_York' as date) in (select event_date from ev)",
         "dq_row_checks": "with k as (select contract as symbol, count(*) as rows, count(*) - count(distinct timestamp_utc) as duplicates, count(*) filter (volume < 0) as negative_volume, count(*) filter (high < low) as high_below_low, count(*) filter (high < open) as high_below_open, count(*) filter (high < close) as high_below_close, count(*) filter (low > open) as low_above_open, count(*) filter (low > close) as low_above_close, count(*) filter (close is null) as null_close, round(100 * count(buy_volume) / count(*), 2) as order_flow_pct from bars group by 1) select *, duplicates + negative_volume + high_below_low + high_below_open + high_below_close + low_above_open + low_above_close + null_close = 0 as passed from k",
