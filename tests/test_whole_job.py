@@ -56,3 +56,16 @@ def test_joins_that_look_ahead_are_counted(spark):
     ahead = asof.asof_backward(b.select("symbol", "timestamp_utc"), h, ["symbol"], ["close"], prefix="h_")
     count = lambda joined: quality.shift_breaks(b, joined, "h_close", hour).first()["breaks"]
     assert count(sound) == 0 and count(ahead) > 200 and count(sound.limit(100)) > 0
+
+
+def test_registered_queries_draw_the_surveyed_numbers(spark, monkeypatch):
+    import __spark_entry__ as e
+    from tickloom.operators import resampling
+
+    drawn = []
+    samples, means = resampling.samples, resampling._mean_samples
+    monkeypatch.setattr(resampling, "samples", lambda t, k, n=1000, *a, **kw: drawn.append(n) or samples(t, k, n, *a, **kw))
+    monkeypatch.setattr(resampling, "_mean_samples", lambda t, k, n, *a: drawn.append(n) or means(t, k, n, *a))
+    for name in ("rs_bootstrap", "rs_shuffle", "rs_hash_bootstrap_all", "rs_generic_bootstrap"):
+        e.queries()[name](spark, "/root/testdata/sf0.001")
+    assert [n for n in drawn if n > 1] == [1000, 1000, 1000, 10_000]

@@ -86,10 +86,42 @@ def shuffle_ranks(trades: DataFrame, keys: list[str], n: int = 1000, seed: int =
     return s.groupBy(*keys).agg(F.first("actual").alias("actual"), F.percentile("max_drawdown", F.lit(0.5)).alias("median"), F.percentile("max_drawdown", F.lit(0.95)).alias("p95"), rank.alias("rank")).join(real, keys, "left_semi")
 
 
-def hash_bootstrap_means(trades: DataFrame, keys: list[str], n: int = 50, seed: int = 42) -> DataFrame:
+def _means(seed: int, hashed: bool):
+    """Mean of every sample of a block; missing results are left out of it."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            keys = names[: names.index("first")]
+            for r in batch.to_pylist():
+                x = np.array([np.nan if v is None else v for v in r["pnl"]])
+                i, numbers, means = np.arange(len(x), dtype="int64"), range(r["first"], r["first"] + r["size"]), []
+                for s in numbers:
+                    picks = (1103515245 * (s * len(x) + i + seed) + 12345) % 2147483648 % len(x) if hashed else np.random.default_rng([seed, s]).integers(0, len(x), len(x))
+                    y = x[picks]
+                    y = y[~np.isnan(y)]
+                    means.append(float(y.mean()) if len(y) else None)
+                schema = pa.schema([(k, pa.string()) for k in keys] + [("sample", pa.int32()), ("mean", pa.float64())])
+                yield pa.RecordBatch.from_pydict({k: [r[k]] * r["size"] for k in keys} | {"sample": list(numbers), "mean": means}, schema=schema)
+
+    return run
+
+
+def _mean_samples(trades: DataFrame, keys: list[str], n: int, seed: int, hashed: bool, block: int = 250) -> DataFrame:
+    """(keys, sample, mean) of ``n`` resamples per key; a key's log travels once for each block of samples."""
+    logs = trades.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "net_pnl_usd"))), lambda s: s["net_pnl_usd"]).alias("pnl"))
+    each = logs.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(block))).alias("first"), "pnl").withColumn("size", F.least(F.lit(block), F.lit(n) - F.col("first"))).repartition(*keys, "first")
+    return each.mapInArrow(_means(seed, hashed), ", ".join([f"{k} string" for k in keys] + ["sample int", "mean double"]))
+
+
+def hash_bootstrap_means(trades: DataFrame, keys: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
     """Bootstrap means by integer arithmetic alone, which any SQL engine can repeat: row i of sample s is trade (1103515245 (s n + i + seed) + 12345) mod 2^31 mod n."""
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    t = trades.select(*keys, (F.row_number().over(w) - 1).alias("i"), "net_pnl_usd", F.count("*").over(Window.partitionBy(*keys)).alias("m"))
-    draws = t.select(*keys, "m", "i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
-    draws = draws.withColumn("pick", ((F.lit(1103515245).cast("bigint") * (F.col("sample") * F.col("m") + F.col("i") + seed) + 12345) % 2147483648) % F.col("m"))
-    return draws.join(t.select(*keys, F.col("i").alias("pick"), "net_pnl_usd"), [*keys, "pick"]).groupBy(*keys, "sample").agg(F.avg("net_pnl_usd").alias("mean"))
+    return _mean_samples(trades, keys, n, seed, True)
+
+
+def generic_bootstrap(trades: DataFrame, keys: list[str], n: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """(keys, point, lo, hi): the mean result of a key and the interval of its resampled means."""
+    point = trades.groupBy(*keys).agg(F.avg("net_pnl_usd").alias("point"))
+    a = (1 - ci) / 2
+    i = _mean_samples(trades, keys, n, seed, False).groupBy(*keys).agg(F.percentile("mean", F.lit(a)).alias("lo"), F.percentile("mean", F.lit(1 - a)).alias("hi"))
+    return point.join(i, keys)

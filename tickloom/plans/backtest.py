@@ -122,18 +122,27 @@ def ctx_regime_tags(spark, folder):
 
 
 def rs_bootstrap(spark, folder):
-    i = resampling.intervals(resampling.samples(trades_of(spark, folder), ["run_id"], 200), ["run_id"])
+    i = resampling.intervals(resampling.samples(trades_of(spark, folder), ["run_id"]), ["run_id"])
     return i.select("run_id", *_r("expectancy_lo", "expectancy_hi", "win_rate_lo", "win_rate_hi"))
 
 
 def rs_shuffle(spark, folder):
-    return resampling.shuffle_ranks(trades_of(spark, folder), ["run_id"], 200).select("run_id", *_r("actual", "median", "p95", "rank", d=4))
+    return resampling.shuffle_ranks(trades_of(spark, folder), ["run_id"]).select("run_id", *_r("actual", "median", "p95", "rank", d=4))
 
 
 def rs_hash_bootstrap(spark, folder):
+    """The first 50 samples, as its oracle has them; rs_hash_bootstrap_all has 1000."""
+    return resampling.hash_bootstrap_means(trades_of(spark, folder), ["run_id"], 50).select("run_id", "sample", *_r("mean", d=8))
+
+
+def rs_hash_bootstrap_all(spark, folder):
     return resampling.hash_bootstrap_means(trades_of(spark, folder), ["run_id"]).select("run_id", "sample", *_r("mean", d=8))
 
 
+def rs_generic_bootstrap(spark, folder):
+    return resampling.generic_bootstrap(trades_of(spark, folder), ["run_id"]).select("run_id", *_r("point", "lo", "hi"))
+
+
 def stat_tests(spark, folder):
     b = bars_of(spark, folder).withColumn("x", F.ln("close") - F.lag(F.ln("close")).over(ind.series())).where("x is not null")
     return stationarity.tests(b, ["symbol"], ["timestamp_utc"], "x", max_lag=4).select("symbol", "test", *_r("statistic", "p_value", d=5), "n")
@@ -269,6 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "ctx_session_labels": f"with {B}, h as (select symbol, hour(timestamp_utc at time zone 'America/New_York') as h from b) select symbol, case when h >= 18 or h < 3 then 'Asia' when h < 8 then 'London' when h < 9 then 'NY pre-open' when h < 16 then 'NY RTH' when h < 17 then 'NY close' else 'Overnight' end as session, count(*) as n from h group by 1, 2",
         "ctx_regime_tags": f"{runs}, k as (select *, (quantity * 29 % 100) / 100.0::double as rk, abs(datediff('day', cast(entry_ts at time zone 'America/New_York' as date), date '{EVENT_DAYS[2]}')) as gap, (day(entry_ts at time zone 'America/New_York') - 1) // 7 + 1 as wm from d where entry_ts is not null) select case when rk <= 0.33 then 'vol_low' when rk <= 0.66 then 'vol_mid' when rk is not null then 'vol_high' else 'vol_unknown' end as vol_regime, 'trend_unknown' as trend_regime, case when gap = 0 then 'event_day' when gap <= 1 then 'event_1d' when gap <= 5 then 'event_week' else 'event_far' end as event_regime, cast(wm as bigint) as week_of_month, count(*) as n, round(sum(net_pnl_usd), 4) as total from k group by 1, 2, 3, 4",
         "rs_hash_bootstrap": f"{runs}, i as (select run_id, net_pnl_usd, row_number() over (partition by run_id order by {O}) - 1 as i, count(*) over (partition by run_id) as m from d), s as (select run_id, m, i, s as sample from i cross join range(0, 50) q(s)), k as (select *, ((1103515245::bigint * (sample * m + i + 42) + 12345) % 2147483648) % m as pick from s) select k.run_id, cast(k.sample as int) as sample, round(avg(i.net_pnl_usd), 8) as mean from k join i on k.run_id = i.run_id and k.pick = i.i group by 1, 2",
+        "rs_hash_bootstrap_all": f"{runs}, i as (select run_id, net_pnl_usd, row_number() over (partition by run_id order by {O}) - 1 as i, count(*) over (partition by run_id) as m from d), s as (select run_id, m, i, s as sample from i cross join range(0, 1000) q(s)), k as (select *, ((1103515245::bigint * (sample * m + i + 42) + 12345) % 2147483648) % m as pick from s) select k.run_id, cast(k.sample as int) as sample, round(avg(i.net_pnl_usd), 8) as mean from k join i on k.run_id = i.run_id and k.pick = i.i group by 1, 2",
         "stat_half_life": f"with {B}, l as (select symbol, lag(close) over (partition by symbol order by timestamp_utc) as p, close - lag(close) over (partition by symbol order by timestamp_utc) as d from b), m as (select symbol, d - avg(d) filter (p is not null) over (partition by symbol) as y, p - avg(p) over (partition by symbol) as x from l where p is not null), g as (select symbol, count(*) as n, sum(x * y) / sum(x * x) as beta, pow(sum(x * y), 2) / (sum(x * x) * sum(y * y)) as r2 from m group by 1), h as (select *, case when beta < -1e-10 then ln(2) / -beta end as hl from g) select symbol, n, round(beta, 4) as beta, round(r2, 4) as r_squared, round(hl, 4) as half_life, case when abs(beta) < 1e-10 then 'RANDOM_WALK' when beta >= 0 then 'TRENDING' else 'MEAN_REVERTING' end as kind, case when hl is null then 'TRENDING' when hl < 5 then 'TOO_FAST' when hl > 60 then 'TOO_SLOW' else 'TRADEABLE' end as label from h",
         "reg_trial_tiers": "with t as (select strategy_id, cast(exported_at at time zone 'UTC' as date) as ts, count(*) as n from trades group by 1, 2) select case when date '2024-10-01' - ts <= 180 then 'hot' when date '2024-10-01' - ts <= 730 then 'warm' else 'cold' end as tier, strftime(ts, '%Y-%m') as archive_month, cast(sum(n) as bigint) as n from t group by 1, 2",
         "reg_keep_runs": "with t as (select strategy_id, trade_id, case when quantity = 3 then 'validation' else 'exploration' end as mode, max(exported_at) as ts from trades group by all), r as (select *, row_number() over (partition by strategy_id order by ts desc, trade_id) as r from t) select strategy_id, count(*) as to_delete from r where r > 5 and mode <> 'validation' group by 1",
