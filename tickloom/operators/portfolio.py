@@ -45,6 +45,14 @@ def rolling_correlation(daily: DataFrame, run_a: str, run_b: str, n: int = 60) -
     return d.select("day", F.when(F.count("*").over(w) == n, _corr("x", "y", w)).alias("corr"))
 
 
+def rolling_correlations(daily: DataFrame, n: int = 60) -> DataFrame:
+    """(run_a, run_b, day, corr) over the last ``n`` days for every pair of runs."""
+    d = aligned(daily)
+    a, b = d.select("day", F.col("run_id").alias("run_a"), F.col("pnl").alias("x")), d.select("day", F.col("run_id").alias("run_b"), F.col("pnl").alias("y"))
+    w = Window.partitionBy("run_a", "run_b").orderBy("day").rowsBetween(-(n - 1), 0)
+    return a.join(b, "day").where("run_a < run_b").select("run_a", "run_b", "day", F.when(F.count("*").over(w) == n, _corr("x", "y", w)).alias("corr"))
+
+
 def benchmark_correlation(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
     return daily.join(benchmark.select("day", F.col("value").alias("b")), "day").groupBy("run_id").agg(_corr("pnl", "b").alias("corr"), F.count("*").alias("days"))
 
