@@ -36,7 +36,22 @@ def test_every_stretch_is_mixed(spark):
     for k in range(8):
         part = p.iloc[k * len(p) // 8 : (k + 1) * len(p) // 8]
         assert abs(part[part.source == "a"].tokens.sum() / part.tokens.sum() - 0.7) < 0.06
-    assert not p.duplicated(["doc_id", "use"]).any()
+    assert not p.duplicated(["doc_id", "use", "token_start"]).any()
+
+
+def test_slots_are_full_and_documents_whole(spark):
+    c = data(spark, {"a": 700, "b": 300, "c": 5}, seed=3).unionAll(spark.createDataFrame([(5000, "a", 9000, 0)], COUNTS))
+    t = spark.createDataFrame([("a", 0.6, 1), ("b", 0.37, 3), ("c", 0.03, 4)], TARGETS)
+    p = mixture(c, t, block_tokens=512).toPandas()
+    per = p.groupby(["source", "slot"]).tokens.sum().reset_index()
+    for _, g in per.groupby("source"):
+        g = g.sort_values("slot")
+        assert (g.tokens.iloc[:-1] == 512).all()
+    assert sorted(per.slot) == list(range(len(per)))
+    size = {r["doc_id"]: r["tokens"] for r in c.collect()}
+    for (doc, use), g in p.groupby(["doc_id", "use"]):
+        g = g.sort_values("token_start")
+        assert g.tokens.sum() == size[doc] and (g.token_start.to_numpy() == np.r_[0, g.tokens.cumsum().to_numpy()[:-1]]).all()
 
 
 def test_amounts():

@@ -17,20 +17,22 @@ def test_heuristic_keeps_every_limit():
         loss_cap = int(cap * share)
         t = rng.integers(1, loss_cap + 1, 400)
         w = np.minimum(rng.integers(0, 200, 400), t)
-        b = pack(t, w, cap, seg, loss_cap)
+        b, ended = pack(t, w, cap, seg, loss_cap)
+        assert len(ended) == b.max() + 1 and set(ended) <= {"tokens", "loss", "segments", "end"} and ended.count("end") <= 1
         assert (b >= 0).all() and set(b) == set(range(b.max() + 1))
         assert np.bincount(b, t).max() <= cap and np.bincount(b, w).max() <= loss_cap and np.bincount(b).max() <= seg
     t = rng.integers(1, 60, 3000)
-    b = pack(t, t, 256, 256, 256)
+    b, _ = pack(t, t, 256, 256, 256)
     assert t.sum() / ((b.max() + 1) * 256) > 0.99
 
 
-def check(out, counts, packs, per=8):
+def check(out, counts, packs, per=64):
     p = out.toPandas()
     for name, cap in packs:
         q = p[p.pack_name == name]
-        size = q.groupby("container").agg(tokens=("tokens", "sum"), n=("doc_id", "size"))
+        size = q.groupby("container").agg(tokens=("tokens", "sum"), n=("doc_id", "size"), loss=("loss_tokens", "sum"), closed=("closed_by", "first"))
         assert size.tokens.max() <= cap and size.n.max() <= max(1, cap // per)
+        assert ((size.loss <= int(cap * 0.98)) | (size.n == 1) & (size.closed == "alone")).all()
         for doc, g in q.groupby("doc_id"):
             whole = dict((c[0], c[2]) for c in counts)[doc]
             g = g.sort_values("token_start")
@@ -48,11 +50,30 @@ def test_all_documents_whole_unless_too_large(spark):
     assert p.tokens.sum() == 2 * sum(c[2] for c in counts)
 
 
+def test_every_limit_binds(spark):
+    rng = np.random.default_rng(4)
+    counts = [(i, "s", int(rng.integers(2, 300 if i % 3 else 20)), int(rng.integers(0, 5))) for i in range(6000)]
+    p = packed(spark.createDataFrame(counts, COUNTS), spark.createDataFrame([("a", 1024)], PACKS), shard_items=8000).toPandas()
+    ends = p.groupby("container").closed_by.first().value_counts()
+    assert min(ends.get(k, 0) for k in ("tokens", "loss", "segments")) > 0
+    # what fits is never cut, whatever the loss limit
+    q = packed(spark.createDataFrame([(1, "s", 100, 0), (2, "s", 64, 0), (3, "s", 129, 0)], COUNTS), spark.createDataFrame([("a", 100)], PACKS), loss_share=0.5).toPandas()
+    assert q.groupby("doc_id").size().to_dict() == {1: 1, 2: 1, 3: 2} and q.container.nunique() == 4
+
+
+def test_containers_do_not_depend_on_files(spark):
+    counts = [(i % 90, "s", 10 + i % 7 * 9, i % 3) for i in range(300)]
+    df, packs = spark.createDataFrame(counts, COUNTS), spark.createDataFrame([("a", 128)], PACKS)
+    order = ["container", "doc_id", "copy", "piece", "tokens"]
+    a, b = (packed(x, packs, shard_items=60).toPandas().sort_values(order).reset_index(drop=True) for x in (df.coalesce(1), df.repartition(7)))
+    assert a.equals(b)
+
+
 def test_edges(spark):
     counts = spark.createDataFrame([(1, "s", 10, 0), (1, "s", 10, 0), (2, None, 0, 0), (3, "s", None, None)], COUNTS).withColumn("uid", F.lit(1)).withColumn("shard", F.lit(1))
     packs = spark.createDataFrame([("a", 16), ("a", 16), (None, 5), ("z", 0), ("y", None)], PACKS).withColumn("segments", F.lit(1))
     p = packed(counts, packs).toPandas()
-    assert len(p) == 2 and p.tokens.tolist() == [10, 10] and p.container.nunique() == 2
+    assert len(p) == 2 and p.tokens.tolist() == [10, 10] and p.container.nunique() == 2 and sorted(p["copy"]) == [0, 1]
     assert packed(counts.limit(0), packs).count() == 0 and packed(counts, packs.limit(0)).count() == 0
 
 

@@ -1,285 +1,94 @@
 """Per-document text statistics and how far they stand from the prose of the document's language.
 
-Statistics are taken over whole texts, line by line, in Arrow batches. Centre and covariance of all statistics are
+Statistics are taken over whole texts in Arrow batches (``textstats``). Centre and covariance of all of them are
 estimated per language from the corpus itself, robustly: a first centre and scale from medians, then sums over the documents
-near them, twice over. Each document's Mahalanobis distance and every statistic's share in it are reported. Documents
-beyond the threshold are outliers from prose; which form they have is read off the statistics that speak of lines: the
-shares of characters in list items, in table cells and in matter that says nothing.
+near them, twice over. Each document's Mahalanobis distance and every statistic's contribution to it are reported. Documents
+beyond the threshold are outliers from prose, and only they can have a form. Which one is read off the contributions: each
+form, odd prose among them, has a centre and covariance of signed log contributions, fitted on a bounded sample of hand
+labels, and an outlier has the form it is nearest to. With few labels the largest group of contributions speaks instead.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.textstats import STATISTICS, Alphabet, CommonWords, measure
 from tickloom.runtime import durable, table
 
-#: The statistics, in the order of the vectors.
-STATISTICS = ["log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "repetition", "log_line_length", "odd_words", "list_share", "table_share", "junk_share"]
-#: Squared distance beyond which a document is no ordinary prose (for twelve statistics about one prose text in a thousand).
-OUTLIER = 32.9
-#: Least variance of a statistic, so that shares that are zero in all prose still have a scale.
-FLOORS = [0.05, 0.05, 1e-4, 1e-4, 4e-3, 1e-3, 4e-4, 0.05, 4e-4, 2.5e-3, 2.5e-3, 2.5e-3]
+K = len(STATISTICS)
+#: Squared distance beyond which a document is no ordinary prose: the 0.999 quantile of chi-square with 17 degrees of freedom.
+OUTLIER = 40.79
+#: Least variance of each statistic, so that shares that are zero in all prose still have a scale.
+FLOORS = dict(zip(STATISTICS, [0.05, 0.05, 0.05, 1e-4, 1e-4, 1e-3, 4e-3, 1e-3, 4e-4, 4e-3, 4e-3, 0.05, 0.05, 4e-3, 2.5e-3, 2.5e-3, 2.5e-3]))
 #: Common words accepted from the table at most; it has a few hundred.
 MOST_COMMON_WORDS = 100_000
-
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_JA = re.compile(r"[぀-ゟ]+|[゠-ヿ]+|[一-鿿]+|[A-Za-z]+")
-_KANA = re.compile(r"[぀-ヿ]")
-_CJK = re.compile(r"[぀-ヿ一-鿿]")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
-_BULLET = re.compile(r"^(?:[-*+•·‣◦▪–—>]|\(?\d{1,5}[.)\]:]|\(?[a-zA-Z][.)])\s+\S")
-_END = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
-_SENTENCE_END = re.compile(r"[.!?。！？…](?:[\"'”’»)]*)(?:\s|$)|[。！？]")
-_GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_TIGHT = {",": re.compile(r",(?! )"), ";": re.compile(r";(?! )")}
-_LEADER = re.compile(r"\S ?(?:\.{4,}|_{4,}|-{4,})\s*\d{1,5}$")
-_RULE = re.compile(r"^[|+:\-=\s─┼│]+$")
-_CODE = re.compile(r"[{}()\[\]=<>;\"`\\|&$#~^@%*_]")
-_BLOB = re.compile(r"\b[A-Za-z0-9+/]{48,}={0,2}")
-_HEX = re.compile(r"^(?:[0-9a-fA-F]{2}|[0-9a-fA-F]{8}:?)$")
-_RARE = re.compile(r"[jqxJQX]")
-_CRUMBS = re.compile(r"\S > \S")
-_VOWEL = re.compile(r"[aeiouyäöüáéíóúàèùâêîôûœæ]")
-_NOTICE = re.compile(r"cookie|クッキー|device\. By going|kleiner Dateien", re.I)
-
-
-def words_of(text: str) -> list[str]:
-    """Words in lower case; where there is Japanese script, its runs of one kind count as words."""
-    return [w.lower() for w in (_JA if _KANA.search(text) else _WORD).findall(text)]
-
-
-def language_of(tag: str | None, text: str, words: list[str], common: dict[str, frozenset]) -> str:
-    """The language by script and common words; the tag, without case and region, decides only where those are silent."""
-    if _KANA.search(text):
-        return "ja"
-    if not text.isascii() and sum(len(w) for w in words if _CYRILLIC.match(w)) * 3 > sum(map(len, words)):
-        return "ru"
-    given = re.split(r"[-_]", (tag or "").strip().lower())[0]
-    counts = {lang: sum(w in c for w in words) for lang, c in common.items() if lang not in ("ja", "ru")}
-    best = max(sorted(counts), key=counts.get, default="")
-    if best and counts[best] >= 3 and counts[best] > 1.3 * counts.get(given, 0):
-        return best
-    return given if given in common else best or "und"
-
-
-def _tables(lines: list[str]) -> list[bool]:
-    """Lines that belong to a run of at least three with the same columns."""
-    kinds: list[list[tuple[str, int]]] = []
-    for line in lines:
-        found = []
-        for d in "|│¦\t":
-            if (n := line.count(d)) >= 1:
-                found.append((d, n))
-        for d, r in _TIGHT.items():
-            if d in line and (n := len(r.findall(line))) >= 1 and n == line.count(d):
-                found.append((d, n))
-        if "  " in line and (n := len(_GAP.findall(line))) >= 1:
-            found.append(("gap", 0))
-        kinds.append(found)
-    out = [False] * len(lines)
-    active: dict[tuple[str, int], int] = {}
-    for i in range(len(lines) + 1):
-        now = kinds[i] if i < len(lines) else []
-        rule = i < len(lines) and bool(now) and bool(_RULE.match(lines[i]))
-        for k in list(active):
-            if k not in now and not rule:
-                s = active.pop(k)
-                if i - s >= 3:
-                    out[s:i] = [True] * (i - s)
-        for k in now:
-            active.setdefault(k, i)
-    return out
-
-
-def _repetition(words: list[str]) -> float:
-    """The largest share of words that equal the one k places before them, k from 1 to 8 and at most a fifth of the words."""
-    n = len(words)
-    if n < 12:
-        return 0.0
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in words])
-    return float(max((a[k:] == a[:-k]).mean() for k in range(1, min(8, n // 5) + 1)))
-
-
-def _is_junk(line: str, words: list[str], common: frozenset) -> bool:
-    """Does a line say nothing: noise, code, dumps, endless repetition, strings of function words or of random letters?"""
-    n = len(line)
-    if n < 24:
-        return False
-    letters = sum(map(len, words))
-    if n - line.count(" ") > 0 and len(_CODE.findall(line)) / n > 0.085:
-        return True
-    blob = sum(len(b) for b in _BLOB.findall(line))
-    if blob > 0.5 * n:
-        return True
-    tokens = line.split()
-    if len(tokens) >= 8 and sum(1 for t in tokens if _HEX.match(t)) > 0.75 * len(tokens):
-        return True
-    if len(words) >= 12:
-        if _repetition(words) > 0.6:
-            return True
-        hits = sum(w in common for w in words)
-        if len(words) >= 15 and hits > 0.8 * len(words):
-            return True
-        if hits < 0.1 * len(words) and line.isascii():
-            if letters >= 60 and len(_RARE.findall(line)) > 0.05 * letters:
-                return True
-    # symbols in place of letters; damaged letters stand between letters and are no noise
-    if letters < 0.35 * (n - line.count(" ")) and not _CJK.search(line):
-        digits = sum(c.isdigit() for c in line)
-        high = sum(ord(c) > 0xA0 for c in line)
-        if letters + digits < 0.5 * (n - line.count(" ")) and (high < 0.5 * n or letters < 0.2 * n):
-            return True
-    return False
-
-
-def line_forms(text: str, common: frozenset) -> tuple[list[str], list[str]]:
-    """The non-empty lines and the form of each: list, table, junk, prose, or none (menus, titles, notices, footers)."""
-    lines = [x for x in (y.strip(" \r\x0b\x0c") for y in text.split("\n")) if x.strip()]
-    forms = [""] * len(lines)
-    if not lines:
-        return lines, forms
-    # a head of very short lines, or one line of links, is a menu; the footer names the site
-    head = 0
-    while head < min(len(lines), 14) and len(lines[head]) <= 20 and len(lines[head].split()) <= 3 and not _BULLET.match(lines[head]) and not any(c.isdigit() or c in ",;|│\t" for c in lines[head]) and not _END.search(lines[head]):
-        head += 1
-    if head >= 3 and (len(lines) - head >= 3 or any(len(x) >= 40 for x in lines[head:])):
-        for i in range(head):
-            forms[i] = "none"
-    elif len(lines) > 1 and lines[0].count(" | ") >= 2 and len(lines[0]) <= 120 and all(len(x) <= 22 for x in lines[0].split(" | ")) and lines[1].count("|") != lines[0].count("|"):
-        forms[0] = "none"
-    for i, line in enumerate(lines):
-        if line.startswith("©") or (len(line) < 130 and _NOTICE.search(line)):
-            forms[i] = "none"
-    open_lines = [i for i, f in enumerate(forms) if not f]
-    in_table = _tables([lines[i] for i in open_lines])
-    of_words = {i: words_of(lines[i]) for i in open_lines}
-    for i, t in zip(open_lines, in_table):
-        if t:
-            forms[i] = "table"
-    for i in open_lines:
-        if forms[i]:
-            # a run of bracketed code has columns too
-            tokens = lines[i].split()
-            if len(re.findall(r"[{}()=]", lines[i])) > 0.05 * len(lines[i]) or len(tokens) >= 8 and sum(1 for t in tokens if _HEX.match(t)) > 0.75 * len(tokens):
-                forms[i] = "junk"
-            continue
-        if _LEADER.search(lines[i]) or _CRUMBS.search(lines[i]) and not _SENTENCE_END.search(lines[i]):
-            forms[i] = "list"
-        elif _is_junk(lines[i], of_words[i], common):
-            forms[i] = "junk"
-        elif _BULLET.match(lines[i]):
-            forms[i] = "list"
-    # items set in one line, divided by commas
-    for i in open_lines:
-        if forms[i]:
-            continue
-        line = lines[i]
-        commas = len(re.findall(r"[,、，;·•/|]", line))
-        if commas >= 5 and not _SENTENCE_END.search(line[:-1]):
-            w = of_words[i]
-            per = len(w) / (commas + 1)
-            if (per <= 4 or _CJK.search(line) and len(line) / (commas + 1) <= 14) and sum(x in common for x in w) < 0.15 * max(len(w), 1):
-                forms[i] = "list"
-    # bare items, one a line
-    i = 0
-    while i < len(open_lines):
-        j = i
-        while j < len(open_lines) and not forms[open_lines[j]] and len(lines[open_lines[j]]) <= 70 and len(of_words[open_lines[j]]) <= 8 and not _END.search(lines[open_lines[j]]):
-            j += 1
-        run = open_lines[i:j]
-        if len(run) >= 4:
-            w = [x for k in run for x in of_words[k]]
-            sizes = [len(lines[k]) for k in run]
-            wrapped = sum(sizes) / len(sizes) > 0.78 * max(sizes) and max(sizes) >= 24 and len(w) >= 4 * len(run)
-            if sum(x in common for x in w) < 0.12 * max(len(w), 1) and not wrapped and sum(sizes) / len(sizes) <= 45:
-                for k in run:
-                    forms[k] = "list"
-        i = max(j, i + 1)
-    for k in open_lines:
-        if not forms[k]:
-            forms[k] = "none" if k == open_lines[0] and len(open_lines) > 1 and len(of_words[k]) <= 6 and not _END.search(lines[k]) else "prose"
-    return lines, forms
-
-
-def statistics(tag: str | None, text: str, common: dict[str, frozenset]) -> tuple[str, int, list[float]]:
-    """Language, number of words and the vector of statistics of a text that is not blank."""
-    words = words_of(text)
-    lang = language_of(tag, text, words, common)
-    own = common.get(lang, frozenset())
-    lines, forms = line_forms(text, own)
-    size = {"list": 0, "table": 0, "junk": 0, "prose": 0, "none": 0}
-    for line, form in zip(lines, forms):
-        size[form] += len(line)
-    body = max(size["list"] + size["table"] + size["junk"] + size["prose"], 1)
-    visible = sum(map(len, lines)) - text.count(" ") or 1
-    letters = sum(map(len, words))
-    digits = len(re.findall(r"\d", text))
-    n = len(words)
-    full = [x for x, f in zip(lines, forms) if f != "none"] or lines
-    odd = sum(1 for w in words if len(w) > 22 or (len(w) >= 4 and w.isascii() and not _VOWEL.search(w)))
-    return lang, n, [
-        math.log1p(n), letters / max(n, 1), max(0.0, 1.0 - (letters + digits) / max(visible, letters + digits)), digits / max(visible, 1),
-        sum(bool(_END.search(x)) for x in full) / max(len(full), 1), sum(w in own for w in words) / max(n, 1), _repetition(words),
-        math.log1p(sum(map(len, full)) / max(len(full), 1)), odd / max(n, 1), size["list"] / body, size["table"] / body, size["junk"] / body,
-    ]
+#: Labelled documents the forms are fitted on at most (those with the least hash), and labelled outliers they need at least.
+MOST_LABELS, LEAST_LABELS = 20_000, 40
+FORMS = ["prose", "list", "table", "junk"]
+#: Where labels are too few: the statistics whose contributions, added up, speak for a form.
+SPEAKS = {
+    "list": ["punctuated_lines", "punctuated_text", "log_line_length", "log_words_per_sentence", "capital_words", "marked_starts"],
+    "table": ["separators_per_word", "column_agreement", "digit_ratio", "digit_ends"],
+    "junk": ["symbol_ratio", "repetition", "mean_word_length", "word_length_spread", "vowel_ratio", "common_words"],
+}
+_ROW = "doc_id long, language string, n_words long, v array<double>"
 
 
 def _measure(common: dict[str, frozenset]):
     def run(batches):
+        words, alphabet = CommonWords(common), Alphabet()
         for batch in batches:
-            ids, langs, texts = (batch.column(i).to_pylist() for i in range(3))
-            out: dict[str, list] = {"doc_id": [], "language": [], "n_words": [], "v": []}
-            for i, lang, text in zip(ids, langs, texts):
-                found = statistics(lang, text, common) if text is not None and text.strip() else (None, 0, None)
-                for k, x in zip(out, (i, *found)):
-                    out[k].append(x)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("n_words", pa.int64()), ("v", pa.list_(pa.float64()))]))
+            if batch.num_rows:
+                language, n, v = measure(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), words, alphabet)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(language, pa.string()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * K, pa.array(v.ravel()))], names=["doc_id", "language", "n_words", "v"])
 
     return run
 
 
 def measured(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id, language, n_words, v): the statistics of whole texts; v and language are null for null and blank texts."""
+    """(doc_id, language, n_words, v): the statistics of whole texts with a character other than blanks."""
     rows = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct().limit(MOST_COMMON_WORDS + 1).collect()
     if len(rows) > MOST_COMMON_WORDS:
         raise ValueError("the table of common words is too large to hand to every task")
     common: dict[str, set] = {}
     for r in rows:
         common.setdefault(r["lang"], set()).add(r["word"])
-    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_measure({k: frozenset(v) for k, v in common.items()}), "doc_id long, language string, n_words long, v array<double>")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\p{Z}\p{C}]"))
+    return docs.mapInArrow(_measure({k: frozenset(v) for k, v in common.items()}), _ROW)
 
 
 def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    v = batch.column(batch.schema.get_field_index("v"))
-    return np.asarray(v.flatten()).reshape(len(v), len(STATISTICS)), np.array(batch.column(batch.schema.get_field_index("language")).to_pylist(), dtype=object)
+    v = batch.column("v")
+    return np.asarray(v.flatten()).reshape(len(v), K), np.array(batch.column("language").to_pylist(), dtype=object)
 
 
 class Model:
-    """Centre and inverse covariance per language."""
+    """Centre and inverse covariance of prose per language."""
 
     def __init__(self, centres: dict[str, np.ndarray], inverses: dict[str, np.ndarray]):
         self.centres, self.inverses = centres, inverses
 
-    def contributions(self, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
+    def contributions(self, x: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each statistic adds to the squared distance, and its deviation from the centre."""
+        c, d = np.zeros_like(x), np.zeros_like(x)
         for g in set(lang):
             at = lang == g
-            d = x[at] - self.centres[g]
-            out[at] = d * (d @ self.inverses[g])
-        return out
+            d[at] = x[at] - self.centres[g]
+            c[at] = d[at] * (d[at] @ self.inverses[g])
+        return c, d
+
 
+def profile(contributions: np.ndarray, deviations: np.ndarray) -> np.ndarray:
+    """Logs of contributions, with the sign of the deviation: too many digits and too few are different things."""
+    return np.sign(deviations) * np.log1p(np.abs(contributions))
 
-def _sums(near):
-    """Per batch and language: number, sums and products of the vectors that ``near`` accepts."""
-    k = len(STATISTICS)
+
+def _sums(vectors: DataFrame, near) -> dict[str, np.ndarray]:
+    """Per language: number, sums and products of the vectors that ``near`` accepts, added up per batch before they move."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -294,34 +103,27 @@ def _sums(near):
         if total:
             yield pa.RecordBatch.from_pydict({"language": list(total), "s": [t.tolist() for t in total.values()]}, schema=pa.schema([("language", pa.string()), ("s", pa.list_(pa.float64()))]))
 
-    def total(vectors: DataFrame) -> dict[str, np.ndarray]:
-        parts = vectors.mapInArrow(run, "language string, s array<double>")
-        one = parts.groupBy("language").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(1 + k + k * k)])
-        return {r[0]: np.array(r[1:]) for r in one.collect()}
-
-    return total
+    parts = vectors.mapInArrow(run, "language string, s array<double>")
+    # arrays are added place by place: one long row per language instead of hundreds of aggregates
+    places = parts.select("language", F.posexplode("s").alias("at", "x")).groupBy("language", "at").agg(F.sum("x").alias("x"))
+    rows = places.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")).collect()
+    return {r["language"]: np.array([e["x"] for e in r["s"]]) for r in rows}
 
 
 def _fitted(sums: dict[str, np.ndarray], languages: list[str], widen: float) -> Model:
     """Centres and shrunk, floored covariances; small languages lean on all languages together."""
-    k = len(STATISTICS)
-    floor = np.diag(FLOORS)
-    centres, covs, n_of = {}, {}, {}
-    for g, s in sums.items():
-        n = n_of[g] = s[0]
-        mu = s[1 : 1 + k] / n
-        centres[g], covs[g] = mu, s[1 + k :].reshape(k, k) / n - np.outer(mu, mu)
+    floor = np.diag([FLOORS[s] for s in STATISTICS])
+    n_of = {g: s[0] for g, s in sums.items()}
+    centres = {g: s[1 : 1 + K] / s[0] for g, s in sums.items()}
+    covs = {g: s[1 + K :].reshape(K, K) / s[0] - np.outer(centres[g], centres[g]) for g, s in sums.items()}
     total = sum(n_of.values())
-    mean = sum(n_of[g] * centres[g] for g in sums) / total
-    pooled = sum(n_of[g] * covs[g] for g in sums) / total
+    mean, pooled = sum(n_of[g] * centres[g] for g in sums) / total, sum(n_of[g] * covs[g] for g in sums) / total
+    lean = 30.0
     out_c, out_i = {}, {}
     for g in languages:
-        n = n_of.get(g, 0.0)
-        lean = 30.0
-        own_c, own_v = centres.get(g, mean), covs.get(g, pooled)
-        out_c[g] = own_c if n >= 15 else (n * own_c + lean * mean) / (n + lean)
-        cov = (n * own_v + lean * pooled) / (n + lean)
-        out_i[g] = np.linalg.inv(widen * cov + floor)
+        n, c, v = n_of.get(g, 0.0), centres.get(g, mean), covs.get(g, pooled)
+        out_c[g] = c if n >= 15 else (n * c + lean * mean) / (n + lean)
+        out_i[g] = np.linalg.inv(widen * (n * v + lean * pooled) / (n + lean) + floor)
     return Model(out_c, out_i)
 
 
@@ -330,40 +132,96 @@ def fit_prose(vectors: DataFrame) -> Model:
 
     Only per-language sums reach the driver: as many rows as there are languages, which the table of common words bounds.
     """
-    k = len(STATISTICS)
-    quart = vectors.groupBy("language").agg(*[F.percentile_approx(F.col("v")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(k)])
-    rows = {r[0]: np.array([r[i + 1] for i in range(k)]) for r in quart.collect()}
+    quart = vectors.groupBy("language").agg(*[F.percentile_approx(F.col("v")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(K)])
+    rows = {r[0]: np.array([r[i + 1] for i in range(K)]) for r in quart.collect()}
     if not rows:
         return Model({}, {})
     mid = {g: q[:, 1] for g, q in rows.items()}
-    scale = {g: np.maximum((q[:, 2] - q[:, 0]) / 1.349, np.sqrt(FLOORS)) for g, q in rows.items()}
+    least = np.sqrt([FLOORS[s] for s in STATISTICS])
+    scale = {g: np.maximum((q[:, 2] - q[:, 0]) / 1.349, least) for g, q in rows.items()}
     languages = list(rows)
 
     def near(x, lang):
         m, s = np.array([mid[g] for g in lang]), np.array([scale[g] for g in lang])
         return (np.abs(x - m) <= 4 * s).all(axis=1)
 
-    sums = _sums(near)(vectors)
-    if not sums:
-        sums = _sums(lambda x, lang: np.ones(len(x), dtype=bool))(vectors)
+    sums = _sums(vectors, near) or _sums(vectors, lambda x, lang: np.ones(len(x), dtype=bool))
     model = _fitted(sums, languages, 1.3)
     for _ in range(2):
-        model = _fitted(_sums(lambda x, lang, m=model: m.contributions(x, lang).sum(axis=1) <= 26.2)(vectors) or sums, languages, 1.15)
+        model = _fitted(_sums(vectors, lambda x, lang, m=model: m.contributions(x, lang)[0].sum(axis=1) <= OUTLIER) or sums, languages, 1.15)
     return model
 
 
-def _score(model: Model):
+class Forms:
+    """Centres and covariances of the forms in the space of ``profile``, or the groups of statistics where labels are too few."""
+
+    def __init__(self, profiles: np.ndarray, labels: np.ndarray):
+        self.fits: list[tuple[str, np.ndarray, np.ndarray, float]] = []
+        if len(labels) >= LEAST_LABELS:
+            fits = self._fit({f: profiles[labels == f] for f in FORMS})
+            for _ in range(2):
+                # labels that contradict the fit are taken for wrong, unless that were most of a form's
+                got = self._nearest(profiles, fits)
+                kept = {}
+                for f in FORMS:
+                    own = labels == f
+                    kept[f] = profiles[own & (got == f)] if (own & (got == f)).sum() * 2 > own.sum() else profiles[own]
+                fits = self._fit(kept)
+            self.fits = fits
+
+    @staticmethod
+    def _fit(of: dict[str, np.ndarray]):
+        of = {f: w for f, w in of.items() if len(w)}
+        n = sum(map(len, of.values()))
+        covs = {f: np.cov(w.T, bias=True) if len(w) > 1 else np.zeros((K, K)) for f, w in of.items()}
+        pooled = sum(len(of[f]) * covs[f] for f in of) / n
+        fits = []
+        for f, w in of.items():
+            m = len(w)
+            cov = (m * covs[f] + 5 * pooled) / (m + 5) + np.eye(K) * (0.05 + 5 / m)
+            fits.append((f, np.median(w, axis=0) if m < 10 else w.mean(axis=0), np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1] - 2 * np.log((m + 1) / (n + 4)))))
+        return fits
+
+    @staticmethod
+    def _nearest(u: np.ndarray, fits) -> np.ndarray:
+        score = np.array([((u - m) * ((u - m) @ inverse)).sum(axis=1) + offset for _, m, inverse, offset in fits])
+        return np.array([f for f, *_ in fits], dtype=object)[score.argmin(axis=0)]
+
+    def name(self, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        if not len(c):
+            return np.array([], dtype=object)
+        if self.fits:
+            return self._nearest(profile(c, d), self.fits)
+        groups = np.column_stack([c[:, [STATISTICS.index(s) for s in of]].sum(axis=1) for of in SPEAKS.values()])
+        return np.array(list(SPEAKS), dtype=object)[groups.argmax(axis=1)]
+
+
+def fit_forms(vectors: DataFrame, model: Model, labels: DataFrame | None) -> Forms:
+    """The forms from hand labels: at most MOST_LABELS documents, those with the least hash; a document on which raters are split has none."""
+    none = Forms(np.zeros((0, K)), np.array([], dtype=object))
+    if labels is None or not model.centres:
+        return none
+    votes = labels.where(F.col("form").isin(FORMS) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "form").count()
+    won = votes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("count", "form")), asc=False).alias("w"))
+    one = won.where("size(w) = 1 or w[0].count > w[1].count").select("doc_id", F.col("w")[0]["form"].alias("form")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
+    rows = vectors.join(F.broadcast(one), "doc_id").groupBy("doc_id").agg(F.min(F.struct("language", "v", "form")).alias("x")).select("x.*").collect()
+    if not rows:
+        return none
+    c, d = model.contributions(np.array([r["v"] for r in rows]), np.array([r["language"] for r in rows], dtype=object))
+    far = c.sum(axis=1) > OUTLIER
+    return Forms(profile(c, d)[far], np.array([r["form"] for r in rows], dtype=object)[far])
+
+
+def _score(model: Model, forms: Forms):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, lang = _vectors(batch)
-            c = model.contributions(x, lang)
+            c, d = model.contributions(*_vectors(batch))
             d2 = c.sum(axis=1)
-            shares = x[:, -3:]
-            best = shares.argmax(axis=1)
             outlier = d2 > OUTLIER
-            form = np.where(outlier & (shares.max(axis=1) > 0.5), np.array(["list", "table", "junk"], dtype=object)[best], "prose")
+            form = np.full(len(d2), "prose", dtype=object)
+            form[outlier] = forms.name(c[outlier], d[outlier])
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "language": batch.column("language"), "n_words": batch.column("n_words"), "v": batch.column("v"), "distance": np.sqrt(np.maximum(d2, 0.0)), "contributions": c.tolist(), "outlier": outlier, "form": form.tolist()},
                 schema=pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("n_words", pa.int64()), ("v", pa.list_(pa.float64())), ("distance", pa.float64()), ("contributions", pa.list_(pa.float64())), ("outlier", pa.bool_()), ("form", pa.string())]),
@@ -372,28 +230,32 @@ def _score(model: Model):
     return run
 
 
-def prose_outliers(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+def prose_outliers(documents: DataFrame, common_words: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Per document with a text: its statistics, distance from its language's prose, each statistic's contribution, outlier and form.
 
-    ``contributions`` are in the order of STATISTICS and add up to the squared distance. ``form`` is list, table or junk for
-    outliers most of whose characters are such, else prose. Null and blank texts give no row, null doc_ids neither;
-    repeated documents are judged one by one. An empty table gives an empty result; without common words all languages
-    but those told by script are one. Other columns are ignored.
+    ``contributions`` are in the order of STATISTICS and add up to the squared distance. ``form`` is list, table, junk or prose;
+    what is no outlier is prose. Null and blank texts give no row, null doc_ids neither; repeated documents are judged one by
+    one. An empty table gives an empty result; without common words all languages are one. Without ``labels`` (doc_id,
+    form), or with fewer than LEAST_LABELS on outliers, an outlier has the form whose statistics contribute most. Labels of
+    unknown documents or forms are ignored, and so are other columns.
     """
-    vectors = durable(measured(documents, common_words).where(F.col("v").isNotNull()))
+    vectors = durable(measured(documents, common_words))
     model = fit_prose(vectors)
-    return vectors.mapInArrow(_score(model), "doc_id long, language string, n_words long, v array<double>, distance double, contributions array<double>, outlier boolean, form string")
+    forms = fit_forms(vectors, model, labels)
+    return vectors.mapInArrow(_score(model, forms), _ROW + ", distance double, contributions array<double>, outlier boolean, form string")
+
+
+def _judged(spark, folder: str) -> DataFrame:
+    return prose_outliers(table(spark, folder, "documents"), table(spark, folder, "common_words"), table(spark, folder, "form_labels"))
 
 
 def p9_found(spark, folder: str) -> DataFrame:
     """Documents that are lists, tables or junk."""
-    out = prose_outliers(table(spark, folder, "documents"), table(spark, folder, "common_words"))
-    return out.where("outlier and form <> 'prose'").select("doc_id", "form")
+    return _judged(spark, folder).where("form <> 'prose'").select("doc_id", "form")
 
 
 def p9_statistics(spark, folder: str) -> DataFrame:
     """The statistics, distance and contributions of every document with a text."""
-    out = prose_outliers(table(spark, folder, "documents"), table(spark, folder, "common_words"))
     names = [F.col("v")[i].alias(s) for i, s in enumerate(STATISTICS)]
     shares = [F.col("contributions")[i].alias(f"{s}_contribution") for i, s in enumerate(STATISTICS)]
-    return out.select("doc_id", "language", "n_words", *names, "distance", *shares, "outlier", "form")
+    return _judged(spark, folder).select("doc_id", "language", "n_words", *names, "distance", *shares, "outlier", "form")

@@ -12,6 +12,7 @@ def queries() -> dict:
         "p7_report": packing.p7_report,
         "p8_mixture": mixing.p8_mixture,
         "p8_shares": mixing.p8_shares,
+        "p8_slots": mixing.p8_slots,
         "p9_found": prose.p9_found,
         "p9_statistics": prose.p9_statistics,
     }
