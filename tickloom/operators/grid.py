@@ -60,8 +60,9 @@ def observed_periods(bars: DataFrame) -> DataFrame:
     b = b.withColumn("gr_slot", F.expr("(unix_seconds(gr_ts) div gr_period) * gr_period - if(unix_seconds(gr_ts) < 0 and unix_seconds(gr_ts) % gr_period <> 0, gr_period, 0)"))
     b = b.repartition("gr_contract", "gr_tf", "gr_day")
     last = F.max(F.struct("gr_ts", "gr_id", "gr_close", "gr_volume")).alias("gr_last")
-    b = b.groupBy("gr_contract", "gr_tf", "gr_day", "gr_slot").agg(F.first("gr_period").alias("gr_period"), last, F.count("*").alias("gr_n"))
-    return b.select("gr_contract", "gr_tf", "gr_day", "gr_slot", "gr_period", col("gr_last.gr_close").alias("gr_close"), col("gr_last.gr_volume").alias("gr_volume"), "gr_n")
+    # the period is a key, so that every branch needs the same columns of the shuffle and they share one
+    b = b.groupBy("gr_contract", "gr_tf", "gr_day", "gr_slot", "gr_period").agg(last)
+    return b.select("gr_contract", "gr_tf", "gr_day", "gr_slot", "gr_period", col("gr_last.gr_close").alias("gr_close"), col("gr_last.gr_volume").alias("gr_volume"))
 
 
 def _solve(batches):

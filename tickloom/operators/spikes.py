@@ -1,12 +1,17 @@
 """False readings of bars: spikes, frozen values and impossible ones.
 
-Every contract is filtered by a local-level state-space model. The Kalman filter walks over a bar's open and close in
-log price (and over log volume); its innovations are standardised by the predicted variance, which scales with the
-contract's own noise, with the time since the last bar and, in bursts, with the recent innovations. A reading whose
-innovation is too large is withheld from the update. Whether it *lasts* is told by the bars after it: a level that the
-next open or the following bars confirm is a true jump, and the state moves there. High and low are judged by their
-innovation against the filtered body of their bar. A run of equal values has innovations of no variance; it is frozen if the
-contract's usual share of unchanged readings makes a run of that length implausible.
+Every contract is filtered by local-level state-space models. The Kalman filter walks over a bar's open and close in log
+price, over the upper and lower wick beyond its filtered body, and over log volume; each of these has a state of its
+own. Innovations are standardised by the predicted variance, which scales with the contract's own noise, with the time since
+the last bar and, in bursts, with the recent innovations. A reading whose innovation is too large is withheld from the
+update. Whether it *lasts* is told by the bars after it: a level that the next open or the following bars confirm is a true
+jump, and the state moves there.
+
+A stuck source is one whose innovations lose their variance. Every field is also followed by a random walk observed without
+noise, whose innovation is the change of the reading; and every bar by the steps from the last close to its open, to its
+close and to its ends, which a replayed bar repeats one by one. Where these do not vary at all, a recursion carries
+the likelihood of that, shrinking at each step by the contract's own share of innovations that do not vary; the stretch is
+frozen once it falls below chance.
 
 Contracts are filtered in blocks of time with an overlap on both sides that serves to settle the filter and to see what
 lasts, so one huge contract is many tasks; per block the noise parameters are robust medians. Only verdicts of rows
@@ -26,11 +31,11 @@ from tickloom.operators.grid import period_seconds
 from tickloom.operators.segments import map_sorted_groups
 from tickloom.runtime import table
 
-#: Standardised innovations from here on are withheld: of the close against the level, of high and low against the body, of log volume.
+#: Standardised innovations from here on are withheld: of the close against the level, of the wicks, of log volume.
 CLOSE_Z, WICK_Z, VOLUME_Z = 7.0, 7.5, 6.0
 #: Least factor by which a false volume exceeds what is expected.
 VOLUME_RATIO = 12.0
-#: Log-odds against chance, beyond one run per block, from which a run of equal readings is frozen.
+#: Log-odds against chance, beyond one stretch per block, from which innovations without variance mean a frozen source.
 FROZEN_ODDS = 6.0
 BLOCK_PERIODS = 32_768
 OVERLAP_PERIODS = 2_048
@@ -133,20 +138,38 @@ def price_filter(us, o, h, l, c, period_us):  # noqa: E741
     with np.errstate(all="ignore"):
         body_lo = np.array(LO)
         top, bottom = np.fmax(body_lo, settled), np.fmin(body_lo, settled)
-        spread = WICK_Z * wick * np.sqrt(heats)
+        spread = wick_limits(np.fmax(lh - top, 0), wick, heats), wick_limits(np.fmax(bottom - ll, 0), wick, heats)
         slack = 0.25 * tick
         # a close outside its bar's high and low: whichever the level contradicts is false
         outside = (~bad_c) & ((lc > lh + slack) | (lc < ll - slack)) & ~crossed
-        sane_h, sane_l = ~bad_h & (lh - top <= spread) & (lh >= body_lo - slack), ~bad_l & (bottom - ll <= spread) & (ll <= body_lo + slack)
+        sane_h, sane_l = ~bad_h & (lh - top <= spread[0]) & (lh >= body_lo - slack), ~bad_l & (bottom - ll <= spread[1]) & (ll <= body_lo + slack)
         bad_c |= outside & sane_h & sane_l & ~np.isnan(body_lo)
         moved = bad_c & ~np.isnan(body_lo)
         top, bottom = np.where(moved, np.fmax(body_lo, np.fmin(settled, np.where(sane_h, lh, settled))), top), np.where(moved, np.fmin(body_lo, np.fmax(settled, np.where(sane_l, ll, settled))), bottom)
         has_h, has_l = ~np.isnan(lh), ~np.isnan(ll)
-        bad_h |= has_h & ((lh - top > spread) | (lh < top - spread))
-        bad_l |= has_l & ((bottom - ll > spread) | (ll > bottom + spread))
+        bad_h |= has_h & ((lh - top > spread[0]) | (lh < top - spread[0]))
+        bad_l |= has_l & ((bottom - ll > spread[1]) | (ll > bottom + spread[1]))
     return bad_h, bad_l, bad_c
 
 
+def wick_limits(w, noise, heats):
+    """Largest plausible wick of each bar: the state of a local level over the wicks before it and its predicted spread."""
+    n = len(w)
+    out = np.empty(n)
+    W, H = w.tolist(), heats.tolist()
+    r, q, p = noise * noise, 0.001 * noise * noise, noise * noise
+    m = 0.0
+    for i in range(n):
+        p += q
+        out[i] = s = m + WICK_Z * math.sqrt(H[i] * (p + r))
+        x = W[i]
+        if x <= s:
+            k = p / (p + r)
+            m += k * (x - m)
+            p *= 1 - k
+    return out
+
+
 def volume_filter(us, v, flow, period_us):
     """Flags of volumes in order of time; ``flow`` is buys plus sells where known."""
     n = len(us)
@@ -186,42 +209,80 @@ def volume_filter(us, v, flow, period_us):
     return bad
 
 
+def vanishing(still: np.ndarray, floor: np.ndarray | None = None, least: int = 3) -> np.ndarray:
+    """Places of a series of innovations that belong to an implausibly long stretch without variance.
+
+    ``still``: whether an innovation leaves the variance of its stretch at zero. The recursion is the likelihood of the stretch so far: it
+    starts again at each innovation that varies and is multiplied, at each that does not, by the share of such innovations
+    in the series without its longest stretches, around the stretch, or ``floor``, whichever is largest.
+    """
+    n = len(still)
+    out = np.zeros(n, bool)
+    if not still.any():
+        return out
+    edge = np.flatnonzero(np.diff(np.r_[False, still, False]))
+    start, stop = edge[::2], edge[1::2]
+    length = stop - start
+    if length.max() < least:
+        return out
+    capped, moved = np.minimum(length, 12).sum(), n - length.sum()
+    usual = (capped + 1.0) / (capped + moved + 2.0)
+    beyond = math.log(n + 1) + FROZEN_ODDS
+    for k in np.flatnonzero(length >= least):
+        a, b = start[k], stop[k]
+        # a quiet stretch around it makes it likelier
+        near = np.r_[still[max(a - 101, 0) : max(a - 1, 0)], still[b : b + 100]]
+        share = max(usual, (near.sum() + 1.0) / (len(near) + 2.0)) if len(near) >= 40 else usual
+        if floor is not None:
+            share = max(share, floor[a])
+        if -length[k] * math.log(share) > beyond:
+            out[a:b] = True
+    return out
+
+
 def frozen(x: np.ndarray, by_value: bool, proof: np.ndarray | None = None) -> np.ndarray:
-    """All but the first of runs of equal readings that the series' usual share of repeats makes implausible.
+    """All but the first reading of a stretch in which a field's own innovations, its changes, have no variance.
 
-    Nulls neither end nor extend a run. ``by_value``: a common value repeats as often as it is common. ``proof``: the same
-    quantity by another way; a run it agrees with is true.
+    Nulls neither end nor extend a stretch. ``by_value``: a common value repeats as often as it is common. ``proof``: the same
+    quantity by another way; a stretch it agrees with is true.
     """
     out = np.zeros(len(x), bool)
     at = np.flatnonzero(~np.isnan(x))
     if len(at) < 4:
         return out
     y = x[at]
-    edge = np.r_[True, y[1:] != y[:-1]]
-    start = np.flatnonzero(edge)
-    length = np.diff(np.r_[start, len(y)])
-    if length.max() < 4:
+    innovation = np.diff(y)
+    floor = None
+    if by_value:
+        _, of, n = np.unique(y, return_inverse=True, return_counts=True)
+        # how common the value is outside its stretch
+        edges = np.flatnonzero(np.r_[True, innovation != 0])
+        run = np.repeat(np.diff(np.r_[edges, len(y)]), np.diff(np.r_[edges, len(y)]))
+        floor = ((n[of] - run + 1.0) / (len(y) - run + 2.0))[1:]
+    hit = np.flatnonzero(vanishing(innovation == 0, floor)) + 1
+    if proof is not None and len(hit):
+        for part in np.split(hit, np.flatnonzero((np.diff(hit) > 1) | (np.diff(y[hit]) != 0)) + 1):
+            other = proof[at[part]]
+            other = other[~np.isnan(other)]
+            if len(other) and np.mean(other == y[part[0]]) >= 0.5:
+                continue
+            out[at[part]] = True
+        return out
+    out[at[hit]] = True
+    return out
+
+
+def replayed(o, h, l, c) -> np.ndarray:  # noqa: E741
+    """All but the first of a stretch of bars whose innovations, other than zero, come back unchanged bar after bar."""
+    out = np.zeros(len(o), bool)
+    if len(o) < 4:
         return out
-    # share of repeats without the longest runs, at least that of a quiet stretch of a tenth of the readings
-    repeats = length - 1
-    cap = np.minimum(repeats, 12)
-    p = (cap.sum() + 1.0) / (cap.sum() + len(start) + 2.0)
-    for k in np.flatnonzero(length >= 4):
-        share = p
-        lo, hi = max(start[k] - 100, 0), start[k] + length[k] + 100
-        near = (edge[lo : start[k]].size + edge[start[k] + length[k] : hi].size)
-        if near >= 40:
-            eq = (~edge[lo : start[k]]).sum() + (~edge[start[k] + length[k] : hi]).sum()
-            share = max(share, (eq + 1.0) / (near + 2.0))
-        if by_value:
-            share = max(share, ((y == y[start[k]]).sum() - length[k] + 1.0) / (len(y) - length[k] + 2.0))
-        if -repeats[k] * math.log(share) > math.log(len(y)) + FROZEN_ODDS:
-            if proof is not None:
-                other = proof[at[start[k] + 1 : start[k] + length[k]]]
-                other = other[~np.isnan(other)]
-                if len(other) and np.mean(other == y[start[k]]) >= 0.5:
-                    continue
-            out[at[start[k] + 1 : start[k] + length[k]]] = True
+    # from the last close to the open, from there to the close, and on to the ends
+    steps = np.column_stack([c - o, h - np.fmax(o, c), np.fmin(o, c) - l])[1:]
+    gap = o[1:] - c[:-1]
+    same = np.r_[False, (steps[1:] == steps[:-1]).all(axis=1)] & (o[1:] == o[:-1]) & (gap != 0)
+    same[0] = (o[0] == o[1]) & (c[0] == c[1]) & (h[0] == h[1]) & (l[0] == l[1]) & (gap[0] != 0)
+    out[1:] = vanishing(same, least=4)
     return out
 
 
@@ -239,7 +300,7 @@ def _unit(group: pa.Table) -> pa.RecordBatch | None:
     period = float(group["sp_period"][0].as_py()) * 1e6
     bad = dict(zip(("high", "low", "close"), price_filter(t, o, h, l, c, period)))
     bad["volume"] = volume_filter(t, v, flow, period)
-    shape = frozen_shape(o, h, l, c)
+    shape = replayed(o, h, l, c)
     for name, x in (("high", h), ("low", l), ("close", c)):
         bad[name] |= (frozen(x, False) | shape) & ~np.isnan(x)
     bad["volume"] |= frozen(v, True, flow)
@@ -255,20 +316,6 @@ def _unit(group: pa.Table) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(block), pa.int64()), pa.array(names, pa.string())], names=["bar_id", "field"])
 
 
-def frozen_shape(o, h, l, c) -> np.ndarray:  # noqa: E741
-    """All but the first of a run of one and the same bar that is no flat one: its open and close would not meet."""
-    out = np.zeros(len(o), bool)
-    if len(o) < 4:
-        return out
-    same = (o[1:] == o[:-1]) & (h[1:] == h[:-1]) & (l[1:] == l[:-1]) & (c[1:] == c[:-1]) & (o[1:] != c[1:])
-    edge = np.r_[True, ~same]
-    start = np.flatnonzero(edge)
-    length = np.diff(np.r_[start, len(o)])
-    for s, n in zip(start[length >= 5], length[length >= 5]):
-        out[s + 1 : s + n] = True
-    return out
-
-
 def false_readings(bars: DataFrame) -> DataFrame:
     """(bar_id, field): the readings of high, low, close and volume that cannot be true for their contract.
 
