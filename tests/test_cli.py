@@ -24,13 +24,29 @@ def test_pipeline_backtest_and_report(spark, tmp_path):
     cli.main(["inventory", "--root", str(tmp_path / "layers")])
 
 
-def test_gate_stops(spark, tmp_path, monkeypatch):
-    frame(spark, walk(50)).selectExpr("*", "cast(null as long) up_ticks", "cast(null as long) down_ticks", "cast(null as long) total_ticks").write.parquet(str(tmp_path / "bars.parquet"))
-    from tickloom import schema
-
-    monkeypatch.setattr(schema, "clean_bars", lambda b: b.drop("symbol").withColumnRenamed("contract", "symbol").selectExpr("symbol", "timeframe", "timestamp_utc", "open", "high", "low", "close", "-volume as volume", "buy_volume", "sell_volume", "up_ticks", "down_ticks", "total_ticks"))
-    with pytest.raises(SystemExit, match="gate"):
+def test_gate_stops(spark, tmp_path):
+    rows = walk(50)
+    for r in rows[10:20]:
+        r[10] = -r[10]
+    frame(spark, rows).selectExpr("*", "cast(null as long) up_ticks", "cast(null as long) down_ticks", "cast(null as long) total_ticks").write.parquet(str(tmp_path / "bars.parquet"))
+    with pytest.raises(SystemExit, match="gate failed for AAA .10 of 50."):
         cli.pipeline(spark, str(tmp_path), str(tmp_path / "layers"), (5,), ())
+    assert len(cli.pipeline(spark, str(tmp_path), str(tmp_path / "layers"), (5,), (), most_removed=0.5)) == 3
+
+
+def test_large_and_negative_readings_stay(spark):
+    from tickloom.schema import clean_bars, left_out
+
+    rows = walk(5)
+    rows[1][10] = 5_000_000
+    rows[2][6:10] = [-3.0, -2.0, -40.0, -37.6]
+    rows[3][9] = None
+    rows.append(list(rows[0]))
+    rows[-1][0] = 77
+    df = frame(spark, rows).selectExpr("*", "cast(null as long) up_ticks", "cast(null as long) down_ticks", "cast(null as long) total_ticks")
+    kept = {r["timestamp_utc"]: r for r in clean_bars(df).collect()}
+    assert len(kept) == 4 and {5_000_000} <= {r["volume"] for r in kept.values()} and -37.6 in {r["close"] for r in kept.values()}
+    assert {r["bar_id"]: r["left_out"] for r in left_out(df).collect()} == {1: None, 2: None, 3: None, 4: "null_close", 5: None, 77: "redelivered"}
 
 
 def test_nearest_against_brute_force(spark):

@@ -8,7 +8,7 @@ from tests.helpers import BARS, at, frame, walk
 from tickloom.operators import asof, features, islands, quality, registry, resample, stitch
 from tickloom.runtime import barrier, durable
 from tickloom.sources import broker
-from tickloom.streaming.bars import run_once, stream_resample, stream_session_vwap, stream_stops
+from tickloom.streaming.bars import run_once, stream_clean, stream_resample, stream_session_vwap, stream_stops, with_end
 
 
 def bars(spark, n=200):
@@ -119,25 +119,32 @@ def test_feature_sets():
 
 
 def test_streams_equal_batches(spark, tmp_path):
-    b = bars(spark, 120)
-    for k, part in enumerate((b.where("bar_id <= 60"), b.where("bar_id > 60"))):
+    from tickloom.schema import clean_bars
+
+    rows = walk(120)
+    rows += [[500 + i, *rows[i][1:]] for i in range(20, 40)]  # delivered again
+    rows.append([900, *rows[50][1:9], rows[50][9] + 5, *rows[50][10:]])  # a second bar at one instant
+    rows.append([901, "AAA", "AAA", "1m", at(60.5), None, 1.0, 2.0, 3.0, 1.0, 5, 2, 3])  # high below low
+    b = frame(spark, rows).drop("timestamp_ny").selectExpr("*", "cast(null as long) up_ticks", "cast(null as long) down_ticks", "cast(null as long) total_ticks")
+    for part in (b.where("bar_id <= 60"), b.where("bar_id > 60")):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        assert k < 2
     read = lambda: spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    s = {tuple(r) for r in run_once(stream_resample(read(), 15, "1 day"), "s1", str(tmp_path / "c1"), "complete").collect()}
-    w = {tuple(r) for r in resample.resample(b, 15).select("symbol", "timestamp_utc", "open", "high", "low", "close", "volume").collect()}
-    assert s == w
-    v = run_once(stream_session_vwap(read(), late="1 day"), "s2", str(tmp_path / "c2"), "complete").collect()
-    assert len(v) == 1 and v[0]["volume"] == b.agg(F.sum("volume")).first()[0]
+    s = [tuple(r) for r in run_once(stream_resample(stream_clean(with_end(read(), str(tmp_path / "end")), "1 day"), 15, None), str(tmp_path / "s1")).collect()]
+    w = {tuple(r) for r in resample.resample(clean_bars(b), 15).select("symbol", "timestamp_utc", "open", "high", "low", "close", "volume").collect()}
+    assert len(s) == len(w) == 8 and set(s) == w
+    one = frame(spark, walk(120)).drop("timestamp_ny")
+    one.coalesce(1).write.parquet(str(tmp_path / "one"))
+    v = run_once(stream_session_vwap(spark.readStream.schema(one.schema).parquet(str(tmp_path / "one")), late="1 day"), str(tmp_path / "s2"), "complete").collect()
+    assert len(v) == 1 and v[0]["volume"] == one.agg(F.sum("volume")).first()[0] and v[0]["batch"] == 0
 
 
 def test_stream_positions_cross_batches(spark, tmp_path):
     rows = [("S", at(i), 10.0 + i + 0.5, 9.5 + i, 10.0 + i, 1 if i == 1 else 0, 5.0, 14.2) for i in range(8)]
     schema = "symbol string, timestamp_utc timestamp, high double, low double, close double, signal int, stop double, target double"
-    for i, r in enumerate(rows):
+    for r in rows:
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(spark.createDataFrame(rows, schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = run_once(stream_stops(src), "s3", str(tmp_path / "c3")).collect()
+    out = run_once(stream_stops(src), str(tmp_path / "s3")).collect()
     assert [(r["exit_reason"], r["entry_price"], r["exit_price"]) for r in out] == [("target", 11.0, 14.2)]
 
 

@@ -38,7 +38,7 @@ def test_sessions_of_every_month(spark, tmp_path):
     days = [(1, 29), (2, 1), (4, 30), (6, 21)]
     rows = [(i, c, "1m", datetime(2024, *d, 15, 0, tzinfo=timezone.utc), 1.0, 2.0, 1.0, 1.5, 5, 2, 3, 1, 1, 2) for i, (c, d) in enumerate([("A", x) for x in days] + [("B", (5, 2))])]
     save(spark, tmp_path, "bars", rows, "bar_id long, contract string, timeframe string, timestamp_utc timestamp, open double, high double, low double, close double, volume long, buy_volume long, sell_volume long, up_ticks long, down_ticks long, total_ticks long")
-    got = same_as_oracle(spark, tmp_path, "dq_session_coverage_all")
+    got = same_as_oracle(spark, tmp_path, "dq_session_coverage")
     # weekdays from 29 January to 21 June without 19 June, and the one day of B
     assert len(got) == 104 + 1 and got.bars.sum() == 5 and (got.bars == 0).sum() == 100
 

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from tickloom.runtime import prepare
 
-#: Failures that stop a pipeline.
-GATE = ["duplicates", "negative_volume", "high_below_low", "null_close"]
 
 
 def _session() -> SparkSession:
@@ -43,19 +41,23 @@ def load_config(path: str) -> dict:
         return json.load(f)
 
 
-def pipeline(spark: SparkSession, data: str, out: str, minutes: tuple[int, ...] = (5, 15, 60, 240), feature_minutes: tuple[int, ...] = (5, 15)) -> list[str]:
-    """Clean, gate, resample and build features for all symbols; returns the layers' paths."""
+def pipeline(spark: SparkSession, data: str, out: str, minutes: tuple[int, ...] = (5, 15, 60, 240), feature_minutes: tuple[int, ...] = (5, 15), most_removed: float = 0.05) -> list[str]:
+    """Gate, clean, resample and build features for all symbols; returns the layers' paths.
+
+    The gate stands before the cleaning: it fails if more than ``most_removed`` of a contract's delivered bars cannot be used.
+    """
     from tickloom.operators import features, quality, resample
     from tickloom.runtime import table
     from tickloom.schema import clean_bars
     from tickloom.sources.broker import write_layer
 
-    base = clean_bars(table(spark, data, "bars"))
-    paths = [write_layer(base, out, "clean_1m", {"minutes": 1})]
+    delivered = table(spark, data, "bars")
+    bad = quality.removed_share(delivered).where(F.col("share") > most_removed)
+    failed = [f"{r['contract']} ({r['removed']} of {r['delivered']})" for r in bad.orderBy(F.desc("share"), "contract").limit(20).collect()]
+    if failed:
+        raise SystemExit("the quality gate failed for " + ", ".join(failed))
+    paths = [write_layer(clean_bars(delivered), out, "clean_1m", {"minutes": 1})]
     clean = spark.read.parquet(paths[0])
-    bad = quality.row_checks(clean).where(" or ".join(f"{g} > 0" for g in GATE))
-    if bad.limit(1).count():
-        raise SystemExit("the quality gate failed for " + ", ".join(r["symbol"] for r in bad.select("symbol").limit(20).collect()))
     paths.append(write_layer(resample.resample_many(clean, list(minutes)), out, "clean_resampled", {"minutes": list(minutes)}, [{"path": paths[0]}], ("timeframe",)))
     paths.append(write_layer(resample.resample_daily(clean), out, "clean_daily", {}, [{"path": paths[0]}]))
     for m in feature_minutes:

@@ -66,6 +66,22 @@ def session_coverage(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessions.join(hit, ["symbol", "session_open"], "left").fillna(0, ["bars"])
 
 
+def report(checks: DataFrame, parts: list[DataFrame], counts: list[str]) -> DataFrame:
+    """Row checks with further counts per symbol, absent ones zero; a symbol passes without large gaps in regular hours and empty sessions."""
+    for part in parts:
+        checks = checks.join(part, "symbol", "left")
+    checks = checks.fillna(0, counts)
+    return checks.withColumn("passed", F.col("passed") & (F.col("large_gaps_rth") == 0) & (F.col("empty_sessions") == 0))
+
+
+def removed_share(bars: DataFrame) -> DataFrame:
+    """(contract, delivered, removed, share): how much of what was delivered the clean view leaves out; redelivered bars are no loss."""
+    from tickloom.schema import left_out
+
+    out = left_out(bars).groupBy("contract").agg(F.count("*").alias("delivered"), F.count_if(F.col("left_out") != "redelivered").alias("removed"))
+    return out.withColumn("share", F.col("removed") / F.col("delivered"))
+
+
 def shift_breaks(bars: DataFrame, joined: DataFrame, value: str, period: Column) -> DataFrame:
     """(symbol, breaks): bars whose joined ``value`` is not the close of the last bar of an earlier ``period``, a number that grows with time.
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
 from tickloom.operators import context, features, learn, metrics, registry, resampling, stationarity, strategies, walkforward
 from tickloom.operators.simulate import Rules, simulate
-from tickloom.plans.market import B, EVENT_DAYS, ID, S, _r, bars_of
+from tickloom.plans.market import B, EVENT_DAYS, ID, S, _ohlc, _r, bars_of
 from tickloom.plans.trading import T, O, trades_of
-from tickloom.runtime import table
+from tickloom.runtime import shared_folder, table
 from tickloom.sources import broker
 
 RULES = Rules(tick_size=0.01, point_value=50.0, slippage_ticks=1.0, commission_per_side=2.0, quantity=1, eod_flat=True, rth_close_minute=960, max_holding_bars=40)
@@ -182,12 +182,12 @@ def reg_keep_runs(spark, folder):
 
 
 def reg_manifests(spark, folder):
-    """Declared against actual rows per file, the count under whichever name it is declared, as a number or as text."""
+    """Files whose declared row count is not the actual one, the count under a known name, as a number or as text; or that declare none."""
     names = ["row_count", "n_rows", "rows", "record_count"]
     f = table(spark, folder, "raw_files").select("file_id", F.from_json("manifest", ", ".join(f"{n} string" for n in names)).alias("m"))
     count = lambda n: F.expr(f"try_cast(round(try_cast(m.{n} as decimal(38, 6))) as bigint)")
     n = table(spark, folder, "raw_records").groupBy("file_id").agg(F.count("*").alias("actual"))
-    return f.select("file_id", F.coalesce(*[count(n) for n in names]).alias("declared")).join(n, "file_id", "left").where("declared <> coalesce(actual, 0)").select("file_id", "declared", F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"))
+    return f.select("file_id", F.coalesce(*[count(n) for n in names]).alias("declared")).join(n, "file_id", "left").where("not declared <=> coalesce(actual, 0)").select("file_id", "declared", F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"))
 
 
 def reg_lineage(spark, folder):
@@ -201,8 +201,9 @@ def reg_lineage(spark, folder):
 
 
 def src_normalise_payload(spark, folder):
+    """Every record in the broker's own field names, and whether they gave a whole bar; p2_records follows names that drift."""
     r = broker.normalise_payload(table(spark, folder, "raw_records").select("record_id", "payload"))
-    return r.where("valid").select("record_id", "open", "high", "low", "close", "volume")
+    return r.select("record_id", "open", "high", "low", "close", "volume", "valid")
 
 
 def src_fetch_windows(spark, folder):
@@ -222,20 +223,15 @@ def ml_clusters(spark, folder):
 
 
 def stream_resample_15m(spark, folder):
-    """The streaming resample run to its end over the bars' table; buckets the watermark has not passed stay open."""
-    import os
-
-    from tickloom.streaming.bars import run_once, stream_resample
+    """The streaming twin of agg_resample_15m, run to the end of the bars' table into the shared folder."""
+    from tickloom.streaming.bars import run_once, stream_clean, stream_resample, with_end
 
     path = f"{folder}/bars.parquet"
-    schema = spark.read.parquet(path).schema
+    schema = table(spark, folder, "bars").schema
     pattern = path if os.path.isdir(path.removeprefix("file://")) else f"{folder}/bars*.parquet"
-    rows = spark.readStream.schema(schema).parquet(pattern).where("close is not null and low > 0 and high >= low and high < 1000000").withColumn("symbol", F.col("contract"))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    import uuid
-
-    name = f"stream_{uuid.uuid4().hex}"
-    return run_once(stream_resample(rows, 15, "30 days"), name, f"{base}/{name}", "complete")
+    base = shared_folder(spark, "stream")
+    rows = with_end(spark.readStream.schema(schema).parquet(pattern), f"{base}/end")
+    return run_once(stream_resample(stream_clean(rows, "1 hour"), 15, None), base)
 
 
 NAMES = [n for n in dict(globals()) if n.split("_")[0] in ("str", "sim", "wf", "feat", "ctx", "rs", "stat", "reg", "src", "ml", "stream")]
@@ -282,8 +278,9 @@ def oracle_sql() -> dict[str, str]:
         "stat_half_life": f"with {B}, l as (select symbol, lag(close) over (partition by symbol order by timestamp_utc) as p, close - lag(close) over (partition by symbol order by timestamp_utc) as d from b), m as (select symbol, d - avg(d) filter (p is not null) over (partition by symbol) as y, p - avg(p) over (partition by symbol) as x from l where p is not null), g as (select symbol, count(*) as n, sum(x * y) / sum(x * x) as beta, pow(sum(x * y), 2) / (sum(x * x) * sum(y * y)) as r2 from m group by 1), h as (select *, case when beta < -1e-10 then ln(2) / -beta end as hl from g) select symbol, n, round(beta, 4) as beta, round(r2, 4) as r_squared, round(hl, 4) as half_life, case when abs(beta) < 1e-10 then 'RANDOM_WALK' when beta >= 0 then 'TRENDING' else 'MEAN_REVERTING' end as kind, case when hl is null then 'TRENDING' when hl < 5 then 'TOO_FAST' when hl > 60 then 'TOO_SLOW' else 'TRADEABLE' end as label from h",
         "reg_trial_tiers": "with t as (select strategy_id, cast(exported_at at time zone 'UTC' as date) as ts, count(*) as n from trades group by 1, 2) select case when date '2024-10-01' - ts <= 180 then 'hot' when date '2024-10-01' - ts <= 730 then 'warm' else 'cold' end as tier, strftime(ts, '%Y-%m') as archive_month, cast(sum(n) as bigint) as n from t group by 1, 2",
         "reg_keep_runs": "with t as (select strategy_id, trade_id, case when quantity = 3 then 'validation' else 'exploration' end as mode, max(exported_at) as ts from trades group by all), r as (select *, row_number() over (partition by strategy_id order by ts desc, trade_id) as r from t) select strategy_id, count(*) as to_delete from r where r > 5 and mode <> 'validation' group by 1",
-        "reg_manifests": "with f as (select file_id, coalesce(try_cast(manifest->>'row_count' as bigint), try_cast(manifest->>'n_rows' as bigint), try_cast(manifest->>'rows' as bigint), try_cast(manifest->>'record_count' as bigint)) as declared from raw_files), n as (select file_id, count(*) as c from raw_records group by 1) select f.file_id, declared, coalesce(c, 0) as actual from f left join n on f.file_id = n.file_id where declared <> coalesce(c, 0)",
+        "reg_manifests": "with f as (select file_id, coalesce(try_cast(manifest->>'row_count' as bigint), try_cast(manifest->>'n_rows' as bigint), try_cast(manifest->>'rows' as bigint), try_cast(manifest->>'record_count' as bigint)) as declared from raw_files), n as (select file_id, count(*) as c from raw_records group by 1) select f.file_id, declared, coalesce(c, 0) as actual from f left join n on f.file_id = n.file_id where declared is distinct from coalesce(c, 0)",
         "reg_lineage": "with p as (select path, received_at, lag(path) over (partition by contract order by file_seq) as source, lag(received_at) over (partition by contract order by file_seq) as sb from raw_files) select path, source, 'newer' as problem from p where sb > received_at",
-        "src_normalise_payload": "with p as (select record_id, try_cast(payload->>'Open' as double) as open, try_cast(payload->>'High' as double) as high, try_cast(payload->>'Low' as double) as low, try_cast(payload->>'Close' as double) as close, coalesce(cast(trunc(try_cast(payload->>'TotalVolume' as double)) as bigint), cast(trunc(try_cast(payload->>'Volume' as double)) as bigint)) as volume from raw_records) select * from p where open is not null and high is not null and low is not null and close is not null and volume is not null",
+        "src_normalise_payload": "with p as (select record_id, try_cast(payload->>'Open' as double) as open, try_cast(payload->>'High' as double) as high, try_cast(payload->>'Low' as double) as low, try_cast(payload->>'Close' as double) as close, coalesce(cast(trunc(try_cast(payload->>'TotalVolume' as double)) as bigint), cast(trunc(try_cast(payload->>'Volume' as double)) as bigint)) as volume from raw_records) select *, open is not null and high is not null and low is not null and close is not null and volume is not null as valid from p",
+        "stream_resample_15m": f"with {B} {_ohlc(15)} from b group by 1, 2",
         "src_fetch_windows": "select s as first, least(s + 30 * 86400, 1735603200) as last from (select unnest(range(1704067200, 1735603200 + 1, 30 * 86400 + 1)) as s)",
     }

@@ -12,7 +12,7 @@ from tickloom.functions.ewm import ewm_long, span_alpha
 from tickloom.operators import asof, islands, quality, resample, stitch
 from tickloom.operators.grid import trade_date
 from tickloom.runtime import table
-from tickloom.schema import clean_bars, clean_trades, keep_one
+from tickloom.schema import clean_bars, clean_trades, keep_one, left_out
 
 D = 6  # decimals compared
 
@@ -62,6 +62,11 @@ def shape_clean_bars(spark, folder):
     return bars_of(spark, folder).select(*ID, "open", "high", "low", "close", "volume")
 
 
+def dq_left_out(spark, folder):
+    """Delivered bars per contract by why the clean view leaves them out, and how many it keeps."""
+    return left_out(table(spark, folder, "bars")).groupBy("contract", F.coalesce("left_out", F.lit("kept")).alias("reason")).agg(F.count("*").alias("bars"))
+
+
 def shape_largest_gaps(spark, folder):
     return islands.largest_gaps(bars_of(spark, folder), ["symbol"]).select("symbol", F.unix_micros("gap_end").alias("gap_end_us"), "gap_seconds", "rank")
 
@@ -276,13 +281,32 @@ def join_blackout(spark, folder):
 
 
 # -- quality -------------------------------------------------------------------------------------------------------------
+FRAMES = {"1m": 1, "5m": 5}
+
+
 def _sessions(spark, folder):
-    """Sessions of a series: from the first to the last bar of each trade date."""
-    return bars_of(spark, folder).where("timeframe = '1m'").groupBy("symbol", trade_date(F.col("timestamp_utc")).alias("trade_date")).agg(F.min(resample.bucket(F.col("timestamp_utc"), 1)).alias("session_open"), F.max(resample.bucket(F.col("timestamp_utc"), 1)).alias("session_close")).where("session_close > session_open")
+    """The calendar of every series: the overnight sessions of its instrument from its first trade date to its last."""
+    day = trade_date(F.col("timestamp_utc"))
+    span = table(spark, folder, "bars").where("contract is not null and timestamp_utc is not null").groupBy(F.col("contract").alias("symbol"), "timeframe").agg(F.min(day).alias("a"), F.max(day).alias("z"))
+    return stitch.sessions_of(span.select("symbol", "timeframe", F.explode(F.sequence("a", "z")).alias("trade_date")))
+
+
+def _slots(spark, folder, tf):
+    return bars_of(spark, folder).where(F.col("timeframe") == tf).select("symbol", resample.bucket(F.col("timestamp_utc"), FRAMES[tf]).alias("timestamp_utc")).distinct()
 
 
-def _minutes(spark, folder):
-    return bars_of(spark, folder).where("timeframe = '1m'").select("symbol", resample.bucket(F.col("timestamp_utc"), 1).alias("timestamp_utc")).distinct()
+def _by_frame(per):
+    """One result per timeframe, put together."""
+    out = None
+    for tf, minutes in FRAMES.items():
+        part = per(tf, minutes).withColumn("timeframe", F.lit(tf))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _missing(spark, folder, tf, minutes):
+    sessions = _sessions(spark, folder).where(F.col("timeframe") == tf).drop("timeframe")
+    return quality.missing_minutes(_slots(spark, folder, tf), sessions, minutes)
 
 
 def dq_row_checks(spark, folder):
@@ -291,34 +315,38 @@ def dq_row_checks(spark, folder):
 
 
 def dq_missing_minutes(spark, folder):
-    return quality.missing_minutes(_minutes(spark, folder), _sessions(spark, folder)).select("symbol", F.unix_seconds("timestamp_utc").alias("minute"))
+    """Periods the calendar expects and the series lacks, heads, tails and whole sessions included."""
+    return _by_frame(lambda tf, m: _missing(spark, folder, tf, m).select("symbol", F.unix_seconds("timestamp_utc").alias("minute")))
 
 
 def dq_gap_classes(spark, folder):
-    gaps = quality.classify_gaps(quality.missing_minutes(_minutes(spark, folder), _sessions(spark, folder)))
-    return gaps.select("symbol", F.unix_seconds("run_start").alias("run_start_s"), F.col("bars_missing").cast("bigint"), "in_rth", "kind")
+    gaps = _by_frame(lambda tf, m: quality.classify_gaps(_missing(spark, folder, tf, m), minutes=m))
+    return gaps.select("symbol", "timeframe", F.unix_seconds("run_start").alias("run_start_s"), F.col("bars_missing").cast("bigint"), "in_rth", "kind")
 
 
-def _coverage(bars, first, last):
-    """Bars per session between two trade dates of each symbol."""
-    span = bars.groupBy("symbol").agg(first.alias("a"), last.alias("z"))
-    sessions = stitch.sessions_of(span.select("symbol", F.explode(F.sequence("a", "z")).alias("trade_date"))).drop("trade_date")
-    return quality.session_coverage(bars, sessions).select("symbol", F.unix_seconds("session_open").alias("open_s"), "bars")
+def dq_session_coverage(spark, folder):
+    """Bars per session from each symbol's first trade date to its last; sessions without bars have zero."""
+    return quality.session_coverage(bars_of(spark, folder), _sessions(spark, folder).drop("trade_date", "timeframe")).select("symbol", F.unix_seconds("session_open").alias("open_s"), "bars")
 
 
-def dq_session_coverage(spark, folder):
-    """The sessions of March 2024 alone; dq_session_coverage_all has every session."""
-    return _coverage(bars_of(spark, folder), F.lit(date(2024, 3, 1)), F.lit(date(2024, 3, 31)))
+def dq_missing_sessions(spark, folder):
+    """Sessions of the calendar without a bar."""
+    return dq_session_coverage(spark, folder).where("bars = 0").select("symbol", "open_s")
 
 
-def dq_session_coverage_all(spark, folder):
-    """The sessions from each symbol's first trade date to its last."""
-    day = trade_date(F.col("timestamp_utc"))
-    return _coverage(bars_of(spark, folder), F.min(day), F.max(day))
+def dq_report(spark, folder):
+    """The validation report: per symbol the row checks, missing and unexpected periods, large gaps, empty sessions, and the verdict."""
+    checks = dq_row_checks(spark, folder)
+    missing = dq_missing_minutes(spark, folder).groupBy("symbol").agg(F.count("*").alias("missing_periods"))
+    sessions = _sessions(spark, folder)
+    extra = _by_frame(lambda tf, m: quality.unexpected_minutes(_slots(spark, folder, tf), sessions.where(F.col("timeframe") == tf), m)).groupBy("symbol").agg(F.count("*").alias("unexpected_periods"))
+    large = dq_gap_classes(spark, folder).where("kind = 'large'").groupBy("symbol").agg(F.count("*").alias("large_gaps"), F.count_if("in_rth").alias("large_gaps_rth"))
+    empty = dq_missing_sessions(spark, folder).groupBy("symbol").agg(F.count("*").alias("empty_sessions"))
+    return quality.report(checks, [missing, extra, large, empty], ["missing_periods", "unexpected_periods", "large_gaps", "large_gaps_rth", "empty_sessions"])
 
 
 def dq_minute_runs(spark, folder):
-    return islands.minute_runs(_minutes(spark, folder), ["symbol"]).select("symbol", F.unix_seconds("run_start").alias("run_start_s"), "n")
+    return _by_frame(lambda tf, m: islands.minute_runs(_slots(spark, folder, tf), ["symbol"], minutes=m)).select("symbol", "timeframe", F.unix_seconds("run_start").alias("run_start_s"), "n")
 
 
 # -- continuous contracts ------------------------------------------------------------------------------------------------
@@ -365,7 +393,7 @@ def queries() -> dict:
 # -- oracles -------------------------------------------------------------------------------------------------------------
 B = """b as (select contract as symbol, timeframe, timestamp_utc, open, high, low, close, volume, buy_volume, sell_volume from (
     select *, row_number() over (partition by contract, timestamp_utc order by bar_id) as rn from bars
-    where close is not null and low > 0 and high >= low and high < 1000000 and volume between 0 and 1000000) where rn = 1)"""
+    where close is not null and high >= low and volume >= 0) where rn = 1)"""
 S = "partition by symbol, timeframe order by timestamp_utc"
 TD = "cast(({} + interval 6 hours) at time zone 'America/New_York' as date)"
 HOUR = "h as (select symbol, to_timestamp(floor(epoch(timestamp_utc) / 3600) * 3600) as ts, arg_min(open, timestamp_utc) as open, max(high) as high, arg_max(close, timestamp_utc) as close from b group by 1, 2)"
@@ -409,12 +437,22 @@ def _vwap_sql(extra: str, group: str, out: str, more: str = "") -> str:
         select symbol, timestamp_utc, round(x0 + m, 8) as {out}{more} from z"""
 
 
+ROW_CHECKS = "with k as (select contract as symbol, count(*) as rows, count(*) - count(distinct timestamp_utc) as duplicates, count(*) filter (volume < 0) as negative_volume, count(*) filter (high < low) as high_below_low, count(*) filter (high < open) as high_below_open, count(*) filter (high < close) as high_below_close, count(*) filter (low > open) as low_above_open, count(*) filter (low > close) as low_above_close, count(*) filter (close is null) as null_close, round(100 * count(buy_volume) / count(*), 2) as order_flow_pct from bars group by 1) select *, duplicates + negative_volume + high_below_low + high_below_open + high_below_close + low_above_open + low_above_close + null_close = 0 as passed from k"
+
+
 def oracle_sql() -> dict[str, str]:
-    sessions = "ss as (select symbol, {d} as trade_date, min(m) as o, max(m) as c from mi group by 1, 2 having max(m) > min(m))".format(d=TD.format("m"))
-    mi = "mi as (select distinct symbol, date_trunc('minute', timestamp_utc) as m from b where timeframe = '1m')"
-    # sessions use the trade date of the bar's own instant, which a minute never crosses
-    miss = f"with {B}, {mi}, {sessions}, ex as (select symbol, unnest(generate_series(o, c - interval 1 minute, interval 1 minute)) as m from ss), mm as (select ex.symbol, ex.m from ex left join mi on ex.symbol = mi.symbol and ex.m = mi.m where mi.m is null)"
-    runs = "select symbol, min(m) as s, count(*) as n from (select symbol, m, epoch(m) - 60 * row_number() over (partition by symbol order by m) as k from {}) group by symbol, k"
+    step = "case timeframe when '1m' then 60 when '5m' then 300 end"
+    mi = f"mi as (select distinct symbol, timeframe, {step} as st, cast(floor(epoch(timestamp_utc) / ({step})) * ({step}) as bigint) as m from b where timeframe in ('1m', '5m'))"
+    cal = f"""cal as (select symbol, timeframe, {step} as st, d, cast(epoch(timezone('America/New_York', (d - interval 1 day) + interval 18 hours)) as bigint) as o, cast(epoch(timezone('America/New_York', d + interval 17 hours)) as bigint) as c
+        from (select contract as symbol, timeframe, unnest(generate_series(min({TD.format('timestamp_utc')})::timestamp, max({TD.format('timestamp_utc')})::timestamp, interval 1 day)) as d from bars where contract is not null and timestamp_utc is not null group by 1, 2)
+        where dayofweek(d) between 1 and 5 and not (month(d) = 6 and year(d) >= 2022 and cast(d as date) = case dayofweek(make_date(year(d), 6, 19)) when 0 then make_date(year(d), 6, 20) when 6 then make_date(year(d), 6, 18) else make_date(year(d), 6, 19) end))"""
+    expected = "ex as (select symbol, timeframe, st, unnest(range(o, c, st)) as m from cal where timeframe in ('1m', '5m'))"
+    miss = f"with {B}, {mi}, {cal}, {expected}, mm as (select ex.symbol, ex.timeframe, ex.st, ex.m from ex left join mi on ex.symbol = mi.symbol and ex.timeframe = mi.timeframe and ex.m = mi.m where mi.m is null)"
+    runs = "select symbol, timeframe, min(m) as s, count(*) as n from (select symbol, timeframe, m, m - st * row_number() over (partition by symbol, timeframe order by m) as k from {}) group by symbol, timeframe, k"
+    kinds = f"""ru as ({runs.format('mm')}), gk as (select *, hour(to_timestamp(s) at time zone 'America/New_York') * 60 + minute(to_timestamp(s) at time zone 'America/New_York') between 500 and 900 as in_rth, hour(to_timestamp(s) at time zone 'America/Chicago') * 60 + minute(to_timestamp(s) at time zone 'America/Chicago') as ct from ru),
+        gc as (select symbol, timeframe, s as run_start_s, n as bars_missing, in_rth, case when n <= 5 then 'minor' when n <= 30 and ct >= 1020 and ct < 1050 then 'maintenance' when not in_rth and n <= 60 then 'overnight' else 'large' end as kind from gk)"""
+    sessions = "cv as (select cal.symbol, cal.o as open_s, count(b.symbol) as bars from cal left join b on b.symbol = cal.symbol and b.timestamp_utc >= to_timestamp(o) and b.timestamp_utc < to_timestamp(c) group by 1, 2)"
+    cover = f"{B}, {cal}, {sessions}"
     trades = "t as (select trade_id, min(entry_ts) as entry_ts from trades group by trade_id)"
     days = "ev as (select unnest([" + ", ".join(f"date '{d}'" for d in EVENT_DAYS) + "]) as event_date)"
     chain = f"""with {B}, c as (select *, substr(symbol, 1, 3) as root from b), sp as (select root, symbol, min(timestamp_utc) as a, max(timestamp_utc) as z from c group by 1, 2),
@@ -466,12 +504,18 @@ def oracle_sql() -> dict[str, str]:
         "dq_trade_dates": f"with t as (select *, lower(trim(exit_reason)) as why, row_number() over (partition by trade_id order by exported_at desc, net_pnl_usd) as rn from trades), k as (select strategy_id as run_id, why, {TD.format('entry_ts')} <> {TD.format('exit_ts')} as over_date from t where rn = 1 and entry_ts is not null and exit_ts is not null) select run_id, count(*) as trades, count(*) filter (over_date) as crossed, count(*) filter (over_date and why is distinct from 'eod') as flagged from k group by 1",
         "join_nearest_event": f"with {trades}, {days}, d as (select trade_id, cast(entry_ts at time zone 'America/New_York' as date) as day from t where entry_ts is not null), k as (select trade_id, event_date, datediff('day', day, event_date) as days_to_event, row_number() over (partition by trade_id order by abs(datediff('day', day, event_date)), event_date) as rn from d, ev) select trade_id, event_date, cast(days_to_event as int) as days_to_event from k where rn = 1",
         "join_blackout": f"with {trades}, {days} select trade_id, cast(entry_ts at time zone 'America/New_York' as date) as event_date from t where cast(entry_ts at time zone 'America/New_York' as date) in (select event_date from ev)",
-        "dq_row_checks": "with k as (select contract as symbol, count(*) as rows, count(*) - count(distinct timestamp_utc) as duplicates, count(*) filter (volume < 0) as negative_volume, count(*) filter (high < low) as high_below_low, count(*) filter (high < open) as high_below_open, count(*) filter (high < close) as high_below_close, count(*) filter (low > open) as low_above_open, count(*) filter (low > close) as low_above_close, count(*) filter (close is null) as null_close, round(100 * count(buy_volume) / count(*), 2) as order_flow_pct from bars group by 1) select *, duplicates + negative_volume + high_below_low + high_below_open + high_below_close + low_above_open + low_above_close + null_close = 0 as passed from k",
-        "dq_missing_minutes": f"{miss} select symbol, cast(epoch(m) as bigint) as minute from mm",
-        "dq_gap_classes": f"{miss}, ru as ({runs.format('mm')}), k as (select *, hour(s at time zone 'America/New_York') * 60 + minute(s at time zone 'America/New_York') between 500 and 900 as in_rth, hour(s at time zone 'America/Chicago') * 60 + minute(s at time zone 'America/Chicago') as ct from ru) select symbol, cast(epoch(s) as bigint) as run_start_s, n as bars_missing, in_rth, case when n <= 5 then 'minor' when n <= 30 and ct >= 1020 and ct < 1050 then 'maintenance' when not in_rth and n <= 60 then 'overnight' else 'large' end as kind from k",
-        "dq_minute_runs": f"with {B}, {mi}, ru as ({runs.format('mi')}) select symbol, cast(epoch(s) as bigint) as run_start_s, n from ru",
-        "dq_session_coverage": f"with {B}, cal as (select d, timezone('America/New_York', (d - interval 1 day) + interval 18 hours) as o, timezone('America/New_York', d + interval 17 hours) as c from (select unnest(generate_series(timestamp '2024-03-01', timestamp '2024-03-31', interval 1 day)) as d) where dayofweek(d) between 1 and 5), sy as (select distinct symbol from b) select sy.symbol, cast(epoch(o) as bigint) as open_s, count(b.timestamp_utc) as bars from sy cross join cal left join b on b.symbol = sy.symbol and b.timestamp_utc >= o and b.timestamp_utc < c group by 1, 2",
-        "dq_session_coverage_all": f"with {B}, sp as (select symbol, min({TD.format('timestamp_utc')}) as a, max({TD.format('timestamp_utc')}) as z from b group by 1), da as (select symbol, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day)) as d from sp), cal as (select symbol, timezone('America/New_York', (d - interval 1 day) + interval 18 hours) as o, timezone('America/New_York', d + interval 17 hours) as c from da where dayofweek(d) between 1 and 5 and not (year(d) >= 2022 and month(d) = 6 and (day(d) = 19 or (day(d) = 18 and dayofweek(d) = 5) or (day(d) = 20 and dayofweek(d) = 1)))) select cal.symbol, cast(epoch(o) as bigint) as open_s, count(b.timestamp_utc) as bars from cal left join b on b.symbol = cal.symbol and b.timestamp_utc >= o and b.timestamp_utc < c group by 1, 2",
+        "dq_row_checks": ROW_CHECKS,
+        "dq_missing_minutes": f"{miss} select symbol, timeframe, m as minute from mm",
+        "dq_gap_classes": f"{miss}, {kinds} select * from gc",
+        "dq_minute_runs": f"with {B}, {mi}, ru as ({runs.format('mi')}) select symbol, timeframe, s as run_start_s, n from ru",
+        "dq_session_coverage": f"with {cover} select * from cv",
+        "dq_missing_sessions": f"with {cover} select symbol, open_s from cv where bars = 0",
+        "dq_left_out": "with r as (select contract, timestamp_utc, bar_id, case when close is null then 'null_close' when high is null or low is null or high < low then 'crossed' when volume is null or volume < 0 then 'no_volume' end as why from bars), k as (select contract, coalesce(why, case when row_number() over (partition by contract, timestamp_utc, why is null order by bar_id) > 1 then 'redelivered' else 'kept' end) as reason from r) select contract, reason, count(*) as bars from k group by 1, 2",
+        "dq_report": f"""{miss}, {kinds}, {sessions}, rc as ({ROW_CHECKS}), a1 as (select symbol, count(*) as missing_periods from mm group by 1),
+            a2 as (select mi.symbol, count(*) as unexpected_periods from mi left join ex on ex.symbol = mi.symbol and ex.timeframe = mi.timeframe and ex.m = mi.m where ex.m is null group by 1),
+            a3 as (select symbol, count(*) as large_gaps, count(*) filter (in_rth) as large_gaps_rth from gc where kind = 'large' group by 1), a4 as (select symbol, count(*) as empty_sessions from cv where bars = 0 group by 1)
+            select rc.* exclude (passed), coalesce(missing_periods, 0) as missing_periods, coalesce(unexpected_periods, 0) as unexpected_periods, coalesce(large_gaps, 0) as large_gaps, coalesce(large_gaps_rth, 0) as large_gaps_rth, coalesce(empty_sessions, 0) as empty_sessions,
+                passed and coalesce(large_gaps_rth, 0) = 0 and coalesce(empty_sessions, 0) = 0 as passed from rc left join a1 using (symbol) left join a2 using (symbol) left join a3 using (symbol) left join a4 using (symbol)""",
         "set_back_adjust": f"{chain} select i.root, i.symbol as contract, epoch_us(i.timestamp_utc) as us, round(close + adjustment, 8) as close, round(adjustment, 8) as adjustment from i join ad on i.root = ad.root and i.seq = ad.seq",
         "set_session_calendar": "select cast(d as date) as trade_date, cast(epoch(timezone('America/New_York', (d - interval 1 day) + interval 18 hours)) as bigint) as open_s, cast(epoch(timezone('America/New_York', d + interval 17 hours)) as bigint) as close_s from (select unnest(generate_series(timestamp '2024-03-01', timestamp '2024-06-30', interval 1 day)) as d) where dayofweek(d) between 1 and 5 and cast(d as date) <> date '2024-06-19'",
         "set_union_distinct": "select upper(trim(contract)) as contract from trades union select contract from bars",

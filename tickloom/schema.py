@@ -27,9 +27,24 @@ def keep_one(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+#: Why a delivered bar is no bar: it lacks its close, a price or volume contradicts what such a number is. The first that holds.
+REASONS = [("null_close", "close is null"), ("crossed", "high is null or low is null or high < low"), ("no_volume", "volume is null or volume < 0")]
+
+
+def left_out(bars: DataFrame) -> DataFrame:
+    """Delivered bars with ``left_out``, the reason why clean_bars drops them: one of REASONS, redelivered, or null for those it keeps."""
+    reason = F.coalesce(*[F.when(F.expr(c), F.lit(r)) for r, c in REASONS])
+    b = bars.withColumn("left_out", reason)
+    first = F.row_number().over(Window.partitionBy("contract", "timestamp_utc", F.col("left_out").isNull()).orderBy("bar_id")) > 1
+    return b.withColumn("left_out", F.coalesce("left_out", F.when(first, F.lit("redelivered"))))
+
+
 def clean_bars(bars: DataFrame) -> DataFrame:
-    """Deliveries to bars: plausible in themselves and one per (symbol, instant), the first delivered. A contract is a symbol."""
-    ok = "close is not null and low > 0 and high >= low and high < 1000000 and volume between 0 and 1000000"
+    """Deliveries to bars: a close, ordered high and low, a volume, and one per (symbol, instant), the first delivered. A contract is a symbol.
+
+    However large or negative a price, it stays; what is false for its contract is found by ``spikes.false_readings``. ``left_out`` says what is dropped.
+    """
+    ok = " and ".join(f"not coalesce({c}, false)" for _, c in REASONS)
     return keep_one(bars.where(ok), ["contract", "timestamp_utc"], "bar_id").select(F.col("contract").alias("symbol"), "timeframe", "timestamp_utc", "open", "high", "low", "close", "volume", *ORDER_FLOW)
 
 
