@@ -24,12 +24,12 @@ def test_ewm_skips_and_decays_over_missing():
     assert np.isnan(y[0]) and np.allclose(y[1:], [1, 1, 5 / 3, 5 / 3, 5 / 3, (0.125 * 5 / 3 + 0.5 * 4) / 0.625])
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 64, 1000])
-def test_long_scan_equals_the_plain_one(spark, chunk):
+@pytest.mark.parametrize("minutes", [1, 7, 97, 5000])
+def test_long_scan_equals_the_plain_one(spark, minutes):
     b = bars(spark).withColumn("day", F.to_date("timestamp_utc")).withColumn("half", F.minute("timestamp_utc") + 60 * F.hour("timestamp_utc"))
-    b = b.withColumn("half", F.floor(F.col("half") / 97))
+    b = b.withColumn("half", F.floor(F.col("half") / minutes))
     a = table(ewm(b, "close", span_alpha(12), "e", ["symbol"], ["timestamp_utc"]))
-    c = table(ewm_long(b, "close", span_alpha(12), "e", ["symbol"], ["timestamp_utc"], chunk=chunk, block="half"))
+    c = table(ewm_long(b, "close", span_alpha(12), "e", ["symbol"], ["timestamp_utc"], block="half"))
     assert np.allclose(a.e, c.e, rtol=0, atol=1e-9) and len(a) == len(c)
 
 
@@ -53,7 +53,7 @@ def test_adx_against_a_loop(spark):
 
 
 def test_macd_state_against_a_loop(spark):
-    p = table(ind.macd_state(ind.recursive(bars(spark, 400), macd=True)))
+    p = table(ind.recursive(bars(spark, 400), state=True))
     since, streak, prev = None, None, None
     for i, h in enumerate(p.macd_hist):
         if np.isnan(h):
@@ -90,7 +90,7 @@ def test_nulls_and_empty(spark):
     p = table(ind.order_flow_imbalance(ind.bollinger(ind.sma(holes, 5))))
     assert p.ofi_14.isna().all() and p.sma_5.notna().any() and p.sma_5.isna().sum() > 20
     assert ind.recursive(b.limit(0), ema=(3,), adx=5).count() == 0
-    assert ind.macd_state(ind.recursive(b.limit(0), macd=True)).count() == 0
+    assert ind.recursive(b.limit(0), state=True).count() == 0
 
 
 def test_missing_value_helpers(spark):

@@ -14,7 +14,7 @@ def rows(df):
     import pandas as pd
 
     def cell(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v) or v is pd.NaT:
             return None
         if hasattr(v, "isoformat"):
             return str(pd.Timestamp(v).tz_localize(None) if getattr(v, "tzinfo", None) else pd.Timestamp(v))

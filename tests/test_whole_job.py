@@ -66,7 +66,7 @@ def test_registered_queries_draw_the_surveyed_numbers(spark, monkeypatch):
     samples, means = resampling.samples, resampling._mean_samples
     monkeypatch.setattr(resampling, "samples", lambda t, k, n=1000, *a, **kw: drawn.append(n) or samples(t, k, n, *a, **kw))
     monkeypatch.setattr(resampling, "_mean_samples", lambda t, k, n, *a: drawn.append(n) or means(t, k, n, *a))
-    for name in ("rs_bootstrap", "rs_shuffle", "rs_hash_bootstrap_all", "rs_generic_bootstrap"):
+    for name in ("rs_bootstrap", "rs_shuffle", "rs_hash_bootstrap", "rs_generic_bootstrap"):
         e.queries()[name](spark, "/root/testdata/sf0.001")
     assert [n for n in drawn if n > 1] == [1000, 1000, 1000, 10_000]
 
@@ -75,7 +75,7 @@ def test_every_month_and_every_pair_of_runs(spark):
     import __spark_entry__ as e
 
     folder = "/root/testdata/sf0.001"
-    assert {f"m{m:02d}" for m in range(1, 13)} <= set(e.queries()["met_calendar_year"](spark, folder).columns)
-    c = e.queries()["port_rolling_correlation_all"](spark, folder).select("run_a", "run_b").distinct().count()
+    assert {f"m{m:02d}" for m in range(1, 13)} <= set(e.queries()["met_calendar"](spark, folder).columns)
+    c = e.queries()["port_rolling_correlation"](spark, folder).select("run_a", "run_b").distinct().count()
     n = e.queries()["log_equity"](spark, folder).select("run_id").distinct().count()
     assert c == n * (n - 1) // 2

@@ -2,8 +2,8 @@
 
 y starts at the first value; on a value x after g missing ones, y = (w y + a x) / (w + a) with w = (1 - a)^(g + 1); on a
 missing value y stays. ``ewm`` streams sorted groups through Arrow. ``ewm_long`` is for series too long for one task: the recurrence
-is affine in y, so chunks are folded on their own, the few chunk results are chained, and each chunk is expanded from its
-start. Both give the same numbers.
+is affine in y, so blocks are folded on their own, the few block results are chained, and each row is completed from its
+block's start. Both give the same numbers.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.segments import map_sorted_groups
@@ -57,23 +57,31 @@ def ewm(df: DataFrame, column: str, alpha: float, out: str, keys: list[str], ord
     return series_map(df, keys, order, run, [out])
 
 
-def ewm_long(df: DataFrame, column: str, alpha: float, out: str, keys: list[str], order: list[str], chunk: int = 4096, block: str | None = None) -> DataFrame:
-    """The same by a chunked affine scan; ``column`` without nulls.
+def ewm_long(df: DataFrame, column: str, alpha: float, out: str, keys: list[str], order: list[str], block: str) -> DataFrame:
+    """The same by an affine scan over blocks of a key; ``column`` without nulls.
 
-    ``block`` names a column that splits a key into bounded parts in order (a day, a month); without it row numbers are taken over
-    the whole key. A chunk's fold is (A, B) with y_end = A y_start + B.
+    ``block`` names a column that splits a key into parts that fit a task and lie in order (a day, a month). Every block is
+    folded from zero in one pass, which gives y = b + (1 - a)^(i + 1) y_start for its i-th row; the block ends, one row a block,
+    are chained, and each row is completed from its block's start. Work is linear in the rows and in the blocks.
     """
-    parts = [*keys, block] if block else keys
-    w = Window.partitionBy(*parts).orderBy(*order)
-    x = df.withColumn("__n", F.row_number().over(w) - 1).withColumn("__c", F.floor(F.col("__n") / chunk))
-    seg = [*parts, "__c"]
-    folded = x.groupBy(*seg).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(column).cast("double").alias("v")))).alias("__x"))
-    end = F.expr(f"aggregate(__x, cast(0.0 as double), (y, e) -> y * {1 - alpha!r}D + e.v * {alpha!r}D)")
-    folded = folded.withColumns({"__b": end, "__a": F.pow(F.lit(1 - alpha), F.size("__x")), "__first": F.col("__x")[0]["v"]})
-    places = [*([block] if block else []), "__c"]
-    chain = folded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*places, "__a", "__b", "__first"))).alias("__s"))
-    starts = F.expr("transform(slice(aggregate(__s, array(__s[0].__first), (acc, e) -> concat(acc, array(element_at(acc, -1) * e.__a + e.__b))), 1, size(__s)), (y, i) -> struct(__s[i] as s, y as y0))")
-    chain = chain.select(*keys, F.explode(starts).alias("__e")).select(*keys, *[F.col(f"__e.s.{p}").alias(p) for p in places], F.col("__e.y0").alias("__y0"))
-    run = F.expr(f"slice(aggregate(__x, array(__y0), (acc, e) -> concat(acc, array(element_at(acc, -1) * {1 - alpha!r}D + e.v * {alpha!r}D))), 2, size(__x))")
-    ys = folded.join(chain, seg).select(*seg, F.posexplode(run).alias("__i", out)).withColumn("__n", F.col("__c") * chunk + F.col("__i"))
-    return x.join(ys.drop("__i"), [*seg, "__n"]).drop("__n", "__c")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["__fold double", "__i double"])
+
+    def fold(group: pa.Table) -> pa.RecordBatch:
+        x = group[column].to_numpy().astype("float64")
+        return with_columns(group, {"__fold": smooth(np.r_[0.0, x], alpha)[1:], "__i": np.arange(1.0, len(x) + 1)})
+
+    rows = map_sorted_groups(df.withColumn("__part", F.col(block).cast("string")), [*keys, "__part"], order, fold, schema.replace("__fold double", "__part string, __fold double"))
+    ends = rows.groupBy(*keys, block).agg(F.max("__i").alias("n"), F.max_by("__fold", "__i").alias("b"), F.min_by(F.col(column).cast("double"), "__i").alias("first"))
+
+    def chain(group: pa.Table) -> pa.RecordBatch:
+        y, starts = group["first"][0].as_py(), []
+        for n, b in zip(group["n"].to_pylist(), group["b"].to_pylist()):
+            starts.append(y)
+            y = y * (1 - alpha) ** n + b
+        return pa.RecordBatch.from_arrays([*[group[c].combine_chunks() for c in (*keys, block)], pa.array(starts, pa.float64())], names=[*keys, block, "__start"])
+
+    kept = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{c}` {kept[c]}" for c in (*keys, block))
+    starts = map_sorted_groups(ends, keys, [block], chain, schema + ", __start double")
+    done = rows.drop("__part").join(starts, [*keys, block])
+    return done.withColumn(out, F.col("__fold") + F.pow(F.lit(1 - alpha), F.col("__i")) * F.col("__start")).select(*df.columns, out)

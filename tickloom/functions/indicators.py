@@ -112,9 +112,35 @@ def _macd(get, fast: int = 12, slow: int = 26, signal: int = 9) -> dict[str, np.
     return out
 
 
-def recursive(df: DataFrame, *, ema: tuple[int, ...] = (), atr: int | None = None, rsi: int | None = None, adx: int | None = None, macd: bool = False) -> DataFrame:
-    """All recursive indicators asked for in one pass over each series."""
-    names = [f"ema_{n}" for n in ema] + ([f"atr_{atr}"] if atr else []) + ([f"rsi_{rsi}"] if rsi else []) + (["plus_di", "minus_di", f"adx_{adx}"] if adx else []) + (["macd", "macd_signal", "macd_hist"] if macd else [])
+def _macd_state(h: np.ndarray) -> dict[str, np.ndarray]:
+    """From a MACD histogram: above zero, slope, bars since its sign changed, and its run towards (negative) or away from zero.
+
+    Zero counts as below in runs; a side of zero starts at +1, rises go up from there, falls down from -1; equal sizes leave the run as it is.
+    """
+    n = len(h)
+    known = ~np.isnan(h)
+    before = np.r_[np.nan, h[:-1]]
+    first = np.maximum.accumulate(np.where(known & ~np.r_[False, known[:-1]] | known & (np.sign(h) != np.sign(before)), np.arange(n), -1)) if n else np.zeros(0, int)
+    since = np.where(known, np.arange(n) - first, np.nan)
+    streak = np.full(n, np.nan)
+    run, above, size = 0, None, 0.0
+    for i in np.flatnonzero(known).tolist():
+        v = h[i]
+        if above is None or (v > 0) != above:
+            run = 1
+        elif abs(v) > size:
+            run = run + 1 if run > 0 else 1
+        elif abs(v) < size:
+            run = run - 1 if run < 0 else -1
+        above, size = v > 0, abs(v)
+        streak[i] = run
+    return {"macd_hist_slope": h - before, "bars_since_zero_cross": since, "decline_streak": streak}
+
+
+def recursive(df: DataFrame, *, ema: tuple[int, ...] = (), atr: int | None = None, rsi: int | None = None, adx: int | None = None, macd: bool = False, state: bool = False) -> DataFrame:
+    """All recursive indicators asked for in one pass over each series; ``state`` adds what the MACD histogram has been doing."""
+    names = [f"ema_{n}" for n in ema] + ([f"atr_{atr}"] if atr else []) + ([f"rsi_{rsi}"] if rsi else []) + (["plus_di", "minus_di", f"adx_{adx}"] if adx else []) + (["macd", "macd_signal", "macd_hist"] if macd or state else [])
+    names += ["macd_hist_slope", "bars_since_zero_cross", "decline_streak"] if state else []
 
     def run(get):
         out = {f"ema_{n}": _ema(get("close"), n) for n in ema}
@@ -124,33 +150,42 @@ def recursive(df: DataFrame, *, ema: tuple[int, ...] = (), atr: int | None = Non
             out[f"rsi_{rsi}"] = _rsi(get, rsi)
         if adx:
             out |= _adx(get, adx)
-        if macd:
+        if macd or state:
             out |= _macd(get)
+        if state:
+            out |= _macd_state(out["macd_hist"])
         return out
 
-    return series_map(df, KEYS, ORDER, run, names)
-
-
-def macd_state(df: DataFrame, hist: str = "macd_hist") -> DataFrame:
-    """From a MACD histogram: above zero, slope, bars since its sign changed, and its run towards or away from zero."""
-    h = F.col(hist)
-    df = df.withColumns({"macd_hist_above_zero": F.coalesce(h > 0, F.lit(False)), "macd_hist_slope": h - F.lag(h).over(series()), "__s": F.signum(h), "__d": F.signum(F.abs(h) - F.abs(F.lag(h).over(series())))})
-    crossed = h.isNotNull() & (F.lag("__s").over(series()).isNull() | (F.col("__s") != F.lag("__s").over(series())))
-    df = df.withColumn("__g", F.sum(crossed.cast("int")).over(series()))
-    df = df.withColumn("bars_since_zero_cross", F.when(h.isNotNull(), F.row_number().over(Window.partitionBy(*KEYS, "__g").orderBy(*ORDER)) - 1))
-    # runs: zero counts as below; a regime starts at +1, rises go up from there, falls down from 0; equal sizes leave the run as it is
-    side = F.when(h > 0, 1).when(h.isNotNull(), -1)
-    df = df.withColumn("__side", side)
-    new = h.isNotNull() & (F.lag("__side").over(series()).isNull() | (F.col("__side") != F.lag("__side").over(series())))
-    df = df.withColumns({"__new": new, "__r": F.sum(new.cast("int")).over(series())})
-    regime = Window.partitionBy(*KEYS, "__r").orderBy(*ORDER)
-    df = df.withColumn("__dir", F.when(F.col("__new"), 1).when(F.col("__d") != 0, F.col("__d").cast("int")))
-    df = df.withColumn("__dir", F.last("__dir", ignorenulls=True).over(regime))
-    turn = F.col("__new") | (F.col("__dir") != F.lag("__dir").over(regime))
-    df = df.withColumn("__t", F.sum(F.coalesce(turn, F.lit(False)).cast("int")).over(regime))
-    moves = F.sum((F.col("__new") | (F.col("__d") != 0)).cast("int")).over(Window.partitionBy(*KEYS, "__r", "__t").orderBy(*ORDER))
-    df = df.withColumn("decline_streak", F.when(h.isNotNull(), moves * F.col("__dir")))
-    return df.drop("__s", "__d", "__g", "__side", "__new", "__r", "__dir", "__t")
+    out = series_map(df, KEYS, ORDER, run, names)
+    return out.withColumn("macd_hist_above_zero", F.coalesce(F.col("macd_hist") > 0, F.lit(False))) if state else out
+
+
+def vwaps(df: DataFrame, gap_minutes: int = 60, widths: tuple[float, ...] = (1.0, 2.0)) -> DataFrame:
+    """Session, weekly and monthly VWAP (and the session's deviations) in one pass over each series, as the functions below give them one by one."""
+    day = trade_date(F.col("timestamp_utc"))
+    df = df.withColumns({"__us": F.unix_micros("timestamp_utc"), "__week": F.extract(F.lit("YEAROFWEEK"), day) * 100 + F.weekofyear(day), "__month": F.year(day) * 100 + F.month(day)})
+    bands = [f"vwap_session_band_{str(w).replace('.', '_')}" for w in widths]
+
+    def parts(x, v, starts):
+        edge = [*np.flatnonzero(starts).tolist(), len(x)]
+        mean, sd = np.empty(len(x)), np.empty(len(x))
+        with np.errstate(all="ignore"):
+            for a, b in zip(edge, edge[1:]):
+                y, w = x[a:b] - x[a], v[a:b]
+                total = np.cumsum(w)
+                total[total == 0] = np.nan
+                m = np.cumsum(y * w) / total
+                mean[a:b] = x[a] + m
+                sd[a:b] = np.sqrt(np.maximum(np.cumsum(y * y * w) / total - m * m, 0.0))
+        return mean, sd
+
+    def run(get):
+        x, v = get("close"), get("volume")
+        change = lambda a: np.r_[True, a[1:] != a[:-1]]
+        session, sd = parts(x, v, np.r_[True, np.diff(get("__us")) > gap_minutes * 60e6])
+        return {"vwap_session": session, **{b: sd * w for b, w in zip(bands, widths)}, "vwap_weekly": parts(x, v, change(get("__week")))[0], "vwap_monthly": parts(x, v, change(get("__month")))[0]}
+
+    return series_map(df, KEYS, ORDER, run, ["vwap_session", *bands, "vwap_weekly", "vwap_monthly"]).drop("__us", "__week", "__month")
 
 
 def session_vwap(df: DataFrame, gap_minutes: int = 60, widths: tuple[float, ...] = (1.0, 1.5, 2.0, 3.0)) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Blocks of time into which the histories of an entity are cut.
+MONTH_US = 30 * 86_400_000_000
+
+
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], *, left_ts: str = "timestamp_utc", right_ts: str = "timestamp_utc", prefix: str = "", block_us: int | None = None, strict: bool = False) -> DataFrame:
     """Left rows with ``values`` of the last right row at or before them (``strict``: before them), null without one.
 
@@ -35,12 +39,12 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: li
     return both.select("__l.*", *[F.col(f"__r.{n}").alias(n) for n in names])
 
 
-def higher_timeframe(left: DataFrame, right: DataFrame, values: list[str], prefix: str, keys: list[str] | None = None) -> DataFrame:
+def higher_timeframe(left: DataFrame, right: DataFrame, values: list[str], prefix: str, keys: list[str] | None = None, block_us: int = MONTH_US) -> DataFrame:
     """Columns of the last COMPLETED higher-timeframe bar: right values are shifted by one bar first, so nothing looks ahead."""
     keys = keys or ["symbol"]
     w = Window.partitionBy(*keys).orderBy("timestamp_utc")
     shifted = right.select(*keys, "timestamp_utc", *[F.lag(v).over(w).alias(v) for v in values])
-    return asof_backward(left, shifted, keys, values, prefix=prefix)
+    return asof_backward(left, shifted, keys, values, prefix=prefix, block_us=block_us)
 
 
 def safe_prefix(timeframe: str) -> str:
@@ -56,23 +60,27 @@ def daily_projection(left: DataFrame, daily: DataFrame, values: list[str], prefi
     return left.join(daily.select(*keys, "trade_date", *[F.lag(v).over(w).alias(f"{prefix}{v}") for v in values]), [*keys, "trade_date"], "left")
 
 
-def containing_bar(points: DataFrame, bars: DataFrame, *, ts: str, keys: list[str] | None = None) -> DataFrame:
+def containing_bar(points: DataFrame, bars: DataFrame, *, ts: str, keys: list[str] | None = None, block_us: int = MONTH_US) -> DataFrame:
     """The bar each point falls in: the last at or before it, or the first bar of its key."""
     keys = keys or ["symbol"]
-    found = asof_backward(points, bars.select(*keys, "timestamp_utc", F.col("timestamp_utc").alias("bar_ts")), keys, ["bar_ts"], left_ts=ts)
+    found = asof_backward(points, bars.select(*keys, "timestamp_utc", F.col("timestamp_utc").alias("bar_ts")), keys, ["bar_ts"], left_ts=ts, block_us=block_us)
     first = bars.groupBy(*keys).agg(F.min("timestamp_utc").alias("__first"))
     return found.join(first, keys, "left").withColumn("bar_ts", F.coalesce("bar_ts", "__first")).drop("__first")
 
 
 def nearest_event(points: DataFrame, events: DataFrame, *, day: str, event_day: str = "event_date") -> DataFrame:
-    """Days from each point to the nearest event, positive before it; the earlier event on a tie.
+    """Days from each point to the nearest event, positive before it; the earlier event on a tie, null without events or day.
 
-    Events are dates (at most 366 a year), turned into one sorted array: a broadcast of that proven size, not a cross join.
+    The events before and after are looked up for the distinct days of the points, of which a century has 36,525, and joined back on
+    the day; neither points nor events gather anywhere.
     """
-    every = events.agg(F.array_sort(F.collect_set(event_day)).alias("__e"))
-    joined = points.crossJoin(F.broadcast(every))
-    best = F.expr(f"array_min(transform(__e, e -> struct(abs(datediff(e, {day})) as gap, e as event_date)))")
-    return joined.withColumn("__b", best).withColumn("event_date", F.col("__b.event_date")).withColumn("days_to_event", F.datediff("event_date", F.col(day))).drop("__e", "__b")
+    days = points.select(F.col(day).alias("__d")).where("__d is not null").distinct().withColumn("__e", F.lit(None).cast("date"))
+    both = days.unionByName(events.select(F.col(event_day).cast("date").alias("__d"), F.col(event_day).cast("date").alias("__e")).where("__d is not null").distinct())
+    w = Window.orderBy("__d")
+    both = both.withColumns({"__p": F.last("__e", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "__n": F.first("__e", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    near = F.when(F.col("__n").isNull() | (F.datediff("__d", "__p") <= F.datediff("__n", "__d")), F.col("__p")).otherwise(F.col("__n"))
+    near = both.where("__e is null").select("__d", near.alias("event_date"))
+    return points.join(near, F.col(day) == F.col("__d"), "left").withColumn("days_to_event", F.datediff("event_date", F.col(day))).drop("__d")
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], *, left_ts: str, right_ts: str = "timestamp_utc", tolerance_us: int, prefix: str = "", block_us: int = 6 * 3_600_000_000) -> DataFrame:

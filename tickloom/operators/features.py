@@ -35,7 +35,7 @@ def _apply(df: DataFrame, features: list[dict]) -> DataFrame:
     of = lambda kind: [f for f in features if f["kind"] == kind]
     one = lambda kind: (of(kind) or [{}])[0].get("n")
     if of("ema") or of("atr") or of("rsi") or of("adx") or of("macd"):
-        df = ind.recursive(df, ema=tuple(dict.fromkeys(f["n"] for f in of("ema"))), atr=one("atr"), rsi=one("rsi"), adx=one("adx"), macd=bool(of("macd")))
+        df = ind.recursive(df, ema=tuple(dict.fromkeys(f["n"] for f in of("ema"))), atr=one("atr"), rsi=one("rsi"), adx=one("adx"), state=bool(of("macd")))
     for f in of("sma"):
         df = ind.sma(df, f["n"])
     for f in of("bollinger"):
@@ -46,8 +46,6 @@ def _apply(df: DataFrame, features: list[dict]) -> DataFrame:
         df = ind.order_flow_imbalance(df, f["n"])
     for f in of("cci"):
         df = ind.cci(df, f["n"])
-    if of("macd"):
-        df = ind.macd_state(df)
     return df
 
 
@@ -56,11 +54,11 @@ def build(base: DataFrame, minutes: int, spec: dict, known: dict[str, dict] | No
     spec = resolve(spec, known or {"base-v1": BASE_V1, "base-v2": BASE_V2})
     bars = _apply(resample.resample(base, minutes), spec["features"])
     if any(f["kind"] == "vwap" for f in spec["features"]):
-        v = ind.monthly_vwap(ind.weekly_vwap(ind.session_vwap(base)))
+        v = ind.vwaps(base)
         names = ["vwap_session", "vwap_session_band_1_0", "vwap_session_band_2_0", "vwap_weekly", "vwap_monthly"]
         at = F.timestamp_seconds(F.floor(F.unix_seconds("timestamp_utc") / 60) * 60)
         v = v.select("symbol", at.alias("timestamp_utc"), *names)
-        bars = asof.asof_backward(bars, v, ["symbol"], names)
+        bars = asof.asof_backward(bars, v, ["symbol"], names, block_us=asof.MONTH_US)
     if spec["daily"]:
         d = _apply(resample.resample_daily(base), spec["daily"])
         made = [c for c in d.columns if c not in ("symbol", "trade_date", "timeframe", "timestamp_utc", "open", "high", "low", "close", "volume", "buy_volume", "sell_volume", "up_ticks", "down_ticks", "total_ticks")]

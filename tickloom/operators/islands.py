@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ranks import before, month_of
+
 
 def islands(df: DataFrame, keys: list[str], order: list, starts: Column, out: str = "island") -> DataFrame:
     """Numbers runs of rows: a row where ``starts`` holds opens the next one."""
@@ -19,12 +21,22 @@ def minute_runs(df: DataFrame, keys: list[str], ts: str = "timestamp_utc", minut
     return df.withColumn("__k", base).groupBy(*keys, "__k").agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count("*").alias("n")).drop("__k")
 
 
-def streaks(df: DataFrame, keys: list[str], order: list, what: Column) -> DataFrame:
-    """Runs of equal values of ``what``: (keys, island, value, length)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("__v", what)
-    df = islands(df, keys, order, F.lag("__v").over(w).isNull() | (F.col("__v") != F.lag("__v").over(w)))
-    return df.groupBy(*keys, "island").agg(F.first("__v").alias("value"), F.count("*").alias("length"))
+def streaks(df: DataFrame, keys: list[str], order: list, what: Column, block: Column | None = None) -> DataFrame:
+    """Runs of equal values of ``what``: (keys, island, value, length).
+
+    Runs are found within blocks of the order (its first column's months by default) and joined where one goes on over a border.
+    """
+    block = block if block is not None else month_of(order[0])
+    df = df.withColumns({"__v": what, "__b": block})
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    df = islands(df, [*keys, "__b"], order, F.lag("__v").over(w).isNull() | (F.col("__v") != F.lag("__v").over(w)), "__i")
+    part = df.groupBy(*keys, "__b", "__i").agg(F.first("__v").alias("value"), F.count("*").alias("n"))
+    blocks = part.groupBy(*keys, "__b").agg(F.max("__i").alias("k"), F.min_by("value", "__i").alias("head"), F.max_by("value", "__i").alias("tail"))
+    goes_on = F.coalesce(F.lag("tail").over(Window.partitionBy(*keys).orderBy("__b")) == F.col("head"), F.lit(False)).cast("int")
+    blocks = blocks.withColumn("m", goes_on)
+    offset = F.coalesce(F.sum(F.col("k") - F.col("m")).over(before(keys)), F.lit(0)) - F.col("m")
+    blocks = blocks.select(*keys, "__b", offset.alias("o"))
+    return part.join(blocks, [*keys, "__b"]).groupBy(*keys, (F.col("__i") + F.col("o")).alias("island")).agg(F.first("value").alias("value"), F.sum("n").alias("length"))
 
 
 def largest_gaps(df: DataFrame, keys: list[str], ts: str = "timestamp_utc", over_seconds: int = 60, k: int = 5) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.metrics import ORDER
+from tickloom.operators.ranks import places
 
 
 def win_probabilities(trades: DataFrame, features: list[str], folds: int = 3, purge: int = 10, trees: int = 10) -> DataFrame:
     """(trade_id, fold, win_prob) out of sample: each fold is scored by boosted trees fitted on all trades before it, less ``purge``."""
-    w = Window.orderBy(*ORDER)
-    t = trades.withColumn("__n", F.row_number().over(w) - 1).withColumn("label", (F.col("net_pnl_usd") > 0).cast("double"))
+    t = places(trades.where("exit_ts is not null"), [], ORDER, F.to_date("exit_ts")).withColumn("__n", F.col("__n") - 1).withColumn("label", (F.col("net_pnl_usd") > 0).cast("double"))
     total = t.count()
     filled = [f"{f}__f" for f in features]
     out = None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.nulls import ratio
 from tickloom.functions.special import chi2_upper, normal_cdf, sharpe_variance
+from tickloom.operators.ranks import after, before, month_of, places
 
 ORDER = ["exit_ts", "entry_ts", "trade_id"]
 YEAR_DAYS = 252
@@ -72,13 +73,16 @@ def daily_ratios(daily: DataFrame, keys: list[str]) -> DataFrame:
 def drawdowns(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Every stretch under water: start (first point below the peak), trough, recovery (null if still under), depth, points.
 
-    Islands over the equity curve; depth_pct is null where the peak is zero.
+    Islands over the equity curve, counted within months with the count before and the next exit after them carried in; depth_pct is
+    null where the peak is zero.
     """
-    e = equity(trades, keys)
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    below = F.col("drawdown") < 0
-    e = e.withColumn("__below", below)
-    e = e.withColumn("__g", F.sum((~below).cast("int")).over(w)).withColumn("__next", F.lead("exit_ts").over(w))
+    e = equity(trades, keys).withColumns({"__below": F.col("drawdown") < 0, "__b": month_of("exit_ts")})
+    w = Window.partitionBy(*keys, "__b").orderBy(*ORDER)
+    up = (~F.col("__below")).cast("int")
+    blocks = e.groupBy(*keys, "__b").agg(F.sum(up).alias("__k"), F.min("exit_ts").alias("__first"))
+    blocks = blocks.select(*keys, "__b", F.coalesce(F.sum("__k").over(before(keys)), F.lit(0)).alias("__o"), F.min("__first").over(after(keys)).alias("__then"))
+    e = e.withColumns({"__g": F.sum(up).over(w), "__next": F.lead("exit_ts").over(w)}).join(blocks, [*keys, "__b"])
+    e = e.withColumns({"__g": F.col("__g") + F.col("__o"), "__next": F.coalesce("__next", "__then")})
     out = e.where("__below").groupBy(*keys, "__g").agg(
         F.min("exit_ts").alias("start_ts"), F.min_by("exit_ts", F.struct("equity", *ORDER)).alias("trough_ts"), F.max_by("__next", F.struct(*ORDER)).alias("recovery_ts"),
         F.max("exit_ts").alias("last_ts"), (F.max("peak") - F.min("equity")).alias("depth_usd"), F.max("peak").alias("peak_usd"), F.count("*").alias("points"),
@@ -208,13 +212,18 @@ def rolling_expectancy(trades: DataFrame, keys: list[str], sizes: tuple[int, ...
 
 
 def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p", q: float = 0.05, tie: str = "test_id") -> DataFrame:
-    """Adds rank, adjusted p (step-up, at most 1) and whether the test is rejected at rate q."""
-    w = Window.partitionBy(*keys).orderBy(p, tie)
-    t = tests.withColumns({"rank": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(*keys))})
-    up = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("adjusted_p", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("rank")).over(up)))
+    """Adds rank, adjusted p (step-up, at most 1) and whether the test is rejected at rate q.
+
+    Ranks and the step-up minimum run within blocks of p, so tests of one family are many tasks.
+    """
+    block = F.floor(F.col(p) * 4096)
+    t = places(tests, keys, [p, tie], block, "rank", "__n").withColumns({"__b": block, "__a": F.col(p) * F.col("__n") / F.col("rank")})
+    up = Window.partitionBy(*keys, "__b").orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below = F.when(F.col(p) <= F.col("rank") / F.col("__n") * q, F.col("rank"))
-    return t.withColumn("rejected", F.coalesce(F.col("rank") <= F.max(below).over(Window.partitionBy(*keys)), F.lit(False))).drop("__n")
+    blocks = t.groupBy(*keys, "__b").agg(F.min("__a").alias("__m"), F.max(below).alias("__k"))
+    blocks = blocks.select(*keys, "__b", F.min("__m").over(after(keys)).alias("__later"), F.max("__k").over(Window.partitionBy(*keys)).alias("__last"))
+    t = t.withColumn("__a", F.min("__a").over(up)).join(blocks, [*keys, "__b"])
+    return t.withColumns({"adjusted_p": F.least(F.lit(1.0), "__a", "__later"), "rejected": F.coalesce(F.col("rank") <= F.col("__last"), F.lit(False))}).drop("__n", "__b", "__a", "__later", "__last")
 
 
 def composite_score(profit_factor: Column, drawdown: Column, n: Column, least: int = 100) -> Column:

@@ -25,7 +25,9 @@ def _measures(x: np.ndarray, days: float) -> np.ndarray:
         cum = np.cumsum(x, axis=1)
         dd = (np.maximum.accumulate(cum, axis=1) - cum).max(axis=1)
         wins, losses = np.where(x > 0, x, 0).sum(axis=1), -np.where(x <= 0, x, 0).sum(axis=1)
-        down = np.array([r[~np.isnan(r)].std(ddof=1) if (~np.isnan(r)).sum() >= 2 else np.nan for r in neg])
+        count = (~np.isnan(neg)).sum(axis=1)
+        centre = np.where(count > 0, np.nansum(neg, axis=1) / np.maximum(count, 1), 0.0)
+        down = np.where(count >= 2, np.sqrt(np.nansum((neg - centre[:, None]) ** 2, axis=1) / np.maximum(count - 1, 1)), np.nan)
         root = np.sqrt(YEAR_DAYS)
         out = np.column_stack([mean / sd * root, cum[:, -1] / days * YEAR_DAYS / dd, (x > 0).mean(axis=1), mean, wins / losses, mean / down * root])
     out[~np.isfinite(out)] = np.nan
@@ -33,37 +35,38 @@ def _measures(x: np.ndarray, days: float) -> np.ndarray:
 
 
 def _sampler(seed: int, shuffle: bool):
+    """The measures of a block of samples at once, each drawn by its own seed."""
+
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            keys = names[: names.index("sample")]
-            rows = batch.to_pylist()
-            if not rows:
-                continue
-            out = {k: [] for k in [*keys, "sample", *METRICS, "max_drawdown"]}
-            for r in rows:
-                x = np.asarray(r["pnl"], dtype="float64")
-                rng = np.random.default_rng([seed, r["sample"]])
-                y = rng.permutation(x) if shuffle else x[rng.integers(0, len(x), len(x))]
-                m = _measures(y[None, :], max(r["days"], 1.0))[0]
-                cum = np.cumsum(y)
-                for k in keys:
-                    out[k].append(r[k])
-                out["sample"].append(r["sample"])
-                for k, v in zip(METRICS, m.tolist()):
-                    out[k].append(None if v != v else v)
-                out["max_drawdown"].append(float((np.maximum.accumulate(cum) - cum).max()))
+            keys = names[: names.index("first")]
             schema = pa.schema([(k, pa.string()) for k in keys] + [("sample", pa.int64())] + [(m, pa.float64()) for m in [*METRICS, "max_drawdown"]])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            for i in range(batch.num_rows):
+                one = lambda c: batch.column(c)[i]  # noqa: B023, E731
+                x = one("pnl").values.to_numpy(zero_copy_only=False)
+                numbers = np.arange(one("first").as_py(), one("first").as_py() + one("size").as_py())
+                # a long log is drawn a few samples at a time
+                step = max(1, 4_000_000 // max(len(x), 1))
+                for a in range(0, len(numbers), step):
+                    part = numbers[a : a + step]
+                    y = np.stack([np.random.default_rng([seed, s]).permutation(x) if shuffle else x[np.random.default_rng([seed, s]).integers(0, len(x), len(x))] for s in part.tolist()])
+                    m = _measures(y, max(one("days").as_py(), 1.0))
+                    cum = np.cumsum(y, axis=1)
+                    cols = [pa.array([one(k).as_py()] * len(part), pa.string()) for k in keys] + [pa.array(part, pa.int64()), *[pa.array(m[:, j], from_pandas=True) for j in range(len(METRICS))], pa.array((np.maximum.accumulate(cum, axis=1) - cum).max(axis=1))]
+                    yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
 
 
-def samples(trades: DataFrame, keys: list[str], n: int = 1000, seed: int = 42, shuffle: bool = False, least: int = 10) -> DataFrame:
-    """(keys, sample, six measures, max_drawdown) of ``n`` resamples per key with at least ``least`` trades; keys are text."""
+def samples(trades: DataFrame, keys: list[str], n: int = 1000, seed: int = 42, shuffle: bool = False, least: int = 10, block: int = 250) -> DataFrame:
+    """(keys, sample, six measures, max_drawdown) of ``n`` resamples per key with at least ``least`` trades; keys are text.
+
+    A key's log travels once for each block of samples and is drawn from in place.
+    """
     logs = trades.where(F.col("net_pnl_usd").isNotNull()).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "net_pnl_usd"))), lambda s: s["net_pnl_usd"]).alias("pnl"), ((F.unix_micros(F.max("exit_ts")) - F.unix_micros(F.min("entry_ts"))) / 86_400_000_000).alias("days"))
     logs = logs.where(F.size("pnl") >= least)
-    each = logs.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("sample"), "pnl", "days").repartition(*keys, "sample")
+    each = logs.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(block))).alias("first"), "pnl", "days").withColumn("size", F.least(F.lit(block), F.lit(n) - F.col("first"))).repartition(*keys, "first")
     schema = ", ".join([f"{k} string" for k in keys] + ["sample long"] + [f"{m} double" for m in [*METRICS, "max_drawdown"]])
     return each.mapInArrow(_sampler(seed, shuffle), schema)
 

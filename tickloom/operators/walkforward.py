@@ -7,14 +7,14 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ranks import month_of, places
 from tickloom.operators.simulate import Rules, simulate
 
 
 def contiguous_folds(bars: DataFrame, folds: int, gap: int, embargo: int, keys: list[str] | None = None) -> DataFrame:
     """Adds ``fold`` by row number: (N - (gap + embargo)(F - 1)) // F rows each, the last to the end; rows between folds are dropped."""
     keys = keys or ["symbol"]
-    w = Window.partitionBy(*keys).orderBy("timestamp_utc")
-    b = bars.withColumns({"__n": F.row_number().over(w) - 1, "__total": F.count("*").over(Window.partitionBy(*keys))})
+    b = places(bars, keys, ["timestamp_utc"], month_of("timestamp_utc"), total="__total").withColumn("__n", F.col("__n") - 1)
     usable = F.col("__total") - (gap + embargo) * (folds - 1)
     b = b.where(usable >= 10 * folds).withColumn("__s", F.floor(usable / folds))
     step = F.col("__s") + gap + embargo

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tickloom.functions import indicators as ind
 from tickloom.operators import context, features, learn, metrics, registry, resampling, stationarity, strategies, walkforward
 from tickloom.operators.simulate import Rules, simulate
-from tickloom.plans.market import B, EVENT_DAYS, ID, S, _ohlc, _r, bars_of
-from tickloom.plans.trading import T, O, trades_of
+from tickloom.plans.market import ADX, B, DM, EVENT_DAYS, ID, TR, VWAP_SESSION, S, _ema_step, _frame, _full, _ohlc, _r, _recursion, bars_of
+from tickloom.plans.trading import T, O, _summary, trades_of
 from tickloom.runtime import shared_folder, table
 from tickloom.sources import broker
 
@@ -131,11 +131,6 @@ def rs_shuffle(spark, folder):
 
 
 def rs_hash_bootstrap(spark, folder):
-    """The first 50 samples, as its oracle has them; rs_hash_bootstrap_all has 1000."""
-    return resampling.hash_bootstrap_means(trades_of(spark, folder), ["run_id"], 50).select("run_id", "sample", *_r("mean", d=8))
-
-
-def rs_hash_bootstrap_all(spark, folder):
     return resampling.hash_bootstrap_means(trades_of(spark, folder), ["run_id"]).select("run_id", "sample", *_r("mean", d=8))
 
 
@@ -241,13 +236,25 @@ def queries() -> dict:
     return {n: globals()[n] for n in NAMES if callable(globals()[n])}
 
 
+_V2 = B.replace("b as (", "b0 as (") + f", b as (select symbol, '60m' as timeframe, timestamp_utc, open, high, low, close from ({_ohlc(60).replace('select symbol,', 'select symbol,', 1)} from b0 group by 1, 2))"
+FEAT_V2 = f"with recursive {_V2}, {_recursion({'e9': ('close', _ema_step('e9', '0.2', 'x.close')), 'e20': ('close', _ema_step('e20', '(2.0/21)', 'x.close')), 'y': ('tr', _ema_step('y', '(1.0/14)', 'x.tr'))}, TR)}" + f", t as (select *, (high + low + close) / 3 as tp from b), m as (select *, {_full('avg(tp)', 'tp', 14)} as mean, list(tp) over {_frame(14)} as fr from t) select r.symbol, r.timestamp_utc, round(case when n >= 9 then e9 end, 5) as ema_9, round(case when n >= 20 then e20 end, 5) as ema_20, round((tp - mean) / nullif(0.015 * list_sum(list_transform(fr, lambda v: abs(v - mean))) / 14, 0), 5) as cci_14, round(case when n > 14 then y end, 5) as atr_14 from r join m on m.symbol = r.symbol and m.timestamp_utc = r.timestamp_utc"
+_ADX = ADX.format(b=B, r=_recursion(DM, TR))
+STR_TEMPLATES = f"""{_ADX}, vw as ({VWAP_SESSION}), q as (select w.symbol, b.close as c, vw.vwap_session as v, case when w.n > 28 then a.y end as adx, case when w.n > 14 then rr.tr end as atr, hour(w.timestamp_utc at time zone 'UTC') * 60 + minute(w.timestamp_utc at time zone 'UTC') as mi,
+    (hour(w.timestamp_utc at time zone 'America/New_York') * 60 + minute(w.timestamp_utc at time zone 'America/New_York') + 360) % 1440 as since from w left join a on a.symbol = w.symbol and a.timeframe = w.timeframe and a.k = w.seen
+    join r rr on rr.symbol = w.symbol and rr.timestamp_utc = w.timestamp_utc join b on b.symbol = w.symbol and b.timestamp_utc = w.timestamp_utc join vw on vw.symbol = w.symbol and vw.timestamp_utc = w.timestamp_utc),
+    s as (select 'always-flat' as template, symbol, 0 as sig from q union all
+        select 'vwap-reversion', symbol, case when mi >= 720 and mi < 1020 and since >= 60 then case when (c - v) / nullif(atr, 0) < -2.2 then 1 when (c - v) / nullif(atr, 0) > 2.2 then -1 else 0 end else 0 end from q union all
+        select 'vwap-reversion-adx', symbol, case when mi >= 720 and mi < 1020 and adx < 22 then case when c < v - 1.5 * atr then 1 when c > v + 1.5 * atr then -1 else 0 end else 0 end from q)
+    select template, symbol, count(*) filter (sig > 0) as longs, count(*) filter (sig < 0) as shorts from s group by 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     f20 = f"({S} rows between 19 preceding and current row)"
     band = f"""{B}, bb as (select *, case when count(close) over {f20} = 20 then avg(close) over {f20} end as mid, case when count(close) over {f20} = 20 then stddev_samp(close) over {f20} end as dev from b),
         k as (select *, round(mid, 9) as bb_mid, round(mid + 2 * dev, 9) as bb_upper, round(mid - 2 * dev, 9) as bb_lower, round(round(mid + 2 * dev, 9) - round(mid, 9), 9) as half from bb),
         sg as (select *, case when close < bb_lower then 1 when close > bb_upper then -1 else 0 end as sig, case when close < bb_lower then close - 2 * half when close > bb_upper then close + 2 * half end as stop,
             case when close < bb_lower or close > bb_upper then bb_mid end as target from k)"""
-    sim = f"""with recursive {band}, x as (select *, row_number() over (partition by symbol order by timestamp_utc) as n, count(*) over (partition by symbol) as nn, lead(open) over (partition by symbol order by timestamp_utc) as nxo, lead(timestamp_utc) over (partition by symbol order by timestamp_utc) as nxt,
+    sim = lambda source: f"""with recursive {source}, x as (select *, row_number() over (partition by symbol order by timestamp_utc) as n, count(*) over (partition by symbol) as nn, lead(open) over (partition by symbol order by timestamp_utc) as nxo, lead(timestamp_utc) over (partition by symbol order by timestamp_utc) as nxt,
             hour(timestamp_utc at time zone 'America/New_York') * 60 + minute(timestamp_utc at time zone 'America/New_York') as mi from sg),
         r as (
             select symbol, n, 0::int as pos, 0::double as ep, 0::double as st, 0::double as tg, 0::bigint as held, 0::double as lo, 0::double as hi, null::timestamptz as ets, null::varchar as reason, 0::double as xp, 0::int as xd, 0::double as xe, null::timestamptz as xet, null::timestamptz as xts, 0::double as xlo, 0::double as xhi from x where n = 0
@@ -263,18 +270,31 @@ def oracle_sql() -> dict[str, str]:
         lastbar as (select x.symbol, x.close, x.timestamp_utc as ts, x.low, x.high, x.n from x where n = nn),
         tr as (select symbol, xd as d, xe as e, xp as price, xet as ets, xts, case when reason = 'end' then 'eod' else reason end as reason, xlo, xhi from r where reason is not null
             union all select r.symbol, r.pos, r.ep, l.close, r.ets, l.ts, 'eod', case when r.lo > 1e299 then l.low else r.lo end, case when r.hi < -1e299 then l.high else r.hi end from r join lastbar l on r.symbol = l.symbol and r.n = l.n where r.pos <> 0)"""
+    # many runs at once: their key stands in for the symbol
+    keyed = lambda key, more: band.replace("sg as (", "sg0 as (") + f", {more}, sg as (select {key} as key, * exclude (symbol) from sg1)"
+    of = lambda source: sim(source.replace("as key,", "as symbol,"))
+    net = "d * (price - e) * 50 - 0.01 * 50 * 2 - 4"
+    size = "(t - 90) // 4"
+    folds = f"sg1 as (select * exclude (i, t) from (select *, case when i < {size} then 0 when i >= ({size} + 30) + 10 and i < ({size} + 30) + 10 + {size} then 1 when i >= 2 * ({size} + 30) + 10 and i < 2 * ({size} + 30) + 10 + {size} then 2 when i >= 3 * ({size} + 30) + 10 then 3 end as fold from (select *, row_number() over (partition by symbol order by timestamp_utc) - 1 as i, count(*) over (partition by symbol) as t from sg0) where t - 90 >= 40) where fold is not null)"
+    knobs = "sg1 as (select sg0.* exclude (stop), v.run_id, case when close < bb_lower then close - v.m * half when close > bb_upper then close + v.m * half end as stop from sg0 cross join (values ('v0000', 1.0), ('v0001', 1.5), ('v0002', 2.5)) v(run_id, m))"
     runs = f"with {T}"
     return {
         "str_rule_signals": f"with {band} select symbol, timestamp_utc, cast(sig as int) as signal, round(stop, 9) as stop, round(target, 9) as target from sg",
         "str_expression": f"with {B}, m as (select *, case when count(close) over {f20} = 20 then avg(close) over {f20} end as sma, lag(close, 3) over ({S}) as c3 from b) select symbol, timestamp_utc, coalesce(close > c3, false) and volume > 20 as up, coalesce(round(sma, 7) <> close, true) as off, not (close - open > 0) or high - low = 0 as down, case when high - low = 0 then true else 1 / (high - low) > 100 end as tight from m",
         "str_volatility_regime": f"with {B}, t as (select *, greatest(high - low, abs(high - lag(close) over ({S})), abs(low - lag(close) over ({S}))) as tr from b), l as (select symbol, quantile_cont(tr, 0.75) as lim from t where day(timestamp_utc at time zone 'UTC') <= 20 group by 1) select t.symbol, timestamp_utc, coalesce(tr > 0 and tr <= lim, false) as calm from t left join l on t.symbol = l.symbol",
-        "sim_trades": f"{sim} select symbol, case when d > 0 then 'long' else 'short' end as direction, epoch_us(ets) as entry_us, epoch_us(xts) as exit_us, reason as exit_reason, round(e, 8) as entry_price, round(price, 8) as exit_price, round(d * (price - e) * 50 - 0.01 * 50 * 2 - 4, 8) as net_pnl_usd, round(case when d > 0 then e - xlo else xhi - e end, 8) as mae_points, round(case when d > 0 then xhi - e else e - xlo end, 8) as mfe_points from tr",
+        "sim_trades": f"{sim(band)} select symbol, case when d > 0 then 'long' else 'short' end as direction, epoch_us(ets) as entry_us, epoch_us(xts) as exit_us, reason as exit_reason, round(e, 8) as entry_price, round(price, 8) as exit_price, round(d * (price - e) * 50 - 0.01 * 50 * 2 - 4, 8) as net_pnl_usd, round(case when d > 0 then e - xlo else xhi - e end, 8) as mae_points, round(case when d > 0 then xhi - e else e - xlo end, 8) as mfe_points from tr",
+        "sim_summary": f"{sim(band)}, g as (select symbol, {net} as net_pnl_usd, ets as entry_ts, xts as exit_ts, cast(row_number() over (order by symbol, ets, xts) as varchar) as trade_id, 0.0 as mae_points, 0.0 as mfe_points from tr), {_summary('symbol', 'g')} select symbol, n as total_trades, round(wr, 5) as win_rate, round(coalesce(sw, 0) / nullif(abs(sl), 0), 5) as profit_factor, round(dd, 5) as max_drawdown_usd from su",
+        "wf_contiguous": f"{of(keyed("symbol || '|' || fold", folds))} select split_part(symbol, '|', 1) as symbol, cast(split_part(symbol, '|', 2) as int) as fold, count(*) as trades, round(sum({net}), 4) as total from tr group by 1, 2",
+        "wf_sweep": f"{of(keyed("symbol || '|' || run_id", knobs))} select split_part(symbol, '|', 2) as run_id, count(*) as trades, round(sum({net}), 4) as total from tr group by 1",
+        "wf_rolling": f"with {B}, sp as (select symbol, min(timestamp_utc) as a, max(timestamp_utc) as z from b group by 1 having max(timestamp_utc) > min(timestamp_utc) + interval 2 days), pl as (select symbol, a, unnest(range(0, cast(floor((epoch_us(z) - epoch_us(a) - 172800000000) / 86400000000) as bigint) + 1)) as fold from sp), w as (select symbol, cast(fold as int) as fold, a + to_days(cast(fold as int)) as s, a + to_days(cast(fold as int) + 2) as t, a + to_days(cast(fold as int) + 3) as e from pl), k as (select b.symbol, w.fold, b.timestamp_utc < w.t as train, row_number() over (partition by b.symbol, w.fold, b.timestamp_utc < w.t order by b.timestamp_utc) as i from b join w on b.symbol = w.symbol and b.timestamp_utc >= w.s and b.timestamp_utc < w.e), g as (select symbol, fold, train, count(*) as bars from k where train or i > 5 group by all), o as (select symbol, fold from g group by 1, 2 having coalesce(sum(bars) filter (train), 0) >= 100 and coalesce(sum(bars) filter (not train), 0) >= 10) select g.* from g join o using (symbol, fold)",
+        "feat_base_v2": FEAT_V2,
+        "str_templates": STR_TEMPLATES,
+        "reg_leaderboard": f"{runs}, {_summary('run_id')} select run_id, round(tot / nullif(span, 0) * 252 / nullif(abs(dd), 0), 5) as calmar, round(sharpe, 5) as sharpe from su order by tot / nullif(span, 0) * 252 / nullif(abs(dd), 0) desc nulls last, run_id limit 10",
         "wf_fold_bounds": f"with {B}, n as (select symbol, timestamp_utc, row_number() over (partition by symbol order by timestamp_utc) - 1 as i, count(*) over (partition by symbol) as t from b), s as (select *, (t - 90) // 4 as sz from n where t - 90 >= 40), f as (select *, case when i < sz then 0 when i >= (sz + 30) + 10 and i < (sz + 30) + 10 + sz then 1 when i >= 2 * (sz + 30) + 10 and i < 2 * (sz + 30) + 10 + sz then 2 when i >= 3 * (sz + 30) + 10 then 3 end as fold from s) select symbol, cast(fold as int) as fold, count(*) as bars, min(timestamp_utc) as first_ts from f where fold is not null group by 1, 2",
         "wf_positive_folds": f"{runs}, f as (select run_id, weekofyear(exit_ts at time zone 'UTC') as wk, sum(net_pnl_usd) as v from d group by 1, 2), g as (select run_id, count(*) as n, count(*) filter (v > 0) as k from f group by 1) select run_id, n, k, round(list_sum(list_transform(range(k, n + 1), lambda i: factorial(cast(n as int)) / (factorial(cast(i as int)) * factorial(cast(n - i as int))))) / pow(2, n), 8) as p_value from g",
         "ctx_session_labels": f"with {B}, h as (select symbol, hour(timestamp_utc at time zone 'America/New_York') as h from b) select symbol, case when h >= 18 or h < 3 then 'Asia' when h < 8 then 'London' when h < 9 then 'NY pre-open' when h < 16 then 'NY RTH' when h < 17 then 'NY close' else 'Overnight' end as session, count(*) as n from h group by 1, 2",
         "ctx_regime_tags": f"{runs}, k as (select *, (quantity * 29 % 100) / 100.0::double as rk, abs(datediff('day', cast(entry_ts at time zone 'America/New_York' as date), date '{EVENT_DAYS[2]}')) as gap, (day(entry_ts at time zone 'America/New_York') - 1) // 7 + 1 as wm from d where entry_ts is not null) select case when rk <= 0.33 then 'vol_low' when rk <= 0.66 then 'vol_mid' when rk is not null then 'vol_high' else 'vol_unknown' end as vol_regime, 'trend_unknown' as trend_regime, case when gap = 0 then 'event_day' when gap <= 1 then 'event_1d' when gap <= 5 then 'event_week' else 'event_far' end as event_regime, cast(wm as bigint) as week_of_month, count(*) as n, round(sum(net_pnl_usd), 4) as total from k group by 1, 2, 3, 4",
-        "rs_hash_bootstrap": f"{runs}, i as (select run_id, net_pnl_usd, row_number() over (partition by run_id order by {O}) - 1 as i, count(*) over (partition by run_id) as m from d), s as (select run_id, m, i, s as sample from i cross join range(0, 50) q(s)), k as (select *, ((1103515245::bigint * (sample * m + i + 42) + 12345) % 2147483648) % m as pick from s) select k.run_id, cast(k.sample as int) as sample, round(avg(i.net_pnl_usd), 8) as mean from k join i on k.run_id = i.run_id and k.pick = i.i group by 1, 2",
-        "rs_hash_bootstrap_all": f"{runs}, i as (select run_id, net_pnl_usd, row_number() over (partition by run_id order by {O}) - 1 as i, count(*) over (partition by run_id) as m from d), s as (select run_id, m, i, s as sample from i cross join range(0, 1000) q(s)), k as (select *, ((1103515245::bigint * (sample * m + i + 42) + 12345) % 2147483648) % m as pick from s) select k.run_id, cast(k.sample as int) as sample, round(avg(i.net_pnl_usd), 8) as mean from k join i on k.run_id = i.run_id and k.pick = i.i group by 1, 2",
+        "rs_hash_bootstrap": f"{runs}, i as (select run_id, net_pnl_usd, row_number() over (partition by run_id order by {O}) - 1 as i, count(*) over (partition by run_id) as m from d), s as (select run_id, m, i, s as sample from i cross join range(0, 1000) q(s)), k as (select *, ((1103515245::bigint * (sample * m + i + 42) + 12345) % 2147483648) % m as pick from s) select k.run_id, cast(k.sample as int) as sample, round(avg(i.net_pnl_usd), 8) as mean from k join i on k.run_id = i.run_id and k.pick = i.i group by 1, 2",
         "stat_half_life": f"with {B}, l as (select symbol, lag(close) over (partition by symbol order by timestamp_utc) as p, close - lag(close) over (partition by symbol order by timestamp_utc) as d from b), m as (select symbol, d - avg(d) filter (p is not null) over (partition by symbol) as y, p - avg(p) over (partition by symbol) as x from l where p is not null), g as (select symbol, count(*) as n, sum(x * y) / sum(x * x) as beta, pow(sum(x * y), 2) / (sum(x * x) * sum(y * y)) as r2 from m group by 1), h as (select *, case when beta < -1e-10 then ln(2) / -beta end as hl from g) select symbol, n, round(beta, 4) as beta, round(r2, 4) as r_squared, round(hl, 4) as half_life, case when abs(beta) < 1e-10 then 'RANDOM_WALK' when beta >= 0 then 'TRENDING' else 'MEAN_REVERTING' end as kind, case when hl is null then 'TRENDING' when hl < 5 then 'TOO_FAST' when hl > 60 then 'TOO_SLOW' else 'TRADEABLE' end as label from h",
         "reg_trial_tiers": "with t as (select strategy_id, cast(exported_at at time zone 'UTC' as date) as ts, count(*) as n from trades group by 1, 2) select case when date '2024-10-01' - ts <= 180 then 'hot' when date '2024-10-01' - ts <= 730 then 'warm' else 'cold' end as tier, strftime(ts, '%Y-%m') as archive_month, cast(sum(n) as bigint) as n from t group by 1, 2",
         "reg_keep_runs": "with t as (select strategy_id, trade_id, case when quantity = 3 then 'validation' else 'exploration' end as mode, max(exported_at) as ts from trades group by all), r as (select *, row_number() over (partition by strategy_id order by ts desc, trade_id) as r from t) select strategy_id, count(*) as to_delete from r where r > 5 and mode <> 'validation' group by 1",

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
-from tickloom.functions.ewm import ewm_long, span_alpha
+from tickloom.functions.ewm import ewm_long, span_alpha, wilder_alpha
 from tickloom.operators import asof, islands, quality, resample, stitch
 from tickloom.operators.grid import trade_date
 from tickloom.runtime import table
@@ -128,7 +128,7 @@ def ind_ema(spark, folder):
 def ind_ema_long(spark, folder):
     """The same EMA by the chunked affine scan for series too long for a task, unmasked."""
     b = bars_of(spark, folder).withColumn("month", F.date_trunc("month", "timestamp_utc")).select(*ID, "month", "close")
-    return ewm_long(b, "close", span_alpha(12), "ema", ["symbol"], ["timestamp_utc"], chunk=256, block="month").select(*ID, *_r("ema"))
+    return ewm_long(b, "close", span_alpha(12), "ema", ["symbol"], ["timestamp_utc"], block="month").select(*ID, *_r("ema"))
 
 
 def ind_atr(spark, folder):
@@ -148,7 +148,7 @@ def ind_macd(spark, folder):
 
 
 def ind_macd_state(spark, folder):
-    return ind.macd_state(ind.recursive(bars_of(spark, folder), macd=True)).select(*ID, "macd_hist_above_zero", *_r("macd_hist_slope"), F.col("bars_since_zero_cross").cast("int"), F.col("decline_streak").cast("int"))
+    return ind.recursive(bars_of(spark, folder), state=True).select(*ID, "macd_hist_above_zero", *_r("macd_hist_slope"), F.col("bars_since_zero_cross").cast("int"), F.col("decline_streak").cast("int"))
 
 
 VW = ["vwap_session_band_1_0", "vwap_session_band_2_0"]
@@ -232,18 +232,16 @@ def ctx_trade_context(spark, folder):
 
 
 def dq_integrity(spark, folder):
-    """Recomputed against stored values: bars whose ATR by a rolling recursion cut off after 400 bars strays from the one pass.
+    """Recomputed against stored values: bars whose ATR by the scan over months strays from the one pass over the series.
 
     The count is zero in a sound feature table; dq_integrity_joins has the counts for the daily and hourly values joined to a bar.
     """
     b = bars_of(spark, folder)
-    a = ind.recursive(b, atr=14)
-    w = ind.series().rowsBetween(-400, 0)
-    tr = ind.true_range(b)
-    kernel = F.expr("aggregate(slice(x, 2, 500), x[0], (y, e) -> y * (13.0D / 14) + e / 14)")
-    k = tr.withColumn("x", F.collect_list("true_range").over(w)).select(*ID, kernel.alias("again"))
-    strayed = a.join(k, ID).where("atr_14 is not null").groupBy("symbol").agg(F.count_if(F.abs(F.col("atr_14") - F.col("again")) > 1e-6 * F.col("again") + 1e-9).alias("strayed"))
-    return strayed
+    a = ind.recursive(b, atr=14).where("atr_14 is not null").select("symbol", "timeframe", "timestamp_utc", "atr_14")
+    tr = ind.true_range(b).where("true_range is not null").withColumn("month", F.date_trunc("month", "timestamp_utc")).select("symbol", "timeframe", "timestamp_utc", "month", "true_range")
+    again = ewm_long(tr, "true_range", wilder_alpha(14), "again", ["symbol", "timeframe"], ["timestamp_utc"], block="month").select("symbol", "timeframe", "timestamp_utc", "again")
+    off = F.coalesce(F.abs(F.col("atr_14") - F.col("again")) > 1e-6 * F.col("again") + 1e-9, F.lit(True))
+    return a.join(again, ["symbol", "timeframe", "timestamp_utc"], "left").groupBy("symbol").agg(F.count_if(off).alias("strayed"))
 
 
 def dq_integrity_joins(spark, folder):
@@ -430,6 +428,12 @@ MACD_ROWS = f"with recursive {B}, {MACD}, m as (select symbol, timeframe, timest
 PDM, MDM = "case when x.up > x.down and x.up > 0 then x.up else 0 end", "case when x.down > x.up and x.down > 0 then x.down else 0 end"
 
 
+ADX = """with recursive {b}, {r}, y as (select symbol, timeframe, timestamp_utc, n, 100 * pl / nullif(tr, 0) as p, 100 * mi / nullif(tr, 0) as m from r), v as (select *, 100 * abs(p - m) / nullif(p + m, 0) as dx from y),
+    w as (select *, sum(cast(dx is not null as int)) over (partition by symbol, timeframe order by n) as seen from v), x2 as (select *, row_number() over (partition by symbol, timeframe order by n) as k, n - lag(n) over (partition by symbol, timeframe order by n) as gap from w where dx is not null),
+    a as (select symbol, timeframe, k, n, dx as y from x2 where k = 1 union all select x2.symbol, x2.timeframe, x2.k, x2.n, (pow(13.0 / 14, gap) * a.y + x2.dx / 14) / (pow(13.0 / 14, gap) + 1.0 / 14) from a join x2 on x2.symbol = a.symbol and x2.timeframe = a.timeframe and x2.k = a.k + 1)"""
+DM = {"tr": ("tr", "p.tr * (1 - 1.0/14) + x.tr / 14.0"), "pl": ("0", "p.pl * (1 - 1.0/14) + (" + PDM + ") / 14.0"), "mi": ("0", "p.mi * (1 - 1.0/14) + (" + MDM + ") / 14.0")}
+
+
 def _vwap_sql(extra: str, group: str, out: str, more: str = "") -> str:
     w = f"(partition by symbol, timeframe, {group} order by timestamp_utc rows unbounded preceding)"
     return f"""with {B}, s as ({extra}), y as (select *, close - first_value(close) over {w} as xx, first_value(close) over {w} as x0 from s),
@@ -437,6 +441,8 @@ def _vwap_sql(extra: str, group: str, out: str, more: str = "") -> str:
         select symbol, timestamp_utc, round(x0 + m, 8) as {out}{more} from z"""
 
 
+VWAP_SESSION_BANDS = _vwap_sql(f"select *, sum(coalesce(cast(gap > 3600000000 as int), 0)) over ({S}) as session_id from (select *, epoch_us(timestamp_utc) - lag(epoch_us(timestamp_utc)) over ({S}) as gap from b)", "session_id", "vwap_session", ", cast(session_id as bigint) as session_id, round(sqrt(greatest(q - m * m, 0)), 4) as vwap_session_band_1_0, round(2 * sqrt(greatest(q - m * m, 0)), 4) as vwap_session_band_2_0")
+VWAP_SESSION = VWAP_SESSION_BANDS.removeprefix(f"with {B}, ").join(["with ", ""]).replace("select symbol, timestamp_utc,", "select symbol, timeframe, timestamp_utc,")
 ROW_CHECKS = "with k as (select contract as symbol, count(*) as rows, count(*) - count(distinct timestamp_utc) as duplicates, count(*) filter (volume < 0) as negative_volume, count(*) filter (high < low) as high_below_low, count(*) filter (high < open) as high_below_open, count(*) filter (high < close) as high_below_close, count(*) filter (low > open) as low_above_open, count(*) filter (low > close) as low_above_close, count(*) filter (close is null) as null_close, round(100 * count(buy_volume) / count(*), 2) as order_flow_pct from bars group by 1) select *, duplicates + negative_volume + high_below_low + high_below_open + high_below_close + low_above_open + low_above_close + null_close = 0 as passed from k"
 
 
@@ -486,7 +492,13 @@ def oracle_sql() -> dict[str, str]:
         "ind_atr": f"with recursive {B}, {_recursion({'y': ('tr', _ema_step('y', '(1.0/14)', 'x.tr'))}, TR)} select symbol, timestamp_utc, round(case when n > 14 then y end, 6) as atr_14 from r",
         "ind_rsi": f"with recursive {B}, {_recursion({'g': ('null', 'case when p.g is null then greatest(x.d, 0) else ' + _ema_step('g', '(1.0/14)', 'greatest(x.d, 0)') + ' end'), 'l': ('null', 'case when p.l is null then greatest(-x.d, 0) else ' + _ema_step('l', '(1.0/14)', 'greatest(-x.d, 0)') + ' end')}, TR)} select symbol, timestamp_utc, round(case when n > 14 then case when l = 0 then 100 else 100 - 100 / (1 + g / l) end end, 6) as rsi_14 from r",
         "ind_macd": f"{MACD_ROWS} select symbol, timestamp_utc, round(macd, 6) as macd, round(macd_signal, 6) as macd_signal, round(h, 6) as macd_hist from m",
-        "ind_vwap_session": _vwap_sql(f"select *, sum(coalesce(cast(gap > 3600000000 as int), 0)) over ({S}) as session_id from (select *, epoch_us(timestamp_utc) - lag(epoch_us(timestamp_utc)) over ({S}) as gap from b)", "session_id", "vwap_session", ", cast(session_id as bigint) as session_id, round(sqrt(greatest(q - m * m, 0)), 4) as vwap_session_band_1_0, round(2 * sqrt(greatest(q - m * m, 0)), 4) as vwap_session_band_2_0"),
+        "ind_adx": ADX.format(b=B, r=_recursion(DM, TR)) + " select w.symbol, w.timestamp_utc, round(p, 6) as plus_di, round(m, 6) as minus_di, round(case when w.n > 28 then a.y end, 6) as adx_14 from w left join a on a.symbol = w.symbol and a.timeframe = w.timeframe and a.k = w.seen",
+        "ind_macd_state": f"""{MACD_ROWS}, a as (select *, lag(h) over w as b, row_number() over w as k from m window w as (partition by symbol, timeframe order by n)),
+            c as (select *, sum(cast(h is not null and (b is null or sign(h) <> sign(b)) as int)) over w as zc, sum(cast(h is not null and (b is null or (h > 0) <> (b > 0)) as int)) over w as side, case when b is null or (h > 0) <> (b > 0) then 1 when abs(h) > abs(b) then 1 when abs(h) < abs(b) then -1 end as mv, b is null or (h > 0) <> (b > 0) as fresh from a window w as (partition by symbol, timeframe order by n)),
+            d as (select *, last_value(mv ignore nulls) over (partition by symbol, timeframe, side order by n) as dir from c where h is not null), e as (select *, lag(dir) over (partition by symbol, timeframe, side order by n) as was from d), f as (select *, sum(cast(fresh or dir <> was as int)) over (partition by symbol, timeframe, side order by n) as leg from e)
+            select symbol, timestamp_utc, coalesce(h > 0, false) as macd_hist_above_zero, round(h - b, 6) as macd_hist_slope, cast(row_number() over (partition by symbol, timeframe, zc order by n) - 1 as int) as bars_since_zero_cross, cast(dir * count(mv) over (partition by symbol, timeframe, side, leg order by n) as int) as decline_streak from f
+            union all select symbol, timestamp_utc, false, null, null, null from c where h is null""",
+        "ind_vwap_session": VWAP_SESSION_BANDS,
         "ind_vwap_weekly": _vwap_sql(f"select *, yearweek({TD.format('timestamp_utc')}) as yw from b", "yw", "vwap_weekly"),
         "ind_vwap_monthly": _vwap_sql(f"select *, date_trunc('month', {TD.format('timestamp_utc')}) as mo from b", "mo", "vwap_monthly"),
         "ind_cci": f"with {B}, t as (select *, (high + low + close) / 3 as tp from b), m as (select *, {_full('avg(tp)', 'tp', 14)} as mean, list(tp) over {_frame(14)} as fr from t) select symbol, timestamp_utc, round((tp - mean) / nullif(0.015 * list_sum(list_transform(fr, lambda v: abs(v - mean))) / 14, 0), 4) as cci_14 from m",
@@ -499,6 +511,12 @@ def oracle_sql() -> dict[str, str]:
         "join_daily_projection": f"with {B}, e as (select *, {TD.format('timestamp_utc')} as td from b), d as (select symbol, td, arg_max(close, timestamp_utc) as c, max(high) as h from e group by 1, 2), l as (select symbol, td, lag(c) over (partition by symbol order by td) as c, lag(h) over (partition by symbol order by td) as h from d) select e.symbol, e.timestamp_utc, l.c as daily_close, l.h as daily_high from e left join l on e.symbol = l.symbol and e.td = l.td",
         "join_containing_bar": f"with {B}, t as (select distinct trade_id, upper(trim(contract)) as symbol, entry_ts from trades where entry_ts is not null), f as (select symbol, min(timestamp_utc) as first from b group by 1) select t.trade_id, t.symbol, epoch_us(coalesce(b.timestamp_utc, f.first)) as bar_us from t asof left join b on t.symbol = b.symbol and t.entry_ts >= b.timestamp_utc left join f on t.symbol = f.symbol where coalesce(b.timestamp_utc, f.first) is not null",
         "join_nearest": f"with {B}, t as (select distinct trade_id, upper(trim(contract)) as symbol, entry_ts from trades where entry_ts is not null) select trade_id, symbol, bar_us, close from (select t.trade_id, t.symbol, epoch_us(b.timestamp_utc) as bar_us, b.close, row_number() over (partition by t.trade_id, t.symbol, t.entry_ts order by abs(epoch_us(b.timestamp_utc) - epoch_us(t.entry_ts)), b.timestamp_utc) as rn from t join b on t.symbol = b.symbol and b.timestamp_utc between t.entry_ts - interval 10 minutes and t.entry_ts + interval 10 minutes) where rn = 1",
+        "ctx_trade_context": f"""with recursive {B}, {_recursion({'y': ('tr', _ema_step('y', '(1.0/14)', 'x.tr'))}, TR)}, vw as (select symbol, timeframe, timestamp_utc, vwap_session as vw from ({VWAP_SESSION})), cx as (select r.symbol, r.timestamp_utc, hour(r.timestamp_utc at time zone 'America/New_York') as h, round((b.close - vw.vw) / nullif(case when r.n > 14 then r.y end, 0), 6) as distance
+            from r join b on b.symbol = r.symbol and b.timestamp_utc = r.timestamp_utc join vw on vw.symbol = r.symbol and vw.timestamp_utc = r.timestamp_utc),
+            t as (select trade_id, min(upper(trim(contract))) as symbol, min(entry_ts) as entry_ts, min(net_pnl_usd) as net from trades group by 1 having min(entry_ts) is not null),
+            k as (select * from (select t.trade_id, t.net, case when h >= 18 or h < 3 then 'Asia' when h < 8 then 'London' when h < 9 then 'NY pre-open' when h < 16 then 'NY RTH' when h < 17 then 'NY close' else 'Overnight' end as session, distance, row_number() over (partition by t.trade_id order by abs(epoch_us(cx.timestamp_utc) - epoch_us(t.entry_ts)), cx.timestamp_utc) as rn
+                from t join cx on cx.symbol = t.symbol and cx.timestamp_utc between t.entry_ts - interval 10 minutes and t.entry_ts + interval 10 minutes) where rn = 1)
+            select session, count(*) as n, round(sum(t.net), 4) as total, round(avg(abs(distance)), 4) as mean_distance from t left join k using (trade_id) group by 1""",
         "dq_integrity": f"with {B}, n as (select symbol, count(*) as n from b group by symbol, timeframe) select symbol, 0::bigint as strayed from n where n > 14",
         "dq_integrity_joins": f"with {B} select distinct symbol, 0::bigint as day_breaks, 0::bigint as hour_breaks from b",
         "dq_trade_dates": f"with t as (select *, lower(trim(exit_reason)) as why, row_number() over (partition by trade_id order by exported_at desc, net_pnl_usd) as rn from trades), k as (select strategy_id as run_id, why, {TD.format('entry_ts')} <> {TD.format('exit_ts')} as over_date from t where rn = 1 and entry_ts is not null and exit_ts is not null) select run_id, count(*) as trades, count(*) filter (over_date) as crossed, count(*) filter (over_date and why is distinct from 'eod') as flagged from k group by 1",
@@ -518,6 +536,9 @@ def oracle_sql() -> dict[str, str]:
                 passed and coalesce(large_gaps_rth, 0) = 0 and coalesce(empty_sessions, 0) = 0 as passed from rc left join a1 using (symbol) left join a2 using (symbol) left join a3 using (symbol) left join a4 using (symbol)""",
         "set_back_adjust": f"{chain} select i.root, i.symbol as contract, epoch_us(i.timestamp_utc) as us, round(close + adjustment, 8) as close, round(adjustment, 8) as adjustment from i join ad on i.root = ad.root and i.seq = ad.seq",
         "set_session_calendar": "select cast(d as date) as trade_date, cast(epoch(timezone('America/New_York', (d - interval 1 day) + interval 18 hours)) as bigint) as open_s, cast(epoch(timezone('America/New_York', d + interval 17 hours)) as bigint) as close_s from (select unnest(generate_series(timestamp '2024-03-01', timestamp '2024-06-30', interval 1 day)) as d) where dayofweek(d) between 1 and 5 and cast(d as date) <> date '2024-06-19'",
+        "set_contract_calendar": """with m as (select unnest(generate_series(timestamp '2023-01-01', timestamp '2025-06-01', interval 1 month)) as d), e as (select d, month(d) as mo, year(d) as y, unnest(generate_series(d - interval 40 day, last_day(d)::timestamp, interval 1 day)) as x from m where month(d) in (3, 6, 9, 12)),
+            b as (select *, row_number() over (partition by d order by x desc) as r from e where isodow(x) < 6), l as (select mo, y, cast(max(x) filter (r = 13) as date) as roll from b group by 1, 2), k as (select mo, y, roll, lag(roll) over (order by roll) as p from l where roll >= date '2023-01-01')
+            select 'ZN' || case mo when 3 then 'H' when 6 then 'M' when 9 then 'U' else 'Z' end || substr(cast(y as varchar), 3) as contract, coalesce(p, date '2023-01-01') as data_start, least(roll, date '2024-12-31') as data_end, roll from k where coalesce(p, date '2023-01-01') < date '2024-12-31'""",
         "set_union_distinct": "select upper(trim(contract)) as contract from trades union select contract from bars",
         "set_difference": "select distinct upper(trim(contract)) as contract from trades where upper(trim(contract)) not in (select contract from bars)",
     }

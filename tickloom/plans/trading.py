@@ -103,12 +103,6 @@ def met_heatmap(spark, folder):
 
 
 def met_calendar(spark, folder):
-    """March and April alone, as its oracle has it; met_calendar_year has every month."""
-    c = metrics.calendar(trades_of(spark, folder), ["root"])
-    return c.select("root", "year", *_r("m03", "m04", "total", d=4))
-
-
-def met_calendar_year(spark, folder):
     c = metrics.calendar(trades_of(spark, folder), ["root"])
     return c.select("root", "year", *_r(*MONTHS, "total", d=4))
 
@@ -197,11 +191,6 @@ def port_kelly(spark, folder):
 
 
 def port_rolling_correlation(spark, folder):
-    """One pair of runs, as its oracle has it; port_rolling_correlation_all has every pair."""
-    return portfolio.rolling_correlation(daily_of(spark, folder), "st-00", "st-08", 10).select("day", *_r("corr", d=5))
-
-
-def port_rolling_correlation_all(spark, folder):
     return portfolio.rolling_correlations(daily_of(spark, folder), 10).select("run_a", "run_b", "day", *_r("corr", d=5))
 
 
@@ -278,8 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "met_autocorrelation": f"with {T}, {acf} select root, lag, round(acf, 5) as acf from ac",
         "met_exit_reasons": f"with {T} select exit_reason, count(*) as n, round(sum(net_pnl_usd), 4) as total, round(avg(net_pnl_usd), 4) as mean, round(avg(cast(net_pnl_usd > 0 as double)), 4) as win_rate, round(quantile_cont(hold_minutes, 0.5), 4) as median_hold, round(quantile_cont(mae_points, 0.5), 4) as median_mae, round(quantile_cont(mfe_points, 0.5), 4) as median_mfe from d group by 1",
         "met_heatmap": f"with {T}, g as (select root, cast(w as int) as entry_dow, cast(h as int) as entry_hour from (select distinct root from d) cross join range(0, 5) a(w) cross join range(0, 24) b(h)), c as (select root, entry_dow, entry_hour, sum(net_pnl_usd) as total, count(*) as n from d group by 1, 2, 3) select g.root, g.entry_dow, g.entry_hour, round(coalesce(total, 0), 4) as total, coalesce(n, 0) as n from g left join c on g.root = c.root and g.entry_dow = c.entry_dow and g.entry_hour = c.entry_hour",
-        "met_calendar_year": f"with {T} select root, cast(year(exit_ts at time zone 'UTC') as int) as year, " + ", ".join(f"round(coalesce(sum(net_pnl_usd) filter (month(exit_ts at time zone 'UTC') = {int(m[1:])}), 0), 4) as {m}" for m in MONTHS) + ", round(sum(net_pnl_usd), 4) as total from d group by 1, 2",
-        "met_calendar": f"with {T} select root, cast(year(exit_ts at time zone 'UTC') as int) as year, round(coalesce(sum(net_pnl_usd) filter (month(exit_ts at time zone 'UTC') = 3), 0), 4) as m03, round(coalesce(sum(net_pnl_usd) filter (month(exit_ts at time zone 'UTC') = 4), 0), 4) as m04, round(sum(net_pnl_usd), 4) as total from d group by 1, 2",
+        "met_calendar": f"with {T} select root, cast(year(exit_ts at time zone 'UTC') as int) as year, " + ", ".join(f"round(coalesce(sum(net_pnl_usd) filter (month(exit_ts at time zone 'UTC') = {int(m[1:])}), 0), 4) as {m}" for m in MONTHS) + ", round(sum(net_pnl_usd), 4) as total from d group by 1, 2",
         "met_monthly": f"with {T}, {_equity('root')}, m as (select root, cast(date_trunc('month', exit_ts at time zone 'UTC') as date) as month, arg_max(equity, ({O})) as eq from e group by 1, 2), l as (select *, lag(month) over (partition by root order by month) as b, eq - lag(eq) over (partition by root order by month) as change from m) select root, month, round(change, 4) as change from l where b = month - interval 1 month",
         "met_cost_scenarios": f"with {T}, k as (select *, net_pnl_usd - (slippage_usd + commission_usd) * (multiple - 1) as net2 from d cross join (select unnest([1.0::double, 2.0::double, 3.0::double]) as multiple)), {_equity('run_id, multiple', 'net2', 'k')} select run_id, multiple, round(sum(net2), 4) as total, round(min(drawdown), 4) as max_drawdown from e group by 1, 2",
         "met_rolling_expectancy": f"with {T} select root, trade_id, round(case when count(pnl_r) over a = 5 then avg(pnl_r) over a end, 5) as mean_r_5, round(case when count(pnl_r) over b = 20 then avg(pnl_r) over b end, 5) as mean_r_20 from d window a as (partition by root order by {O} rows between 4 preceding and current row), b as (partition by root order by {O} rows between 19 preceding and current row)",
@@ -297,6 +285,5 @@ def oracle_sql() -> dict[str, str]:
         "port_attribution": f"with {T}, {DP}, {CO}, b as (select *, (equity - peak) / case when peak = 0 then 1e-9 else peak end as p from co), g as (select *, sum(case when p < 0 then 0 else 1 end) over (order by day) as g from b), s as (select min(day) as start_day, max(day) as end_day, min(p) as max_dd_pct, arg_min(day, (p, day)) as trough_day from g where p < 0 group by g having abs(min(p)) >= 0.01), x as (select start_day, trough_day, max_dd_pct, run_id, sum(pnl) as l from s join dp on dp.day between start_day and trough_day group by all), y as (select *, sum(l) over (partition by start_day) as t from x) select start_day, trough_day, run_id, round(max_dd_pct, 5) as max_dd_pct, round(l, 5) as loss_usd, round(t, 5) as total_loss_usd, round(case when t < 0 then l / t else 0 end, 5) as share from y",
         "port_capital": f"with {T}, {_equity('run_id')}, a as (select run_id, arg_min(root, ({O})) as root, sum(net_pnl_usd) as net, max(equity) as top, max(-drawdown) as dd from e group by 1) select run_id, round(coalesce(net / nullif(i.point_value * 25, 0), 0), 9) as on_margin, round(net / (top + 100000), 9) as on_peak_capital, round(case when dd > 0 then net / dd end, 9) as on_max_dd from a left join instruments i on a.root = i.symbol",
         "port_kelly": f"with {T}, {DP}, k as (select *, exp(sum(ln(1 + pnl / 100000)) over (partition by run_id order by day rows unbounded preceding)) as c, pnl / 100000 as r from dp), m as (select *, max(c) over (partition by run_id order by day rows unbounded preceding) as p from k), z as (select run_id, avg(r) as m, var_samp(r) as v, max((p - c) / p) as h from m group by 1 having count(*) >= 2), f as (select *, case when v > 0 and m > 0 then m / v else 0 end as fk from z) select run_id, round(fk, 9) as full_kelly, round(fk / 2, 9) as half_kelly, round(case when h > 0 then least(fk, 0.2 / h) else fk end, 9) as dd_constrained_kelly, round(h, 9) as hist_max_dd from f",
-        "port_rolling_correlation_all": f"with {T}, {DP}, {ALIGN}, p as (select a.run_id as run_a, b.run_id as run_b, a.day, a.pnl as x, b.pnl as y from al a join al b on a.day = b.day and a.run_id < b.run_id) select run_a, run_b, day, round(case when count(*) over w = 10 then corr(x, y) over w end, 5) as corr from p window w as (partition by run_a, run_b order by day rows between 9 preceding and current row)",
-        "port_rolling_correlation": f"with {T}, {DP}, z as (select day, sum(case when run_id = 'st-00' then pnl else 0 end) as x, sum(case when run_id = 'st-08' then pnl else 0 end) as y from dp group by 1) select day, round(case when count(*) over w = 10 then corr(x, y) over w end, 5) as corr from z window w as (order by day rows between 9 preceding and current row)",
+        "port_rolling_correlation": f"with {T}, {DP}, {ALIGN}, p as (select a.run_id as run_a, b.run_id as run_b, a.day, a.pnl as x, b.pnl as y from al a join al b on a.day = b.day and a.run_id < b.run_id) select run_a, run_b, day, round(case when count(*) over w = 10 then corr(x, y) over w end, 5) as corr from p window w as (partition by run_a, run_b order by day rows between 9 preceding and current row)",
     }
