@@ -90,6 +90,20 @@ def drawdowns(trades: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("depth_pct", ratio(F.col("depth_usd"), F.abs("peak_usd"))).withColumn("days", days_between(F.col("start_ts"), F.coalesce("recovery_ts", "last_ts"))).drop("__g")
 
 
+def usable(trades: DataFrame, value: str = "net_pnl_usd") -> DataFrame:
+    """Trades whose result is a finite number other than zero."""
+    v = F.col(value).cast("double")
+    return trades.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (v != 0))
+
+
+def degradation(periods: DataFrame, keys: list[str], period: str, metric: str = "calmar", least: int = 3) -> DataFrame:
+    """(keys, periods, degraded): at least ``least`` periods have the measure and it is below zero in the last two of them."""
+    has = F.col(metric).isNotNull()
+    last = F.sort_array(F.collect_list(F.when(has, F.struct(F.col(period).alias("p"), F.col(metric).alias("m")))), asc=False)
+    out = periods.groupBy(*keys).agg(F.count_if(has).alias("periods"), F.slice(last, 1, 2).alias("__l"))
+    return out.withColumn("degraded", (F.col("periods") >= least) & F.forall("__l", lambda x: x["m"] < 0)).drop("__l")
+
+
 def summary(trades: DataFrame, keys: list[str]) -> DataFrame:
     """The sixteen measures of a run. Undefined ratios are null; a loss is a result of zero or less."""
     from tickloom.operators.islands import streaks

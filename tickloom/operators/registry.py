@@ -76,6 +76,29 @@ def migrate(trials: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return trials.withColumns({k: F.coalesce(F.col(k), v) if k in trials.columns else v for k, v in defaults.items()})
 
 
+def merge(old: DataFrame, new: DataFrame, key: str = "run_id", when: str = "ts") -> DataFrame:
+    """The registry after appending ``new``: one record per key, the latest; records of either side may lack fields of the other."""
+    both = old.withColumn("__s", F.lit(0)).unionByName(new.withColumn("__s", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.col(when).desc_nulls_last(), F.col("__s").desc())
+    return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__s")
+
+
+def diff(old: DataFrame, new: DataFrame, fields: list[str], key: str = "run_id") -> DataFrame:
+    """(key, change, field): records added and removed, and the fields that changed in those of both."""
+    a, b = (d.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(n)) for d, n in ((old, "o"), (new, "n")))
+    j = a.join(b, key, "full")
+    moved = F.filter(F.array(*[F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
+    what = F.when(F.col("o").isNull(), F.array(F.struct(F.lit("added").alias("change"), F.lit(None).cast("string").alias("field"))))
+    what = what.when(F.col("n").isNull(), F.array(F.struct(F.lit("removed").alias("change"), F.lit(None).cast("string").alias("field"))))
+    what = what.otherwise(F.transform(moved, lambda f: F.struct(F.lit("changed").alias("change"), f.alias("field"))))
+    return j.select(key, F.explode(what).alias("w")).select(key, "w.*")
+
+
+def orphans(trials: DataFrame, sweeps: DataFrame, on: str = "sweep_id") -> DataFrame:
+    """Trials of a sweep that is no longer there; a trial without one belongs to none and stays."""
+    return trials.where(F.col(on).isNotNull()).join(sweeps.select(on).distinct(), on, "left_anti")
+
+
 def deflated_sharpe(trials: DataFrame, cohort: str = "cohort_label") -> DataFrame:
     """Per cohort of at least two trials: its best Sharpe and the probability that it beats the best of as many lucky ones."""
     best = trials.where(F.col(cohort).isNotNull() & F.col("sharpe").isNotNull()).groupBy(cohort).agg(F.count("*").alias("trials"), F.max_by(F.struct("sharpe", "n_obs", "skewness", "kurtosis_pearson"), F.struct("sharpe", "run_id")).alias("b")).where("trials >= 2")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from tickloom.operators.segments import map_sorted_groups
 SCHEMA = """run_id string, symbol string, fold int, trade_id string, leg int, direction string, quantity long, entry_trigger_ts timestamp, entry_ts timestamp, entry_price double,
  exit_trigger_ts timestamp, exit_ts timestamp, exit_price double, exit_reason string, initial_stop double, initial_target double, pnl_points double, pnl_usd double, slippage_usd double,
  commission_usd double, net_pnl_usd double, mae_points double, mfe_points double"""
+#: Columns that override the rules for a series, such as an instrument's own tick, point value and commission.
+COSTS = ["tick_size", "point_value", "slippage_ticks", "commission_per_side"]
 _TS = pa.timestamp("us", tz="UTC")
 
 
@@ -48,8 +50,12 @@ class Rules:
             raise ValueError("filling on the signal's own bar needs a reason")
 
 
-def run_bars(ts, o, h, l, c, flow, signal, stop, target, minute, atr, rules: Rules) -> list[dict]:  # noqa: E741
-    """Closed legs of one series; indices stand for times."""
+def run_bars(ts, o, h, l, c, flow, signal, stop, target, minute, atr, rules: Rules, size=None, leave=None, more=None) -> list[dict]:  # noqa: E741
+    """Closed legs of one series; indices stand for times.
+
+    ``size``: contracts of an entry on this bar, none suppresses it. ``leave``: on which sides (1, -1, or 2 for both) the strategy's own exit
+    rule closes a position at the next open. ``more``: on which side it asks to scale in.
+    """
     n = len(ts)
     slip, legs = rules.slippage_ticks * rules.tick_size, []
     entries = np.flatnonzero(signal)
@@ -86,22 +92,23 @@ def run_bars(ts, o, h, l, c, flow, signal, stop, target, minute, atr, rules: Rul
                 side = 0
                 i += 1
                 continue
-            if rules.scale_in_atr is not None and signal[i] == side and scaled < rules.max_scale_ins and i > anchor and i + 1 < n and not math.isnan(atr[i]):
+            asked = more is not None and more[i] in (side, 2) and scaled < rules.max_scale_ins and i > anchor and i + 1 < n and not math.isnan(atr[i])
+            if asked or rules.scale_in_atr is not None and signal[i] == side and scaled < rules.max_scale_ins and i > anchor and i + 1 < n and not math.isnan(atr[i]):
                 price = o[i + 1] + side * slip
-                if side * (price - opened[0][0]) >= -rules.scale_in_atr * atr[i]:
-                    opened.append((price, rules.quantity, i, i + 1))
+                if asked or side * (price - opened[0][0]) >= -rules.scale_in_atr * atr[i]:
+                    opened.append((price, opened[0][1] if size is None else max(int(size[i]), 1), i, i + 1))
                     whole = sum(x[1] for x in opened)
                     goal = sum(x[0] * x[1] for x in opened) / whole + side * rules.scale_target_atr * atr[i]
                     scaled, anchor = scaled + 1, i
-            if signal[i] == -side:
+            if signal[i] == -side or leave is not None and leave[i] in (side, 2):
                 at = min(i + 1, n - 1)
-                close(i, o[at] - side * slip, at, "signal")
+                close(i, o[at] - side * slip, at, "signal" if signal[i] == -side else "rule")
                 side = 0
         if not side:
-            if signal[i] and i + 1 < n and not math.isnan(stop[i]):
+            if signal[i] and i + 1 < n and not math.isnan(stop[i]) and (size is None or size[i] > 0):
                 side = int(signal[i])
                 price = c[i] if rules.same_bar else o[i + 1] + side * slip
-                opened, held, scaled, anchor = [(price, rules.quantity, i, i + 1)], 0, 0, i
+                opened, held, scaled, anchor = [(price, rules.quantity if size is None else int(size[i]), i, i + 1)], 0, 0, i
                 level, goal = stop[i], target[i]
                 first_stop, first_target = level, goal
                 worst = (math.inf, -math.inf)
@@ -123,7 +130,10 @@ def _group(rules_of: dict[str, Rules] | Rules):
         run_id, symbol, fold = (t[k][0].as_py() for k in ("run_id", "symbol", "fold"))
         rules = rules_of if isinstance(rules_of, Rules) else rules_of[run_id]
         us = t["us"].to_numpy()
-        legs = run_bars(us, *(f(x) for x in ("open", "high", "low", "close", "flow")), t["signal"].to_numpy().astype("int64"), f("stop"), f("target"), t["minute"].to_numpy(), f("atr"), rules)
+        own = {k: v for k in COSTS if k in t.column_names and (v := t[k][0].as_py()) is not None}
+        rules = replace(rules, **own) if own else rules
+        asked = {k: t[k].fill_null(0).to_numpy() for k in ("size", "leave", "more") if k in t.column_names}
+        legs = run_bars(us, *(f(x) for x in ("open", "high", "low", "close", "flow")), t["signal"].to_numpy().astype("int64"), f("stop"), f("target"), t["minute"].to_numpy(), f("atr"), rules, **asked)
         if not legs:
             return None
         when = lambda k: pa.array([int(us[x[k]]) for x in legs], pa.int64()).cast(_TS)
@@ -139,7 +149,11 @@ def _group(rules_of: dict[str, Rules] | Rules):
 
 
 def simulate(signals: DataFrame, rules: Rules | dict[str, Rules]) -> DataFrame:
-    """Trades of signal frames. ``run_id`` and ``fold`` default to one run and fold; ``rules`` may differ by run."""
+    """Trades of signal frames. ``run_id`` and ``fold`` default to one run and fold; ``rules`` may differ by run.
+
+    A strategy's own decisions are columns of its frame, all optional: ``size`` (contracts of an entry), ``leave`` and ``more`` (exit and
+    scale-in requests by side, see run_bars). Columns named as in COSTS override the rules' costs for their series.
+    """
     s = signals
     if "run_id" not in s.columns:
         s = s.withColumn("run_id", F.lit("run"))
@@ -150,5 +164,5 @@ def simulate(signals: DataFrame, rules: Rules | dict[str, Rules]) -> DataFrame:
     flow = F.coalesce((F.col("buy_volume") - F.col("sell_volume")) / total, F.lit(0.0)) if "buy_volume" in s.columns else F.lit(0.0)
     atr = F.col("atr_14").cast("double") if "atr_14" in s.columns else F.lit(None).cast("double")
     d = lambda c: F.col(c).cast("double").alias(c)
-    s = s.select("run_id", "symbol", F.col("fold").cast("int").alias("fold"), F.unix_micros("timestamp_utc").alias("us"), *map(d, ("open", "high", "low", "close")), flow.alias("flow"), F.coalesce(F.col("signal"), F.lit(0)).cast("int").alias("signal"), d("stop"), d("target"), (F.hour(local) * 60 + F.minute(local)).alias("minute"), atr.alias("atr"))
+    s = s.select("run_id", "symbol", F.col("fold").cast("int").alias("fold"), F.unix_micros("timestamp_utc").alias("us"), *map(d, ("open", "high", "low", "close")), flow.alias("flow"), F.coalesce(F.col("signal"), F.lit(0)).cast("int").alias("signal"), d("stop"), d("target"), (F.hour(local) * 60 + F.minute(local)).alias("minute"), atr.alias("atr"), *[F.col(k).cast("int").alias(k) for k in ("size", "leave", "more") if k in s.columns], *[d(k) for k in COSTS if k in s.columns])
     return map_sorted_groups(s, ["run_id", "symbol", "fold"], ["us"], _group(rules), SCHEMA)

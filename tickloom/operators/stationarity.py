@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import indicators as ind
 from tickloom.functions.special import normal_cdf_array
+from tickloom.operators.ranks import before, month_of, places
 from tickloom.operators.segments import map_sorted_groups
 
 WINDOWS = [16, 32, 64, 128, 256, 512]
@@ -132,9 +134,12 @@ def half_life(df: DataFrame, keys: list[str], order: list[str], value: str) -> D
 
 def dfa_relational(df: DataFrame, keys: list[str], order: list[str], value: str, windows: list[int] | None = None) -> DataFrame:
     """DFA as joins and aggregates alone: rows fan out to their segment per window, residuals come from regression sums."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = df.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy(*keys)), "__m": F.avg(value).over(Window.partitionBy(*keys))})
-    x = x.withColumn("__z", F.sum(F.col(value) - F.col("__m")).over(w))
+    x = places(df, keys, order, month_of(order[0]), "__i", "__n").withColumns({"__i": F.col("__i") - 1, "__b": month_of(order[0])})
+    part = x.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"), F.count(value).alias("__k"))
+    part = part.withColumn("__m", F.sum("__s").over(Window.partitionBy(*keys)) / F.sum("__k").over(Window.partitionBy(*keys)))
+    part = part.select(*keys, "__b", "__m", F.coalesce(F.sum(F.col("__s") - F.col("__k") * F.col("__m")).over(before(keys)), F.lit(0.0)).alias("__o"))
+    x = x.join(part, [*keys, "__b"])
+    x = x.withColumn("__z", F.col("__o") + F.sum(F.col(value) - F.col("__m")).over(Window.partitionBy(*keys, "__b").orderBy(*order)))
     x = x.withColumn("w", F.explode(F.array(*map(F.lit, windows or WINDOWS)))).where("w >= 10 and w <= floor(__n / 2)").withColumn("seg", F.floor(F.col("__i") / F.col("w"))).where("(seg + 1) * w <= __n")
     x = x.withColumn("__t", (F.col("__i") % F.col("w")).cast("double"))
     s = x.groupBy(*keys, "w", "seg").agg((F.regr_syy("__z", "__t") - F.regr_sxy("__z", "__t") * F.regr_sxy("__z", "__t") / F.regr_sxx("__z", "__t")).alias("ss"))
@@ -152,3 +157,20 @@ def hurst_label(h: Column) -> Column:
 
 def half_life_label(h: Column, lo: Column, hi: Column) -> Column:
     return F.when(h.isNull(), "TRENDING").when(lo.isNull() | hi.isNull(), "UNKNOWN_TIMEFRAME").when(h < lo, "TOO_FAST").when(h > hi, "TOO_SLOW").otherwise("TRADEABLE")
+
+
+def series(bars: DataFrame, kind: str, minutes: int) -> DataFrame:
+    """(symbol, timestamp_utc, x) of a timeframe: log returns, the log level of the close, or its spread over the session VWAP.
+
+    The last bar of a period speaks for it; the VWAP is that of the bars themselves, taken with their close.
+    """
+    from tickloom.operators.resample import bucket
+
+    b = ind.session_vwap(bars) if kind == "vwap_spread" else bars
+    x = F.col("close") - F.col("vwap_session") if kind == "vwap_spread" else F.ln("close")
+    one = b.withColumn("__x", x).groupBy("symbol", bucket(F.col("timestamp_utc"), minutes).alias("at")).agg(F.max_by("__x", "timestamp_utc").alias("x")).withColumnRenamed("at", "timestamp_utc")
+    if kind == "log_return":
+        one = one.withColumn("x", F.col("x") - F.lag("x").over(Window.partitionBy("symbol").orderBy("timestamp_utc")))
+    elif kind not in ("log_level", "vwap_spread"):
+        raise ValueError(f"unknown series {kind!r}")
+    return one.where("x is not null")

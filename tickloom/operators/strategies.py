@@ -176,11 +176,11 @@ def macd_pullback(bars: DataFrame, knobs: dict) -> DataFrame:
     return combine(bars, long, short, (c - k["stop"] * atr, c + k["stop"] * atr), (None, None), clear)
 
 
-def position_size(equity: float, risk_share: float, risk_points: Column, point_value: float) -> Column:
+def position_size(equity: float, risk_share: float, risk_points: Column, point_value: Column | float) -> Column:
     """Contracts whose risk is a share of the equity, at least one; none without equity."""
     if equity <= 0:
         return F.lit(0)
-    return F.greatest(F.lit(1), F.floor(F.lit(equity * risk_share) / F.nullif(F.abs(risk_points) * point_value, F.lit(0.0)))).cast("int")
+    return F.greatest(F.lit(1), F.floor(F.lit(equity * risk_share) / F.nullif(F.abs(risk_points) * (point_value if isinstance(point_value, Column) else F.lit(point_value)), F.lit(0.0)))).cast("int")
 
 
 def lint(bars: DataFrame, config: dict) -> list[str]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.ranks import month_of, places
-from tickloom.operators.simulate import Rules, simulate
+from tickloom.operators.simulate import SCHEMA, Rules, simulate
 
 
 def contiguous_folds(bars: DataFrame, folds: int, gap: int, embargo: int, keys: list[str] | None = None) -> DataFrame:
@@ -49,14 +52,36 @@ def expand(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
 
 
-def sweep(features: DataFrame, variants: list[dict], signals, rules: Rules) -> DataFrame:
+def sweep_id(variants: list[dict]) -> str:
+    """A name of the sweep that depends on its variants alone."""
+    return hashlib.sha256(json.dumps(variants, sort_keys=True, default=str).encode()).hexdigest()[:12]
+
+
+def sweep(features: DataFrame, variants: list[dict], signals, rules: Rules, failures: list[dict] | None = None) -> DataFrame:
     """Trades of every variant in ONE job: ``signals(features, knobs)`` gives a signal frame; run_id names the variant.
 
-    Features are read once (checkpoint them if costly); variants differ by columns only and are simulated as separate groups.
+    Features are read once (checkpoint them if costly); variants differ by columns only and are simulated as separate groups. A variant whose
+    signals cannot be made is recorded in ``failures`` if that is given and left out, else it fails the sweep.
     """
     frames = None
     names = ["symbol", "timestamp_utc", "open", "high", "low", "close", "buy_volume", "sell_volume", "signal", "stop", "target"]
     for i, knobs in enumerate(variants):
-        f = signals(features, knobs).select(*names).withColumn("run_id", F.lit(f"v{i:04d}"))
+        run = f"v{i:04d}"
+        try:
+            f = signals(features, knobs).select(*names).withColumn("run_id", F.lit(run))
+        except (ValueError, AnalysisException) as e:
+            if failures is None:
+                raise
+            failures.append({"run_id": run, "error": str(e).splitlines()[0]})
+            continue
         frames = f if frames is None else frames.unionByName(f)
+    if frames is None:
+        return features.sparkSession.createDataFrame([], SCHEMA)
     return simulate(frames, rules)
+
+
+def sweep_record(spark: SparkSession, variants: list[dict], failures: list[dict]) -> DataFrame:
+    """(sweep_id, run_id, knobs, status, error): one row per variant, whether or not it ran."""
+    failed = {f["run_id"]: f["error"] for f in failures}
+    rows = [(sweep_id(variants), r := f"v{i:04d}", json.dumps(k, sort_keys=True), "failed" if r in failed else "ok", failed.get(r)) for i, k in enumerate(variants)]
+    return spark.createDataFrame(rows, "sweep_id string, run_id string, knobs string, status string, error string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import indicators as ind
 from tickloom.operators import context, features, learn, metrics, registry, resampling, stationarity, strategies, walkforward
 from tickloom.operators.simulate import Rules, simulate
-from tickloom.plans.market import ADX, B, DM, EVENT_DAYS, ID, TR, VWAP_SESSION, S, _ema_step, _frame, _full, _ohlc, _r, _recursion, bars_of
+from tickloom.plans.market import ADX, B, DM, EVENT_DAYS, ID, TR, VWAP_SESSION, VWAP_SESSION_BANDS, S, _ema_step, _frame, _full, _ohlc, _r, _recursion, bars_of
 from tickloom.plans.trading import T, O, _summary, trades_of
 from tickloom.runtime import shared_folder, table
 from tickloom.sources import broker
@@ -140,7 +140,7 @@ def rs_generic_bootstrap(spark, folder):
 
 def stat_tests(spark, folder):
     b = bars_of(spark, folder).withColumn("x", F.ln("close") - F.lag(F.ln("close")).over(ind.series())).where("x is not null")
-    return stationarity.tests(b, ["symbol"], ["timestamp_utc"], "x", max_lag=4).select("symbol", "test", *_r("statistic", "p_value", d=5), "n")
+    return stationarity.tests(b, ["symbol"], ["timestamp_utc"], "x").select("symbol", "test", *_r("statistic", "p_value", d=5), "n")
 
 
 def stat_half_life(spark, folder):
@@ -236,25 +236,19 @@ def queries() -> dict:
     return {n: globals()[n] for n in NAMES if callable(globals()[n])}
 
 
-_V2 = B.replace("b as (", "b0 as (") + f", b as (select symbol, '60m' as timeframe, timestamp_utc, open, high, low, close from ({_ohlc(60).replace('select symbol,', 'select symbol,', 1)} from b0 group by 1, 2))"
-FEAT_V2 = f"with recursive {_V2}, {_recursion({'e9': ('close', _ema_step('e9', '0.2', 'x.close')), 'e20': ('close', _ema_step('e20', '(2.0/21)', 'x.close')), 'y': ('tr', _ema_step('y', '(1.0/14)', 'x.tr'))}, TR)}" + f", t as (select *, (high + low + close) / 3 as tp from b), m as (select *, {_full('avg(tp)', 'tp', 14)} as mean, list(tp) over {_frame(14)} as fr from t) select r.symbol, r.timestamp_utc, round(case when n >= 9 then e9 end, 5) as ema_9, round(case when n >= 20 then e20 end, 5) as ema_20, round((tp - mean) / nullif(0.015 * list_sum(list_transform(fr, lambda v: abs(v - mean))) / 14, 0), 5) as cci_14, round(case when n > 14 then y end, 5) as atr_14 from r join m on m.symbol = r.symbol and m.timestamp_utc = r.timestamp_utc"
-_ADX = ADX.format(b=B, r=_recursion(DM, TR))
-STR_TEMPLATES = f"""{_ADX}, vw as ({VWAP_SESSION}), q as (select w.symbol, b.close as c, vw.vwap_session as v, case when w.n > 28 then a.y end as adx, case when w.n > 14 then rr.tr end as atr, hour(w.timestamp_utc at time zone 'UTC') * 60 + minute(w.timestamp_utc at time zone 'UTC') as mi,
-    (hour(w.timestamp_utc at time zone 'America/New_York') * 60 + minute(w.timestamp_utc at time zone 'America/New_York') + 360) % 1440 as since from w left join a on a.symbol = w.symbol and a.timeframe = w.timeframe and a.k = w.seen
-    join r rr on rr.symbol = w.symbol and rr.timestamp_utc = w.timestamp_utc join b on b.symbol = w.symbol and b.timestamp_utc = w.timestamp_utc join vw on vw.symbol = w.symbol and vw.timestamp_utc = w.timestamp_utc),
-    s as (select 'always-flat' as template, symbol, 0 as sig from q union all
-        select 'vwap-reversion', symbol, case when mi >= 720 and mi < 1020 and since >= 60 then case when (c - v) / nullif(atr, 0) < -2.2 then 1 when (c - v) / nullif(atr, 0) > 2.2 then -1 else 0 end else 0 end from q union all
-        select 'vwap-reversion-adx', symbol, case when mi >= 720 and mi < 1020 and adx < 22 then case when c < v - 1.5 * atr then 1 when c > v + 1.5 * atr then -1 else 0 end else 0 end from q)
-    select template, symbol, count(*) filter (sig > 0) as longs, count(*) filter (sig < 0) as shorts from s group by 1, 2"""
+_F20 = f"({S} rows between 19 preceding and current row)"
 
 
-def oracle_sql() -> dict[str, str]:
-    f20 = f"({S} rows between 19 preceding and current row)"
-    band = f"""{B}, bb as (select *, case when count(close) over {f20} = 20 then avg(close) over {f20} end as mid, case when count(close) over {f20} = 20 then stddev_samp(close) over {f20} end as dev from b),
+def _band() -> str:
+    return f"""{B}, bb as (select *, case when count(close) over {_F20} = 20 then avg(close) over {_F20} end as mid, case when count(close) over {_F20} = 20 then stddev_samp(close) over {_F20} end as dev from b),
         k as (select *, round(mid, 9) as bb_mid, round(mid + 2 * dev, 9) as bb_upper, round(mid - 2 * dev, 9) as bb_lower, round(round(mid + 2 * dev, 9) - round(mid, 9), 9) as half from bb),
         sg as (select *, case when close < bb_lower then 1 when close > bb_upper then -1 else 0 end as sig, case when close < bb_lower then close - 2 * half when close > bb_upper then close + 2 * half end as stop,
             case when close < bb_lower or close > bb_upper then bb_mid end as target from k)"""
-    sim = lambda source: f"""with recursive {source}, x as (select *, row_number() over (partition by symbol order by timestamp_utc) as n, count(*) over (partition by symbol) as nn, lead(open) over (partition by symbol order by timestamp_utc) as nxo, lead(timestamp_utc) over (partition by symbol order by timestamp_utc) as nxt,
+
+
+def _sim(source: str) -> str:
+    """Trades tr of a signal table sg by a recursion over its bars x."""
+    return f"""with recursive {source}, x as (select *, row_number() over (partition by symbol order by timestamp_utc) as n, count(*) over (partition by symbol) as nn, lead(open) over (partition by symbol order by timestamp_utc) as nxo, lead(timestamp_utc) over (partition by symbol order by timestamp_utc) as nxt,
             hour(timestamp_utc at time zone 'America/New_York') * 60 + minute(timestamp_utc at time zone 'America/New_York') as mi from sg),
         r as (
             select symbol, n, 0::int as pos, 0::double as ep, 0::double as st, 0::double as tg, 0::bigint as held, 0::double as lo, 0::double as hi, null::timestamptz as ets, null::varchar as reason, 0::double as xp, 0::int as xd, 0::double as xe, null::timestamptz as xet, null::timestamptz as xts, 0::double as xlo, 0::double as xhi from x where n = 0
@@ -270,6 +264,43 @@ def oracle_sql() -> dict[str, str]:
         lastbar as (select x.symbol, x.close, x.timestamp_utc as ts, x.low, x.high, x.n from x where n = nn),
         tr as (select symbol, xd as d, xe as e, xp as price, xet as ets, xts, case when reason = 'end' then 'eod' else reason end as reason, xlo, xhi from r where reason is not null
             union all select r.symbol, r.pos, r.ep, l.close, r.ets, l.ts, 'eod', case when r.lo > 1e299 then l.low else r.lo end, case when r.hi < -1e299 then l.high else r.hi end from r join lastbar l on r.symbol = l.symbol and r.n = l.n where r.pos <> 0)"""
+
+
+def simulated() -> str:
+    return _sim(_band())
+
+
+def macd_state_sql() -> str:
+    """symbol, timestamp_utc, h, streak of the base bars."""
+    from tickloom.plans import market
+
+    whole = market.oracle_sql()["ind_macd_state"]
+    return whole.replace("select symbol, timestamp_utc, coalesce(h > 0, false) as macd_hist_above_zero,", "select symbol, timestamp_utc, h, coalesce(h > 0, false) as macd_hist_above_zero,").replace("as decline_streak from f", "as streak from f").replace("union all select symbol, timestamp_utc, false,", "union all select symbol, timestamp_utc, null, false,")
+
+
+def atr_sql() -> str:
+    return f"with recursive {B}, {_recursion({'y': ('tr', _ema_step('y', '(1.0/14)', 'x.tr'))}, TR)} select symbol, timestamp_utc, case when n > 14 then y end as y from r"
+
+
+def bands_sql() -> str:
+    return VWAP_SESSION_BANDS.replace("round(x0 + m, 8) as vwap_session", "x0 + m as v").replace("round(sqrt(greatest(q - m * m, 0)), 4) as vwap_session_band_1_0", "sqrt(greatest(q - m * m, 0)) as sd")
+
+
+_V2 = B.replace("b as (", "b0 as (") + f", b as (select symbol, '60m' as timeframe, timestamp_utc, open, high, low, close from ({_ohlc(60).replace('select symbol,', 'select symbol,', 1)} from b0 group by 1, 2))"
+FEAT_V2 = f"with recursive {_V2}, {_recursion({'e9': ('close', _ema_step('e9', '0.2', 'x.close')), 'e20': ('close', _ema_step('e20', '(2.0/21)', 'x.close')), 'y': ('tr', _ema_step('y', '(1.0/14)', 'x.tr'))}, TR)}" + f", t as (select *, (high + low + close) / 3 as tp from b), m as (select *, {_full('avg(tp)', 'tp', 14)} as mean, list(tp) over {_frame(14)} as fr from t) select r.symbol, r.timestamp_utc, round(case when n >= 9 then e9 end, 5) as ema_9, round(case when n >= 20 then e20 end, 5) as ema_20, round((tp - mean) / nullif(0.015 * list_sum(list_transform(fr, lambda v: abs(v - mean))) / 14, 0), 5) as cci_14, round(case when n > 14 then y end, 5) as atr_14 from r join m on m.symbol = r.symbol and m.timestamp_utc = r.timestamp_utc"
+_ADX = ADX.format(b=B, r=_recursion(DM, TR))
+STR_TEMPLATES = f"""{_ADX}, vw as ({VWAP_SESSION}), q as (select w.symbol, b.close as c, vw.vwap_session as v, case when w.n > 28 then a.y end as adx, case when w.n > 14 then rr.tr end as atr, hour(w.timestamp_utc at time zone 'UTC') * 60 + minute(w.timestamp_utc at time zone 'UTC') as mi,
+    (hour(w.timestamp_utc at time zone 'America/New_York') * 60 + minute(w.timestamp_utc at time zone 'America/New_York') + 360) % 1440 as since from w left join a on a.symbol = w.symbol and a.timeframe = w.timeframe and a.k = w.seen
+    join r rr on rr.symbol = w.symbol and rr.timestamp_utc = w.timestamp_utc join b on b.symbol = w.symbol and b.timestamp_utc = w.timestamp_utc join vw on vw.symbol = w.symbol and vw.timestamp_utc = w.timestamp_utc),
+    s as (select 'always-flat' as template, symbol, 0 as sig from q union all
+        select 'vwap-reversion', symbol, case when mi >= 720 and mi < 1020 and since >= 60 then case when (c - v) / nullif(atr, 0) < -2.2 then 1 when (c - v) / nullif(atr, 0) > 2.2 then -1 else 0 end else 0 end from q union all
+        select 'vwap-reversion-adx', symbol, case when mi >= 720 and mi < 1020 and adx < 22 then case when c < v - 1.5 * atr then 1 when c > v + 1.5 * atr then -1 else 0 end else 0 end from q)
+    select template, symbol, count(*) filter (sig > 0) as longs, count(*) filter (sig < 0) as shorts from s group by 1, 2"""
+
+
+def oracle_sql() -> dict[str, str]:
+    band, sim = _band(), _sim
+    f20 = _F20
     # many runs at once: their key stands in for the symbol
     keyed = lambda key, more: band.replace("sg as (", "sg0 as (") + f", {more}, sg as (select {key} as key, * exclude (symbol) from sg1)"
     of = lambda source: sim(source.replace("as key,", "as symbol,"))
