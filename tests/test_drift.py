@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 
-from tickloom.operators.drift import assign, concepts, name_similarity, schema_changes, unified_records
+from tickloom.operators.drift import assign, clusters, concepts, name_similarity, resemblance, schema_changes, unified_records
 
 FILES = "file_id long, contract string, symbol string, feed_id int, file_seq int, path string, received_at timestamp, manifest string"
 RECORDS = "record_id long, file_id long, contract string, bar_no int, payload string"
@@ -21,7 +21,7 @@ def values(n):
 
 
 def changes(f, r):
-    out, _ = schema_changes(f, r)
+    out, _, _ = schema_changes(f, r)
     return {(x["file_id"], x["field_name"], x["change"], x["old_name"]) for x in out.collect()}
 
 
@@ -62,17 +62,40 @@ def test_empty(spark):
 
 def test_one_table_over_names(spark):
     f, r = case(spark)
-    rows = {x["record_id"]: x for x in unified_records(f, r).collect()}
-    assert len(rows) == 24
-    assert rows[9]["high"] == rows[5]["high"] == 105.5 and rows[9]["volume"] == 53
-    assert rows[24]["high"] == 116.5 and rows[24]["is_realtime"] is None and "Spread" in rows[24]["other"]
-
-
-def test_names():
-    assert concepts("LowPx") == concepts("low_price") == {"low"}
+    out = unified_records(f, r.unionAll(r.limit(3)))
+    rows = {x["record_id"]: x for x in out.collect()}
+    assert out.count() == len(rows) == 24 and set(out.columns) == {"record_id", "file_id", "contract", "bar_no", "HighPx", "TotalVolume", "IsRealtime", "other"}
+    assert rows[9]["HighPx"] == rows[5]["HighPx"] == 105.5 and rows[9]["TotalVolume"] == 53 and rows[9]["IsRealtime"] is True
+    assert rows[24]["HighPx"] == 116.5 and rows[24]["IsRealtime"] is None and rows[24]["other"] == {"Spread": str((16 * 7) % 5)}
+    assert unified_records(f.limit(0), r.limit(0)).count() == 0
+
+
+def test_what_is_found_elsewhere_helps_where_values_are_silent(spark):
+    files, records = [], []
+    for k in range(4):
+        c, last = f"C{k}", k == 3
+        files += [a_file(10 * k + 1, {"file_hash": f"{k}a" * 8}, 1, c), a_file(10 * k + 2, {"file_hash": f"{k}b" * 8}, 2, c)]
+        for n in range(1, 9):
+            records.append((1000 * k + n, 10 * k + 1, c, n, json.dumps({"Vwap": 10.25 + 7 * n})))
+            # the last contract's files share no bar, and its values are of another size
+            m = n + 100 if last else n
+            records.append((1000 * k + 500 + n, 10 * k + 2, c, m, json.dumps({"AvgPx": 10.25 + 7 * n + (90_000 if last else 0)})))
+    got = changes(*build(spark, files, records))
+    assert got == {(10 * k + 2, "AvgPx", "renamed", "Vwap") for k in range(4)}
+    alone = changes(*build(spark, files[6:], [r for r in records if r[2] == "C3"]))
+    assert alone == {(32, "AvgPx", "added", None), (32, "Vwap", "removed", None)}
+
+
+def test_names_and_sketches():
+    assert concepts("LowPx") == concepts("low_px") == {"low", "px"}
     assert name_similarity("schema_version", "schemaVersion") == 1.0
-    assert name_similarity("DownVolume", "SellVolume") == 1.0
     assert name_similarity("OpenInterest", "TradeCount") < 0.4
+    assert resemblance([1, 2, 3], [1, 2, 3]) == 1 and resemblance([1, 2], [2, 3]) == 1 / 3 and resemblance(None, [1]) == 0
+
+
+def test_clusters_keep_apart_what_files_hold_together():
+    names = {"a": 9, "b": 5, "c": 4, "d": 2}
+    assert clusters(names, [("a", "b", 7), ("c", "b", 3), ("c", "d", 2)], {("a", "c")}) == {"a": "a", "b": "a", "c": "c", "d": "c"}
 
 
 def test_matching_is_optimal():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ranks import before, month_of
+from tickloom.operators.ranks import before, block_of
 
 
 def islands(df: DataFrame, keys: list[str], order: list, starts: Column, out: str = "island") -> DataFrame:
@@ -26,7 +26,7 @@ def streaks(df: DataFrame, keys: list[str], order: list, what: Column, block: Co
 
     Runs are found within blocks of the order (its first column's months by default) and joined where one goes on over a border.
     """
-    block = block if block is not None else month_of(order[0])
+    block = block if block is not None else block_of(df, order[0])
     df = df.withColumns({"__v": what, "__b": block})
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
     df = islands(df, [*keys, "__b"], order, F.lag("__v").over(w).isNull() | (F.col("__v") != F.lag("__v").over(w)), "__i")

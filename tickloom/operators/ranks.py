@@ -14,6 +14,12 @@ def month_of(ts: str) -> Column:
     return F.date_trunc("month", F.col(ts))
 
 
+def block_of(df: DataFrame, name: str) -> Column:
+    """Blocks along an ordering column: months of a time, stretches of 65,536 of a number."""
+    kind = dict(df.dtypes)[name]
+    return month_of(name) if kind.startswith(("timestamp", "date")) else F.floor(F.col(name) / 65_536)
+
+
 def before(keys: list[str]):
     """The blocks of a key before the present one; without keys there is one row per block in all."""
     return Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
 from tickloom.functions.special import normal_cdf_array
-from tickloom.operators.ranks import before, month_of, places
+from tickloom.operators.ranks import before, block_of, places
 from tickloom.operators.segments import map_sorted_groups
 
 WINDOWS = [16, 32, 64, 128, 256, 512]
@@ -134,7 +134,8 @@ def half_life(df: DataFrame, keys: list[str], order: list[str], value: str) -> D
 
 def dfa_relational(df: DataFrame, keys: list[str], order: list[str], value: str, windows: list[int] | None = None) -> DataFrame:
     """DFA as joins and aggregates alone: rows fan out to their segment per window, residuals come from regression sums."""
-    x = places(df, keys, order, month_of(order[0]), "__i", "__n").withColumns({"__i": F.col("__i") - 1, "__b": month_of(order[0])})
+    block = block_of(df, order[0])
+    x = places(df, keys, order, block, "__i", "__n").withColumns({"__i": F.col("__i") - 1, "__b": block})
     part = x.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"), F.count(value).alias("__k"))
     part = part.withColumn("__m", F.sum("__s").over(Window.partitionBy(*keys)) / F.sum("__k").over(Window.partitionBy(*keys)))
     part = part.select(*keys, "__b", "__m", F.coalesce(F.sum(F.col("__s") - F.col("__k") * F.col("__m")).over(before(keys)), F.lit(0.0)).alias("__o"))
