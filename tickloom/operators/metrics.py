@@ -247,14 +247,30 @@ def composite_score(profit_factor: Column, drawdown: Column, n: Column, least: i
     return F.when((n >= least) & (dd < 1), score)
 
 
+def win_share_before(trades: DataFrame, keys: list[str], out: str = "win_prob") -> DataFrame:
+    """Adds the share of wins among a key's earlier trades, shrunk to one half as by two trades before the first; months carry their counts on."""
+    win = (F.col("net_pnl_usd") > 0).cast("bigint")
+    t = trades.where("exit_ts is not null").withColumns({"__b": month_of("exit_ts"), "__w": win})
+    w = Window.partitionBy(*keys, "__b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    months = t.groupBy(*keys, "__b").agg(F.sum("__w").alias("__s"), F.count("*").alias("__k"))
+    months = months.select(*keys, "__b", *[F.coalesce(F.sum(c).over(before(keys)), F.lit(0)).alias(n) for c, n in (("__s", "__so"), ("__k", "__ko"))])
+    t = t.withColumns({"__s": F.coalesce(F.sum("__w").over(w), F.lit(0)), "__k": F.count("*").over(w)}).join(months, [*keys, "__b"])
+    return t.withColumn(out, (1 + F.col("__s") + F.col("__so")) / (2.0 + F.col("__k") + F.col("__ko"))).drop("__b", "__w", "__s", "__k", "__so", "__ko")
+
+
 def meta_label_sweep(trades: DataFrame, keys: list[str], probability: str, thresholds: list[float]) -> DataFrame:
-    """Per threshold: trades kept, win rate, precision, recall, F1 and total of keeping those at or above it."""
+    """Per threshold: trades kept, win rate, precision, recall, F1, total and Calmar of keeping those at or above it."""
     t = trades.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     kept, win = F.col(probability) >= F.col("threshold"), F.col("net_pnl_usd") > 0
-    out = t.groupBy(*keys, "threshold").agg(F.count_if(kept).alias("n"), F.count_if(kept & win).alias("tp"), F.count_if(kept & ~win).alias("fp"), F.count_if(~kept & win).alias("fn"), F.coalesce(F.sum(F.when(kept, F.col("net_pnl_usd"))), F.lit(0.0)).alias("total"))
+    by = [*keys, "threshold"]
+    out = t.groupBy(*by).agg(
+        F.count_if(kept).alias("n"), F.count_if(kept & win).alias("tp"), F.count_if(kept & ~win).alias("fp"), F.count_if(~kept & win).alias("fn"), F.coalesce(F.sum(F.when(kept, F.col("net_pnl_usd"))), F.lit(0.0)).alias("total"),
+        days_between(F.min(F.when(kept, F.col("entry_ts"))), F.max(F.when(kept, F.col("exit_ts")))).alias("__span"),
+    )
+    deep = equity(t.where(kept), by).groupBy(*by).agg(F.min("drawdown").alias("__dd"))
     p, r = ratio(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")), ratio(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double"))
-    out = out.withColumns({"precision": p, "recall": r, "win_rate": F.coalesce(p, F.lit(0.0))})
-    return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    out = out.join(deep, by, "left").withColumns({"precision": p, "recall": r, "win_rate": F.coalesce(p, F.lit(0.0)), "calmar": ratio(ratio(F.col("total"), F.col("__span").cast("double")) * YEAR_DAYS, F.abs("__dd"))})
+    return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("__span", "__dd")
 
 
 def regime_breakdown(trades: DataFrame, regime: str, keys: list[str]) -> DataFrame:

@@ -7,9 +7,9 @@ import os
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
-from tickloom.operators import context, features, learn, metrics, registry, resampling, stationarity, strategies, walkforward
+from tickloom.operators import asof, context, features, learn, metrics, registry, resampling, stationarity, strategies, walkforward
 from tickloom.operators.simulate import Rules, simulate
-from tickloom.plans.market import ADX, B, DM, EVENT_DAYS, ID, TR, VWAP_SESSION, VWAP_SESSION_BANDS, S, _ema_step, _frame, _full, _ohlc, _r, _recursion, bars_of
+from tickloom.plans.market import ADX, B, DM, EVENT_DAYS, ID, TR, VWAP_SESSION, VWAP_SESSION_BANDS, S, _ema_step, _frame, _event_days, _full, _ohlc, _r, _recursion, bars_of
 from tickloom.plans.trading import T, O, _summary, trades_of
 from tickloom.runtime import shared_folder, table
 from tickloom.sources import broker
@@ -117,7 +117,12 @@ def ctx_session_labels(spark, folder):
 
 
 def ctx_regime_tags(spark, folder):
-    t = trades_of(spark, folder).where("entry_ts is not null").withColumns({"atr_rank": F.pmod(F.col("quantity") * 29, F.lit(100)) / 100.0, "daily_adx": F.lit(None).cast("double"), "days_to_event": F.datediff(F.lit(str(EVENT_DAYS[2])).cast("date"), F.to_date(F.from_utc_timestamp("entry_ts", "America/New_York")))})
+    """Trades by regime: the volatility's rank and the ADX at the bar nearest to the entry, and the nearest event."""
+    b = ind.recursive(ind.true_range(bars_of(spark, folder)), adx=14)
+    b = ind.percentile_rank(b, "true_range", 300, 20, "atr_rank").select(*ID, "atr_rank", F.round("adx_14", 9).alias("daily_adx"))
+    t = trades_of(spark, folder).where("entry_ts is not null").withColumn("day", F.to_date(F.from_utc_timestamp("entry_ts", "America/New_York")))
+    t = asof.asof_nearest(t, b, ["symbol"], ["atr_rank", "daily_adx"], left_ts="entry_ts", tolerance_us=600_000_000)
+    t = asof.nearest_event(t, _event_days(spark), day="day")
     return context.regime_tags(t).groupBy("vol_regime", "trend_regime", "event_regime", "week_of_month").agg(F.count("*").alias("n"), F.round(F.sum("net_pnl_usd"), 4).alias("total"))
 
 
@@ -324,7 +329,14 @@ def oracle_sql() -> dict[str, str]:
         "wf_fold_bounds": f"with {B}, n as (select symbol, timestamp_utc, row_number() over (partition by symbol order by timestamp_utc) - 1 as i, count(*) over (partition by symbol) as t from b), s as (select *, (t - 90) // 4 as sz from n where t - 90 >= 40), f as (select *, case when i < sz then 0 when i >= (sz + 30) + 10 and i < (sz + 30) + 10 + sz then 1 when i >= 2 * (sz + 30) + 10 and i < 2 * (sz + 30) + 10 + sz then 2 when i >= 3 * (sz + 30) + 10 then 3 end as fold from s) select symbol, cast(fold as int) as fold, count(*) as bars, min(timestamp_utc) as first_ts from f where fold is not null group by 1, 2",
         "wf_positive_folds": f"{runs}, f as (select run_id, weekofyear(exit_ts at time zone 'UTC') as wk, sum(net_pnl_usd) as v from d group by 1, 2), g as (select run_id, count(*) as n, count(*) filter (v > 0) as k from f group by 1) select run_id, n, k, round(list_sum(list_transform(range(k, n + 1), lambda i: factorial(cast(n as int)) / (factorial(cast(i as int)) * factorial(cast(n - i as int))))) / pow(2, n), 8) as p_value from g",
         "ctx_session_labels": f"with {B}, h as (select symbol, hour(timestamp_utc at time zone 'America/New_York') as h from b) select symbol, case when h >= 18 or h < 3 then 'Asia' when h < 8 then 'London' when h < 9 then 'NY pre-open' when h < 16 then 'NY RTH' when h < 17 then 'NY close' else 'Overnight' end as session, count(*) as n from h group by 1, 2",
-        "ctx_regime_tags": f"{runs}, k as (select *, (quantity * 29 % 100) / 100.0::double as rk, abs(datediff('day', cast(entry_ts at time zone 'America/New_York' as date), date '{EVENT_DAYS[2]}')) as gap, (day(entry_ts at time zone 'America/New_York') - 1) // 7 + 1 as wm from d where entry_ts is not null) select case when rk <= 0.33 then 'vol_low' when rk <= 0.66 then 'vol_mid' when rk is not null then 'vol_high' else 'vol_unknown' end as vol_regime, 'trend_unknown' as trend_regime, case when gap = 0 then 'event_day' when gap <= 1 then 'event_1d' when gap <= 5 then 'event_week' else 'event_far' end as event_regime, cast(wm as bigint) as week_of_month, count(*) as n, round(sum(net_pnl_usd), 4) as total from k group by 1, 2, 3, 4",
+        "ctx_regime_tags": f"""{_ADX}, tr as (select symbol, timestamp_utc, greatest(high - low, abs(high - lag(close) over ({S})), abs(low - lag(close) over ({S}))) as v, timeframe from b), fr as (select symbol, timestamp_utc, v, list(v) over {_frame(300)} as f, count(v) over {_frame(300)} as c from tr),
+            cx as (select fr.symbol, fr.timestamp_utc, case when c >= 20 and v is not null then len(list_filter(f, lambda e: e < v)) / len(f) end as rk, round(case when w.n > 28 then a.y end, 9) as adx from fr join w on w.symbol = fr.symbol and w.timestamp_utc = fr.timestamp_utc left join a on a.symbol = w.symbol and a.timeframe = w.timeframe and a.k = w.seen),
+            {T.replace("d as (", "dt as (").replace("t as (select *, abs(entry", "tt as (select *, abs(entry").replace("from t)", "from tt)")}, cl as (select trade_id, min(upper(trim(contract))) as code from trades group by 1), ev as (select unnest([{", ".join(f"date '{x}'" for x in EVENT_DAYS)}]) as event_date),
+            tx as (select dt.trade_id, net_pnl_usd, entry_ts, cl.code, cast(entry_ts at time zone 'America/New_York' as date) as day from dt join cl using (trade_id) where entry_ts is not null),
+            nb as (select * from (select tx.trade_id, rk, adx, row_number() over (partition by tx.trade_id order by abs(epoch_us(cx.timestamp_utc) - epoch_us(tx.entry_ts)), cx.timestamp_utc) as rn from tx join cx on cx.symbol = tx.code and cx.timestamp_utc between tx.entry_ts - interval 10 minutes and tx.entry_ts + interval 10 minutes) where rn = 1),
+            ge as (select trade_id, min(abs(datediff('day', day, event_date))) as gap from tx, ev group by 1)
+            select case when rk <= 0.33 then 'vol_low' when rk <= 0.66 then 'vol_mid' when rk is not null then 'vol_high' else 'vol_unknown' end as vol_regime, case when adx <= 20 then 'trend_weak' when adx <= 40 then 'trend_mid' when adx is not null then 'trend_strong' else 'trend_unknown' end as trend_regime,
+                case when gap = 0 then 'event_day' when gap <= 1 then 'event_1d' when gap <= 5 then 'event_week' else 'event_far' end as event_regime, cast((day(day) - 1) // 7 + 1 as bigint) as week_of_month, count(*) as n, round(sum(net_pnl_usd), 4) as total from tx left join nb using (trade_id) left join ge using (trade_id) group by 1, 2, 3, 4""",
         "rs_hash_bootstrap": f"{runs}, i as (select run_id, net_pnl_usd, row_number() over (partition by run_id order by {O}) - 1 as i, count(*) over (partition by run_id) as m from d), s as (select run_id, m, i, s as sample from i cross join range(0, 1000) q(s)), k as (select *, ((1103515245::bigint * (sample * m + i + 42) + 12345) % 2147483648) % m as pick from s) select k.run_id, cast(k.sample as int) as sample, round(avg(i.net_pnl_usd), 8) as mean from k join i on k.run_id = i.run_id and k.pick = i.i group by 1, 2",
         "stat_half_life": f"with {B}, l as (select symbol, lag(close) over (partition by symbol order by timestamp_utc) as p, close - lag(close) over (partition by symbol order by timestamp_utc) as d from b), m as (select symbol, d - avg(d) filter (p is not null) over (partition by symbol) as y, p - avg(p) over (partition by symbol) as x from l where p is not null), g as (select symbol, count(*) as n, sum(x * y) / sum(x * x) as beta, pow(sum(x * y), 2) / (sum(x * x) * sum(y * y)) as r2 from m group by 1), h as (select *, case when beta < -1e-10 then ln(2) / -beta end as hl from g) select symbol, n, round(beta, 4) as beta, round(r2, 4) as r_squared, round(hl, 4) as half_life, case when abs(beta) < 1e-10 then 'RANDOM_WALK' when beta >= 0 then 'TRENDING' else 'MEAN_REVERTING' end as kind, case when hl is null then 'TRENDING' when hl < 5 then 'TOO_FAST' when hl > 60 then 'TOO_SLOW' else 'TRADEABLE' end as label from h",
         "reg_trial_tiers": "with t as (select strategy_id, cast(exported_at at time zone 'UTC' as date) as ts, count(*) as n from trades group by 1, 2) select case when date '2024-10-01' - ts <= 180 then 'hot' when date '2024-10-01' - ts <= 730 then 'warm' else 'cold' end as tier, strftime(ts, '%Y-%m') as archive_month, cast(sum(n) as bigint) as n from t group by 1, 2",

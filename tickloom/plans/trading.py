@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import asof, islands, metrics, portfolio
+from tickloom.operators import asof, islands, metrics, portfolio, registry
 from tickloom.plans.market import EVENT_DAYS, _event_days
 from tickloom.runtime import table
 from tickloom.schema import clean_trades
@@ -131,15 +131,16 @@ def met_event_study(spark, folder):
 
 
 def met_meta_sweep(spark, folder):
-    """Thresholds over a score that stands for a model's probability: the share of the stop distance the trade had to go."""
-    t = trades_of(spark, folder).withColumn("win_prob", F.pmod(F.col("quantity") * 37 + F.col("entry_hour") * 11, F.lit(100)) / 100.0).where("win_prob is not null")
-    return metrics.meta_label_sweep(t, [], "win_prob", [round(0.30 + 0.05 * i, 2) for i in range(13)]).select("threshold", "n", *_r("win_rate", "precision", "recall", "f1", "total", d=5))
+    """Thresholds over the probability of a win as the run's trades before have it: their share of wins, one of two for none."""
+    t = metrics.win_share_before(trades_of(spark, folder), RUN)
+    return metrics.meta_label_sweep(t, [], "win_prob", [round(0.30 + 0.05 * i, 2) for i in range(13)]).select("threshold", "n", *_r("win_rate", "precision", "recall", "f1", "total", "calmar", d=5))
 
 
 def met_benjamini_hochberg(spark, folder):
-    """Ranked p-values of runs, the p-value standing for one minus the share of wins."""
-    s = trades_of(spark, folder).groupBy("run_id").agg((1 - F.avg((F.col("net_pnl_usd") > 0).cast("double"))).alias("p"), F.count("*").alias("n")).withColumn("p", F.col("p") * F.col("p") / F.sqrt("n"))
-    return metrics.benjamini_hochberg(s, [], "p", 0.1, "run_id").select("run_id", "rank", *_r("adjusted_p", d=8), "rejected")
+    """Ranked p-values of runs: the chance of as many winning days or more, of all days with a result, by coin flips."""
+    d = daily_of(spark, folder).where("pnl <> 0")
+    p = registry.positive_folds(d, RUN, "pnl").select("run_id", F.round("p_value", 9).alias("p"))
+    return metrics.benjamini_hochberg(p, [], "p", 0.1, "run_id").select("run_id", "rank", *_r("adjusted_p", d=8), "rejected")
 
 
 def met_leaderboard(spark, folder):
@@ -273,8 +274,8 @@ def oracle_sql() -> dict[str, str]:
         "met_rolling_expectancy": f"with {T} select root, trade_id, round(case when count(pnl_r) over a = 5 then avg(pnl_r) over a end, 5) as mean_r_5, round(case when count(pnl_r) over b = 20 then avg(pnl_r) over b end, 5) as mean_r_20 from d window a as (partition by root order by {O} rows between 4 preceding and current row), b as (partition by root order by {O} rows between 19 preceding and current row)",
         "met_regime_breakdown": f"with {T}, b as (select direction, entry_dow, count(*) as n, sum(net_pnl_usd) as total, avg(net_pnl_usd) as mean, avg(cast(net_pnl_usd > 0 as double)) as wr from d group by 1, 2), dy as (select direction, entry_dow, cast(exit_ts at time zone 'UTC' as date) as day, sum(net_pnl_usd) as pnl from d group by 1, 2, 3), q0 as (select *, sum(pnl) over (partition by direction, entry_dow order by day rows unbounded preceding) as eq from dy), q1 as (select *, max(eq) over (partition by direction, entry_dow order by day rows unbounded preceding) as pk from q0), q as (select direction, entry_dow, count(*) as days, avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252) as sharpe, min(eq - pk) as dd from q1 group by 1, 2), sp as (select direction, (epoch_us(max(exit_ts)) - epoch_us(min(entry_ts))) / 86400000000 / 7 as weeks from d group by 1) select b.direction, cast(b.entry_dow as int) as entry_dow, n, round(total, 4) as total, round(mean, 4) as mean, round(wr, 4) as win_rate, round(case when days > 2 then sharpe end, 4) as sharpe, round(case when days > 2 then total / days * 252 / nullif(abs(dd), 0) end, 4) as calmar, round(n / weeks, 4) as per_week from b join q on b.direction = q.direction and b.entry_dow = q.entry_dow join sp on b.direction = sp.direction",
         "met_event_study": f"with {T}, {ev}, k as (select trade_id, net_pnl_usd, datediff('day', day, event_date) as dist, row_number() over (partition by trade_id order by abs(datediff('day', day, event_date)), event_date) as rn from (select *, cast(entry_ts at time zone 'America/New_York' as date) as day from d where entry_ts is not null), ev), g as (select cast(i as int) as days_to_event from range(-5, 6) r(i)), c as (select dist, sum(net_pnl_usd) as total, count(*) as n from k where rn = 1 and abs(dist) <= 5 group by 1), z as (select days_to_event, coalesce(n, 0) as n, coalesce(total, 0) as total from g left join c on g.days_to_event = c.dist) select days_to_event, n, round(total, 4) as total, round(total / {len(EVENT_DAYS)}, 4) as per_event, round(sum(total / {len(EVENT_DAYS)}) over (order by days_to_event rows unbounded preceding), 4) as cumulative from z",
-        "met_meta_sweep": f"with {T}, p as (select *, ((quantity * 37 + entry_hour * 11) % 100) / 100.0::double as wp from d where quantity is not null and entry_hour is not null), k as (select * from p cross join (select unnest([{', '.join(f'{round(0.30 + 0.05 * i, 2)}::double' for i in range(13))}]) as threshold)), c as (select threshold, count(*) filter (wp >= threshold) as n, count(*) filter (wp >= threshold and net_pnl_usd > 0) as tp, count(*) filter (wp >= threshold and net_pnl_usd <= 0) as fp, count(*) filter (wp < threshold and net_pnl_usd > 0) as fn, coalesce(sum(net_pnl_usd) filter (wp >= threshold), 0) as total from k group by 1), m as (select *, tp / nullif(tp + fp, 0) as pr, tp / nullif(tp + fn, 0) as re from c) select threshold, n, round(coalesce(pr, 0), 5) as win_rate, round(pr, 5) as precision, round(re, 5) as recall, round(2 * pr * re / nullif(pr + re, 0), 5) as f1, round(total, 5) as total from m",
-        "met_benjamini_hochberg": f"with {T}, s as (select run_id, pow(1 - avg(cast(net_pnl_usd > 0 as double)), 2) / sqrt(count(*)) as p from d group by 1), r as (select *, row_number() over (order by p, run_id) as rank, count(*) over () as n from s), a as (select *, least(1.0, min(p * n / rank) over (order by rank desc rows unbounded preceding)) as adj, max(case when p <= rank / n * 0.1 then rank end) over () as k from r) select run_id, rank, round(adj, 8) as adjusted_p, coalesce(rank <= k, false) as rejected from a",
+        "met_meta_sweep": f"with {T}, p as (select *, (1 + coalesce(sum(cast(net_pnl_usd > 0 as int)) over w, 0)) / (2.0 + count(*) over w) as wp from d window w as (partition by run_id order by {O} rows between unbounded preceding and 1 preceding)), k as (select * from p cross join (select unnest([{', '.join(f'{round(0.30 + 0.05 * i, 2)}::double' for i in range(13))}]) as threshold)), c as (select threshold, count(*) filter (wp >= threshold) as n, count(*) filter (wp >= threshold and net_pnl_usd > 0) as tp, count(*) filter (wp >= threshold and net_pnl_usd <= 0) as fp, count(*) filter (wp < threshold and net_pnl_usd > 0) as fn, coalesce(sum(net_pnl_usd) filter (wp >= threshold), 0) as total, floor((epoch_us(max(exit_ts) filter (wp >= threshold)) - epoch_us(min(entry_ts) filter (wp >= threshold))) / 86400000000) as span from k group by 1), q0 as (select *, sum(net_pnl_usd) over (partition by threshold order by {O} rows unbounded preceding) as eq from k where wp >= threshold), q as (select threshold, min(eq - pk) as dd from (select *, max(eq) over (partition by threshold order by {O} rows unbounded preceding) as pk from q0) group by 1), m as (select c.*, dd, tp / nullif(tp + fp, 0) as pr, tp / nullif(tp + fn, 0) as re from c left join q using (threshold)) select threshold, n, round(coalesce(pr, 0), 5) as win_rate, round(pr, 5) as precision, round(re, 5) as recall, round(2 * pr * re / nullif(pr + re, 0), 5) as f1, round(total, 5) as total, round(total / nullif(span, 0) * 252 / nullif(abs(dd), 0), 5) as calmar from m",
+        "met_benjamini_hochberg": f"with {T}, {DP}, g as (select run_id, count(*) as n, count(*) filter (pnl > 0) as k from dp where pnl <> 0 group by 1), s as (select run_id, round(list_sum(list_transform(range(k, n + 1), lambda i: factorial(cast(n as int)) / (factorial(cast(i as int)) * factorial(cast(n - i as int))))) / pow(2, n), 9) as p from g), r as (select *, row_number() over (order by p, run_id) as rank, count(*) over () as n from s), a as (select *, least(1.0, min(p * n / rank) over (order by rank desc rows unbounded preceding)) as adj, max(case when p <= rank / n * 0.1 then rank end) over () as k from r) select run_id, rank, round(adj, 8) as adjusted_p, coalesce(rank <= k, false) as rejected from a",
         "met_leaderboard": f"with {T}, {_summary('run_id')}, q as (select run_id, n, coalesce(sw, 0) / nullif(abs(sl), 0) as pf, abs(coalesce(dd / nullif(abs(pk), 0), 0) / 100) as x from su), z as (select *, case when x > 1 then x / 100 else x end as y from q), w as (select run_id, n, case when n >= 5 and y < 1 then ln(greatest(pf, 1e-6)) * (1 - least(y, 0.99)) * (1 + log10(n / 5.0)) end as score from z) select run_id, n as total_trades, round(score, 5) as score from w where score is not null and run_id in (select run_id from q where pf is not null or true) order by w.score desc, run_id limit 10",
         "met_hold_histogram": f"with {T} select case when net_pnl_usd > 0 then 'win' else 'loss' end as outcome, cast(least(floor(least(greatest(hold_minutes, 0), 200) / 10), 19) as bigint) as bin, count(*) as n from d where hold_minutes is not null group by 1, 2",
         "met_r_histogram": f"with {T} select exit_reason, cast(least(floor((least(greatest(pnl_r, -5), 5) + 5) / (10.0::double / 60)), 59) as bigint) as bin, count(*) as n from d where pnl_r is not null group by 1, 2",
