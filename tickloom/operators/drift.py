@@ -28,7 +28,7 @@ from tickloom.operators.segments import map_sorted_groups
 from tickloom.runtime import durable, table
 
 #: Hashes a sketch keeps, and bars of a block in which two files' values are compared.
-SKETCH, BAR_BLOCK = 16, 4096
+SKETCH, BAR_BLOCK = 8, 4096
 #: Renames found elsewhere that make two names as good as alike.
 LEAST_LINKS = 3
 #: Distinct field names over all files that unification accepts; their links are clustered in one place.
@@ -153,8 +153,7 @@ def _number(v) -> float | None:
             return None
     elif isinstance(v, (dict, list)):
         return None
-    v = float(v) if abs(v) < 1e300 else float("inf")
-    return v if abs(v) < 1e15 else None
+    return float(v) if -1e15 < v < 1e15 else None
 
 
 def _said(v) -> str:
@@ -166,7 +165,7 @@ def _said(v) -> str:
 
 
 _KINDS = ["text", "number", "boolean", "nested"]
-_PARTIAL = "dr_file long, dr_name string, dr_section string, t long, n long, b long, x long, dr_seen long, dr_count long, dr_sum double, dr_square double, dr_text string, dr_sketch array<long>"
+_PARTIAL = "dr_file long, dr_name string, dr_section string, t long, n long, b long, x long, dr_seen long, dr_count long, dr_sum double, dr_square double, dr_text string, dr_sketch array<int>"
 
 
 def _kind(v) -> int:
@@ -175,7 +174,7 @@ def _kind(v) -> int:
 
 def _profiler(section: str):
     """Rows of (dr_file, dr_json) to partial profiles per file and field of a batch."""
-    names = [c.split()[0] for c in _PARTIAL.split(", ")]
+    names, spelled = [c.split()[0] for c in _PARTIAL.split(", ")], section == "manifest"
 
     def run(batches):
         for batch in batches:
@@ -194,13 +193,16 @@ def _profiler(section: str):
                         p[5] += 1
                         p[6] += n
                         p[7] += n * n
-                    said = _said(v)
-                    if p[8] is None or said < p[8]:
-                        p[8] = said
-                    p[9].add(zlib.crc32(said.encode("utf-8", "replace")))
+                        p[9].add(hash(round(n, 6)) & 0x7FFFFFFF)
+                    else:
+                        p[9].add(zlib.crc32(_said(v).encode("utf-8", "replace")) & 0x7FFFFFFF)
+                    # only single values, as manifests have them, are compared as texts
+                    if spelled:
+                        said = _said(v)
+                        p[8] = said if p[8] is None or said < p[8] else p[8]
             if made:
                 cols = list(zip(*made.values()))
-                arrays = [pa.array([k[0] for k in made], pa.int64()), pa.array([k[1] for k in made], pa.string()), pa.array([section] * len(made)), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.float64()), pa.array(cols[8], pa.string()), pa.array([sorted(c)[:SKETCH] for c in cols[9]], pa.list_(pa.int64()))]
+                arrays = [pa.array([k[0] for k in made], pa.int64()), pa.array([k[1] for k in made], pa.string()), pa.array([section] * len(made)), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.float64()), pa.array(cols[8], pa.string()), pa.array([sorted(c)[:SKETCH] for c in cols[9]], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
