@@ -142,3 +142,32 @@ def test_dispatch_is_exclusive(spark):
         strategies.TEMPLATES["vwap-reversion"](b, {})
     r = spark.range(1).select(strategies.position_size(25_000, 0.01, F.lit(2.0), 50.0).alias("a"), strategies.position_size(25_000, 0.01, F.lit(0.5), 50.0).alias("b"), strategies.position_size(0, 0.01, F.lit(1.0), 50.0).alias("c")).first()
     assert (r["a"], r["b"], r["c"]) == (2, 10, 0)
+
+
+def test_a_strategys_own_columns(spark):
+    rows = walk(12)
+    for i, r in enumerate(rows):
+        r[6:10] = [100.0 + i, 100.9 + i, 99.9 + i, 100.5 + i]
+    b = frame(spark, rows).drop("symbol").withColumnRenamed("contract", "symbol").withColumns({"signal": F.when(F.col("bar_id").isin(2, 8), 1).otherwise(0), "stop": F.lit(50.0), "target": F.lit(None).cast("double")})
+    rules = Rules(tick_size=0.0, slippage_ticks=0.0, commission_per_side=0.0, point_value=1.0, eod_flat=False, max_scale_ins=1)
+    got = simulate(b.withColumns({"size": F.when(F.col("bar_id") == 2, 3).otherwise(0), "leave": F.when(F.col("bar_id") == 5, 1).otherwise(0)}), rules).collect()
+    # three contracts in at bar 3, out by the rule at bar 6; the signal of size zero is suppressed
+    assert [(r["quantity"], r["entry_price"], r["exit_price"], r["exit_reason"], r["net_pnl_usd"]) for r in got] == [(3, 102.0, 105.0, "rule", 9.0)]
+    more = b.withColumns({"atr_14": F.lit(1.0), "more": F.when(F.col("bar_id") == 4, 1).otherwise(0), "point_value": F.lit(10.0), "commission_per_side": F.lit(0.5)})
+    got = sorted(simulate(more, rules).collect(), key=lambda r: (r["entry_ts"], r["leg"]))
+    assert [r["entry_price"] for r in got if r["leg"] == 1] == [104.0] and got[0]["commission_usd"] == 1.0 and got[0]["pnl_usd"] == got[0]["pnl_points"] * 10
+
+
+def test_sweeps_record_what_fails(spark):
+    from tickloom.operators.walkforward import sweep, sweep_id, sweep_record
+
+    grid, failures = [{"a": 1}, {"a": 2}], []
+
+    def broken(f, k):
+        raise ValueError("no such knob")
+
+    assert sweep(frame(spark, walk(5)), grid, broken, Rules(), failures).count() == 0
+    rec = sweep_record(spark, grid, failures).collect()
+    assert [r["status"] for r in rec] == ["failed", "failed"] and rec[0]["error"] == "no such knob" and rec[0]["sweep_id"] == sweep_id(grid) != sweep_id(grid[:1])
+    with pytest.raises(ValueError):
+        sweep(frame(spark, walk(5)), grid, broken, Rules())

@@ -135,3 +135,24 @@ def test_positive_folds(spark):
     f = spark.createDataFrame([("a", float(x)) for x in (1, 1, 1, -1)] + [("b", -1.0)] * 3, "run_id string, calmar double")
     p = {r["run_id"]: r["p_value"] for r in registry.positive_folds(f, ["run_id"]).collect()}
     assert abs(p["a"] - 5 / 16) < 1e-12 and abs(p["b"] - 1) < 1e-12
+
+
+def test_what_the_classifier_rests_on(spark):
+    from datetime import timedelta
+
+    from tests.helpers import T0
+    from tickloom.operators import learn
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        x, y = float(rng.normal()), float(rng.normal())
+        rows.append((f"t{i}", T0 + timedelta(hours=i), T0 + timedelta(hours=i, minutes=5), 10.0 if x > 0.2 else -10.0, x, y))
+    t = spark.createDataFrame(rows, "trade_id string, entry_ts timestamp, exit_ts timestamp, net_pnl_usd double, x double, y double")
+    p = {r["trade_id"]: r["win_prob"] for r in learn.win_probabilities(t, ["x", "y"], folds=2, purge=100).collect()}
+    assert len(p) == 600 and np.mean([(p[r[0]] > 0.5) == (r[3] > 0) for r in rows if r[0] in p]) > 0.95
+    i = {r["feature"]: r["importance"] for r in learn.importance(t, ["x", "y"], folds=1, purge=100, repeats=3).collect()}
+    assert i["x"] > 0.3 and abs(i["y"]) < 0.05
+    d = sorted((r["value"], r["win_prob"]) for r in learn.partial_dependence(t, ["x", "y"]).collect() if r["feature"] == "x")
+    assert d[0][1] < 0.1 and d[-1][1] > 0.9
+    assert learn.importance(t.limit(0), ["x"]).count() == 0 and learn.partial_dependence(t.limit(0), ["x"]).count() == 0

@@ -148,6 +148,41 @@ def test_stream_positions_cross_batches(spark, tmp_path):
     assert [(r["exit_reason"], r["entry_price"], r["exit_price"]) for r in out] == [("target", 11.0, 14.2)]
 
 
+def test_registry_merge_diff_and_orphans(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("c", 1, None)], "run_id string, ts int, v string")
+    new = spark.createDataFrame([("b", 2, "z", 1), ("c", 0, None, 1), ("d", 1, "w", 1)], "run_id string, ts int, v string, extra int")
+    assert {r["run_id"]: (r["v"], r["extra"]) for r in registry.merge(old, new).collect()} == {"a": ("x", None), "b": ("z", 1), "c": (None, None), "d": ("w", 1)}
+    assert {tuple(r) for r in registry.diff(old, new, ["v"]).collect()} == {("a", "removed", None), ("b", "changed", "v"), ("d", "added", None)}
+    trials = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", None)], "run_id string, sweep_id string")
+    assert [r["run_id"] for r in registry.orphans(trials, trials.where("sweep_id = 's1'")).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_places_and_streaks_over_blocks(spark, block):
+    import random
+
+    from tickloom.operators.ranks import places
+
+    r = random.Random(block)
+    rows = [(r.choice("ab"), i, r.random() < 0.6) for i in range(200)] + [(None, 7, True), (None, 9, True)]
+    df = spark.createDataFrame(rows, "k string, i int, v boolean")
+    got = {(x["k"], x["i"]): (x["n"], x["t"]) for x in places(df, ["k"], ["i"], F.floor(F.col("i") / block), "n", "t").collect()}
+    for k in ("a", "b", None):
+        own = sorted(i for q, i, _ in rows if q == k)
+        assert [got[k, i] for i in own] == [(j + 1, len(own)) for j in range(len(own))]
+    s = sorted((x["k"], x["island"], x["value"], x["length"]) for x in islands.streaks(df.where("k is not null"), ["k"], ["i"], F.col("v"), F.floor(F.col("i") / block)).collect())
+    want = []
+    for k in "ab":
+        runs = []
+        for v in [v for q, _, v in rows if q == k]:
+            if runs and runs[-1][0] == v:
+                runs[-1][1] += 1
+            else:
+                runs.append([v, 1])
+        want += [(k, j + 1, v, n) for j, (v, n) in enumerate(runs)]
+    assert s == want
+
+
 def test_durable_and_barrier(spark):
     d = durable(spark.range(5).withColumn("x", F.col("id") * 2))
     assert d.count() == 5 and barrier(d).where("x > 4").count() == 2

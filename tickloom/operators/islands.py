@@ -30,13 +30,13 @@ def streaks(df: DataFrame, keys: list[str], order: list, what: Column, block: Co
     df = df.withColumns({"__v": what, "__b": block})
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
     df = islands(df, [*keys, "__b"], order, F.lag("__v").over(w).isNull() | (F.col("__v") != F.lag("__v").over(w)), "__i")
-    part = df.groupBy(*keys, "__b", "__i").agg(F.first("__v").alias("value"), F.count("*").alias("n"))
-    blocks = part.groupBy(*keys, "__b").agg(F.max("__i").alias("k"), F.min_by("value", "__i").alias("head"), F.max_by("value", "__i").alias("tail"))
-    goes_on = F.coalesce(F.lag("tail").over(Window.partitionBy(*keys).orderBy("__b")) == F.col("head"), F.lit(False)).cast("int")
-    blocks = blocks.withColumn("m", goes_on)
-    offset = F.coalesce(F.sum(F.col("k") - F.col("m")).over(before(keys)), F.lit(0)) - F.col("m")
-    blocks = blocks.select(*keys, "__b", offset.alias("o"))
-    return part.join(blocks, [*keys, "__b"]).groupBy(*keys, (F.col("__i") + F.col("o")).alias("island")).agg(F.first("value").alias("value"), F.sum("n").alias("length"))
+    part = df.groupBy(*keys, "__b", "__i").agg(F.first("__v").alias("__value"), F.count("*").alias("__n"))
+    blocks = part.groupBy(*keys, "__b").agg(F.max("__i").alias("__k"), F.min_by("__value", "__i").alias("__head"), F.max_by("__value", "__i").alias("__tail"))
+    goes_on = F.coalesce(F.lag("__tail").over(Window.partitionBy(*keys).orderBy("__b")) == F.col("__head"), F.lit(False)).cast("int")
+    blocks = blocks.withColumn("__m", goes_on)
+    offset = F.coalesce(F.sum(F.col("__k") - F.col("__m")).over(before(keys)), F.lit(0)) - F.col("__m")
+    part = part.join(blocks.select(*keys, "__b", offset.alias("__o")), [*keys, "__b"])
+    return part.groupBy(*keys, (F.col("__i") + F.col("__o")).alias("island")).agg(F.first("__value").alias("value"), F.sum("__n").alias("length"))
 
 
 def largest_gaps(df: DataFrame, keys: list[str], ts: str = "timestamp_utc", over_seconds: int = 60, k: int = 5) -> DataFrame:

@@ -216,6 +216,18 @@ def ml_win_probabilities(spark, folder):
     return p.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("win_prob"), 4).alias("mean"))
 
 
+def _ml_trades(spark, folder):
+    return trades_of(spark, folder).withColumns({"hour": F.col("entry_hour").cast("double"), "size": F.col("quantity").cast("double")})
+
+
+def ml_importance(spark, folder):
+    return learn.importance(_ml_trades(spark, folder), ["hour", "size", "mae_points"]).select("fold", "feature", *_r("importance", d=6))
+
+
+def ml_partial_dependence(spark, folder):
+    return learn.partial_dependence(_ml_trades(spark, folder), ["hour", "size", "mae_points"]).select("feature", "value", *_r("win_prob", d=6))
+
+
 def ml_clusters(spark, folder):
     t = trades_of(spark, folder).withColumns({"hour": F.col("entry_hour").cast("double"), "size": F.col("quantity").cast("double")})
     names = ["hour", "size", "mae_r", "mfe_r"]
