@@ -17,7 +17,7 @@ from tickloom.runtime import durable
 
 def _stages(features: list[str], trees: int) -> Pipeline:
     filled = [f"{f}__f" for f in features]
-    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=3, seed=42)])
+    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=3, seed=42)])
 
 
 def folds_of(trades: DataFrame, folds: int, purge: int) -> list[tuple[int, DataFrame, DataFrame]]:
