@@ -350,6 +350,10 @@ def oracle_sql() -> dict[str, str]:
             select case when rk <= 0.33 then 'vol_low' when rk <= 0.66 then 'vol_mid' when rk is not null then 'vol_high' else 'vol_unknown' end as vol_regime, case when adx <= 20 then 'trend_weak' when adx <= 40 then 'trend_mid' when adx is not null then 'trend_strong' else 'trend_unknown' end as trend_regime,
                 case when gap = 0 then 'event_day' when gap <= 1 then 'event_1d' when gap <= 5 then 'event_week' else 'event_far' end as event_regime, cast((day(day) - 1) // 7 + 1 as bigint) as week_of_month, count(*) as n, round(sum(net_pnl_usd), 4) as total from tx left join nb using (trade_id) left join ge using (trade_id) group by 1, 2, 3, 4""",
         "rs_hash_bootstrap": f"{runs}, i as (select run_id, net_pnl_usd, row_number() over (partition by run_id order by {O}) - 1 as i, count(*) over (partition by run_id) as m from d), s as (select run_id, m, i, s as sample from i cross join range(0, 1000) q(s)), k as (select *, ((1103515245::bigint * (sample * m + i + 42) + 12345) % 2147483648) % m as pick from s) select k.run_id, cast(k.sample as int) as sample, round(avg(i.net_pnl_usd), 8) as mean from k join i on k.run_id = i.run_id and k.pick = i.i group by 1, 2",
+        "stat_dfa": f"""with {B}, y as (select symbol, timestamp_utc, close - open as x, row_number() over (partition by symbol order by timestamp_utc) - 1 as i, count(*) over (partition by symbol) as n, avg(close - open) over (partition by symbol) as m from b), z as (select symbol, i, n, sum(x - m) over (partition by symbol order by timestamp_utc rows unbounded preceding) as z from y),
+            f as (select symbol, z, w, i // w as seg, cast(i % w as double) as t from (select *, unnest([16, 32, 64, 128, 256, 512]) as w from z) where w <= n // 2 and (i // w + 1) * w <= n), s as (select symbol, w, seg, regr_syy(z, t) - regr_sxy(z, t) * regr_sxy(z, t) / regr_sxx(z, t) as ss from f group by 1, 2, 3),
+            g as (select symbol, w, sqrt(avg(greatest(ss, 0) / w)) as f from s group by 1, 2), e as (select symbol, regr_slope(ln(f), ln(w)) as h, count(*) as windows from g where f > 0 group by 1)
+            select symbol, round(h, 5) as exponent, windows, case when h is null then 'INSUFFICIENT_DATA' when h < 0.4 then 'MEAN_REVERTING (strong)' when h < 0.45 then 'MEAN_REVERTING (weak)' when h <= 0.55 then 'RANDOM_WALK' when h < 0.6 then 'TRENDING (weak)' else 'TRENDING (strong)' end as label from e""",
         "stat_half_life": f"with {B}, l as (select symbol, lag(close) over (partition by symbol order by timestamp_utc) as p, close - lag(close) over (partition by symbol order by timestamp_utc) as d from b), m as (select symbol, d - avg(d) filter (p is not null) over (partition by symbol) as y, p - avg(p) over (partition by symbol) as x from l where p is not null), g as (select symbol, count(*) as n, sum(x * y) / sum(x * x) as beta, pow(sum(x * y), 2) / (sum(x * x) * sum(y * y)) as r2 from m group by 1), h as (select *, case when beta < -1e-10 then ln(2) / -beta end as hl from g) select symbol, n, round(beta, 4) as beta, round(r2, 4) as r_squared, round(hl, 4) as half_life, case when abs(beta) < 1e-10 then 'RANDOM_WALK' when beta >= 0 then 'TRENDING' else 'MEAN_REVERTING' end as kind, case when hl is null then 'TRENDING' when hl < 5 then 'TOO_FAST' when hl > 60 then 'TOO_SLOW' else 'TRADEABLE' end as label from h",
         "reg_trial_tiers": "with t as (select strategy_id, cast(exported_at at time zone 'UTC' as date) as ts, count(*) as n from trades group by 1, 2) select case when date '2024-10-01' - ts <= 180 then 'hot' when date '2024-10-01' - ts <= 730 then 'warm' else 'cold' end as tier, strftime(ts, '%Y-%m') as archive_month, cast(sum(n) as bigint) as n from t group by 1, 2",
         "reg_keep_runs": "with t as (select strategy_id, trade_id, case when quantity = 3 then 'validation' else 'exploration' end as mode, max(exported_at) as ts from trades group by all), r as (select *, row_number() over (partition by strategy_id order by ts desc, trade_id) as r from t) select strategy_id, count(*) as to_delete from r where r > 5 and mode <> 'validation' group by 1",
