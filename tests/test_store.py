@@ -187,3 +187,11 @@ def test_durable_and_barrier(spark):
     d = durable(spark.range(5).withColumn("x", F.col("id") * 2))
     assert d.count() == 5 and barrier(d).where("x > 4").count() == 2
     assert spark.createDataFrame([], BARS).count() == 0
+
+
+def test_values_at_a_bars_open(spark):
+    times = [0.2, 0.7, 3, 14, 16.5, 17, 45.1, 61]
+    rows = spark.createDataFrame([("S", at(m), float(i)) for i, m in enumerate(times)], "symbol string, timestamp_utc timestamp, v double")
+    got = {r["timestamp_utc"].minute + 60 * r["timestamp_utc"].hour - 840: r["v"] for r in features.at_open(rows, 15, ["v"]).collect()}
+    # the last of the first minute; the bar before's last where the first minute is empty
+    assert got == {0: 1.0, 15: 3.0, 45: 6.0, 60: 6.0}

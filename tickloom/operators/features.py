@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
@@ -49,6 +49,18 @@ def _apply(df: DataFrame, features: list[dict]) -> DataFrame:
     return df
 
 
+def at_open(rows: DataFrame, minutes: int, names: list[str]) -> DataFrame:
+    """(symbol, timestamp_utc, names): the values at each bar's open, of the last base bar whose minute has begun by then.
+
+    That is one of the bar's first minute, or else the last of the bar before: an aggregate per bar and a look back, no join with the rows.
+    """
+    value, first = F.struct(*names), F.floor(F.unix_seconds("timestamp_utc") / 60) * 60 == F.unix_seconds("__s")
+    b = rows.withColumn("__s", resample.bucket(F.col("timestamp_utc"), minutes))
+    per = b.groupBy("symbol", "__s").agg(F.max_by(value, F.when(first, F.col("timestamp_utc"))).alias("__at"), F.max_by(value, "timestamp_utc").alias("__last"))
+    per = per.withColumn("__v", F.coalesce("__at", F.lag("__last").over(Window.partitionBy("symbol").orderBy("__s"))))
+    return per.select("symbol", F.col("__s").alias("timestamp_utc"), "__v.*")
+
+
 def build(base: DataFrame, minutes: int, spec: dict, known: dict[str, dict] | None = None) -> DataFrame:
     """Features of all symbols at once. VWAPs run on the base bars and are taken at each bar's open; daily values are of the day before."""
     spec = resolve(spec, known or {"base-v1": BASE_V1, "base-v2": BASE_V2})
@@ -56,9 +68,7 @@ def build(base: DataFrame, minutes: int, spec: dict, known: dict[str, dict] | No
     if any(f["kind"] == "vwap" for f in spec["features"]):
         v = ind.vwaps(base)
         names = ["vwap_session", "vwap_session_band_1_0", "vwap_session_band_2_0", "vwap_weekly", "vwap_monthly"]
-        at = F.timestamp_seconds(F.floor(F.unix_seconds("timestamp_utc") / 60) * 60)
-        v = v.select("symbol", at.alias("timestamp_utc"), *names)
-        bars = asof.asof_backward(bars, v, ["symbol"], names, block_us=asof.MONTH_US)
+        bars = bars.join(at_open(v, minutes, names), ["symbol", "timestamp_utc"], "left")
     if spec["daily"]:
         d = _apply(resample.resample_daily(base), spec["daily"])
         made = [c for c in d.columns if c not in ("symbol", "trade_date", "timeframe", "timestamp_utc", "open", "high", "low", "close", "volume", "buy_volume", "sell_volume", "up_ticks", "down_ticks", "total_ticks")]
