@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.grid import trade_date
 from tickloom.operators.islands import minute_runs
+from tickloom.operators.resample import bucket
+from tickloom.schema import USABLE
 
 CHICAGO, NEW_YORK = "America/Chicago", "America/New_York"
 
@@ -15,17 +18,28 @@ def minute_of_day(ts: Column, zone: str) -> Column:
     return F.hour(local) * 60 + F.minute(local)
 
 
+BAD = ["duplicates", "negative_volume", "high_below_low", "high_below_open", "high_below_close", "low_above_open", "low_above_close", "null_close"]
+
+
+def _row_counts() -> list[Column]:
+    col = F.col
+    return [
+        F.count("*").alias("rows"), F.count_if(col("volume") < 0).alias("negative_volume"), F.count_if(col("high") < col("low")).alias("high_below_low"),
+        F.count_if(col("high") < col("open")).alias("high_below_open"), F.count_if(col("high") < col("close")).alias("high_below_close"), F.count_if(col("low") > col("open")).alias("low_above_open"),
+        F.count_if(col("low") > col("close")).alias("low_above_close"), F.count_if(col("close").isNull()).alias("null_close"), F.count("buy_volume").alias("with_flow"),
+    ]
+
+
+def _judged(counts: DataFrame, *others: str) -> DataFrame:
+    """Row counts per symbol with its number of instants to duplicates, order-flow coverage and verdict."""
+    col = F.col
+    out = counts.withColumn("duplicates", col("rows") - col("instants")).withColumn("order_flow_pct", F.round(100 * col("with_flow") / col("rows"), 2))
+    return out.withColumn("passed", sum((col(b) for b in BAD[1:]), col(BAD[0])) == 0).select("symbol", "rows", *BAD, "order_flow_pct", "passed", *others)
+
+
 def row_checks(bars: DataFrame) -> DataFrame:
     """One row per symbol: rows, duplicate instants, negative volumes, inversions, nulls, order-flow coverage, verdict. One pass."""
-    col = F.col
-    out = bars.groupBy("symbol").agg(
-        F.count("*").alias("rows"), (F.count("*") - F.count_distinct("timestamp_utc")).alias("duplicates"), F.count_if(col("volume") < 0).alias("negative_volume"),
-        F.count_if(col("high") < col("low")).alias("high_below_low"), F.count_if(col("high") < col("open")).alias("high_below_open"), F.count_if(col("high") < col("close")).alias("high_below_close"),
-        F.count_if(col("low") > col("open")).alias("low_above_open"), F.count_if(col("low") > col("close")).alias("low_above_close"), F.count_if(col("close").isNull()).alias("null_close"),
-        F.round(100 * F.count(col("buy_volume")) / F.count("*"), 2).alias("order_flow_pct"),
-    )
-    bad = ["duplicates", "negative_volume", "high_below_low", "high_below_open", "high_below_close", "low_above_open", "low_above_close", "null_close"]
-    return out.withColumn("passed", sum((col(b) for b in bad[1:]), col(bad[0])) == 0)
+    return _judged(bars.groupBy("symbol").agg(*_row_counts(), F.count_distinct("timestamp_utc").alias("instants")))
 
 
 def expected_minutes(sessions: DataFrame, minutes: int = 1) -> DataFrame:
@@ -43,17 +57,23 @@ def unexpected_minutes(bars: DataFrame, sessions: DataFrame, minutes: int = 1) -
     return bars.select("symbol", "timestamp_utc").distinct().join(expected_minutes(sessions, minutes), ["symbol", "timestamp_utc"], "left_anti")
 
 
-def classify_gaps(missing: DataFrame, *, minutes: int = 1, rth_open: int = 8 * 60 + 20, rth_close: int = 15 * 60, minor: int = 5, overnight: int = 60, maintenance: int = 30) -> DataFrame:
-    """Runs of missing instants as minor, maintenance (starting 17:00-17:30 Chicago), overnight or large."""
-    runs = minute_runs(missing, ["symbol"], minutes=minutes).withColumnRenamed("n", "bars_missing")
-    ct, et = minute_of_day(F.col("run_start"), CHICAGO), minute_of_day(F.col("run_start"), NEW_YORK)
+def gap_kind(start: Column, n: Column, *, rth_open: int = 8 * 60 + 20, rth_close: int = 15 * 60, minor: int = 5, overnight: int = 60, maintenance: int = 30) -> tuple[Column, Column]:
+    """(in_rth, kind) of a run of n missing instants: minor, maintenance (starting 17:00-17:30 Chicago), overnight or large."""
+    ct, et = minute_of_day(start, CHICAGO), minute_of_day(start, NEW_YORK)
     in_rth = et.between(rth_open, rth_close)
     kind = (
-        F.when(F.col("bars_missing") <= minor, "minor")
-        .when((F.col("bars_missing") <= maintenance) & (ct >= 17 * 60) & (ct < 17 * 60 + 30), "maintenance")
-        .when(~in_rth & (F.col("bars_missing") <= overnight), "overnight")
+        F.when(n <= minor, "minor")
+        .when((n <= maintenance) & (ct >= 17 * 60) & (ct < 17 * 60 + 30), "maintenance")
+        .when(~in_rth & (n <= overnight), "overnight")
         .otherwise("large")
     )
+    return in_rth, kind
+
+
+def classify_gaps(missing: DataFrame, *, minutes: int = 1, **limits: int) -> DataFrame:
+    """Runs of missing instants with their ``gap_kind``, of which ``limits`` are the parameters."""
+    runs = minute_runs(missing, ["symbol"], minutes=minutes).withColumnRenamed("n", "bars_missing")
+    in_rth, kind = gap_kind(F.col("run_start"), F.col("bars_missing"), **limits)
     return runs.withColumns({"in_rth": in_rth, "kind": kind})
 
 
@@ -66,12 +86,48 @@ def session_coverage(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessions.join(hit, ["symbol", "session_open"], "left").fillna(0, ["bars"])
 
 
-def report(checks: DataFrame, parts: list[DataFrame], counts: list[str]) -> DataFrame:
-    """Row checks with further counts per symbol, absent ones zero; a symbol passes without large gaps in regular hours and empty sessions."""
-    for part in parts:
-        checks = checks.join(part, "symbol", "left")
-    checks = checks.fillna(0, counts)
-    return checks.withColumn("passed", F.col("passed") & (F.col("large_gaps_rth") == 0) & (F.col("empty_sessions") == 0))
+def _days(bars: DataFrame, frames: dict[str, int]) -> DataFrame:
+    """One row per symbol and trade date of the delivered bars: instants, the first usable one, usable bars without an instant, and the periods that have bars, by timeframe.
+
+    Of the usable bars of an instant the one with the least bar_id counts; one without bar_id comes last. One shuffle by symbol and trade date.
+    """
+    col = F.col
+    b = bars.select("symbol", trade_date(col("timestamp_utc")).alias("trade_date"), "timestamp_utc", F.when(F.expr(USABLE), F.struct(col("bar_id").isNull().alias("last"), "bar_id", "timeframe")).alias("__bar"))
+    b = b.repartition("symbol", "trade_date").groupBy("symbol", "trade_date", "timestamp_utc").agg(F.min("__bar").alias("__bar"))
+    tf, ts = col("__bar.timeframe"), col("timestamp_utc")
+    slots = [F.collect_set(F.when(tf == f, F.unix_seconds(bucket(ts, m)))).alias(f"slots_{f}") for f, m in frames.items()]
+    return b.groupBy("symbol", "trade_date").agg(F.count(ts).alias("instants"), F.min(F.when(col("__bar").isNotNull(), F.unix_seconds(ts))).alias("first"), F.count_if(ts.isNull() & tf.isin(*frames)).alias("undated"), *slots)
+
+
+def report(bars: DataFrame, sessions: DataFrame, frames: dict[str, int]) -> DataFrame:
+    """Per symbol the row checks of the delivered bars, missing and unexpected periods, large gaps, empty sessions, and the verdict: no bad rows, no large gaps in regular hours, no empty sessions.
+
+    ``sessions`` (symbol, timeframe, trade_date, session_open, session_close) is the calendar of every series, ``frames`` has the minutes of the timeframes
+    that are held against it period by period. Sessions are apart, so runs of missing periods end with them: they are the differences between the periods
+    found on a trade date. The periods of the calendar are counted and never listed, and nothing is broadcast.
+    """
+    col, o, c = F.col, F.col("__open"), F.col("__close")
+    cal = sessions.groupBy("symbol", "trade_date").agg(F.min(F.unix_seconds("session_open")).alias("__open"), F.min(F.unix_seconds("session_close")).alias("__close"), *[F.max(F.coalesce(col("timeframe") == f, F.lit(False))).alias(f"on_{f}") for f in frames])
+    d = cal.join(_days(bars, frames), ["symbol", "trade_date"], "full_outer")
+    counts = {"instants": col("instants"), "missing_periods": F.lit(0), "unexpected_periods": col("undated"), "large_gaps": F.lit(0), "large_gaps_rth": F.lit(0)}
+    for f, minutes in frames.items():
+        step, on, slots, hit, large = 60 * minutes, F.coalesce(f"on_{f}", F.lit(False)), col(f"slots_{f}"), col(f"hit_{f}"), col(f"large_{f}")
+        n = F.ceil((c - o) / step)
+        gaps = F.zip_with(F.concat(F.array(o - step), hit), F.concat(hit, F.array(o + n * step)), lambda a, b: F.struct((a + step).alias("start"), (F.floor((b - a) / step) - 1).alias("n")))  # noqa: B023
+        kinds = lambda g: gap_kind(F.timestamp_seconds(g["start"]), g["n"])
+        d = d.withColumn(f"slots_{f}", F.coalesce(slots, F.array().cast("array<bigint>")))
+        d = d.withColumn(f"hit_{f}", F.when(on, F.sort_array(F.filter(slots, lambda s: (s >= o) & (s < c) & ((s - o) % step == 0)))).otherwise(F.array().cast("array<bigint>")))  # noqa: B023
+        d = d.withColumn(f"large_{f}", F.when(on, F.filter(gaps, lambda g: kinds(g)[1] == "large")))  # noqa: B023
+        counts["missing_periods"] += F.when(on, n - F.size(hit)).otherwise(0)
+        counts["unexpected_periods"] = F.coalesce(counts["unexpected_periods"], F.lit(0)) + F.size(slots) - F.size(hit)
+        counts["large_gaps"] += F.when(on, F.size(large)).otherwise(0)
+        counts["large_gaps_rth"] += F.when(on, F.size(F.filter(large, lambda g: kinds(g)[0]))).otherwise(0)  # noqa: B023
+    counts["unexpected_periods"] = F.when(col("symbol").isNotNull(), counts["unexpected_periods"])
+    counts["empty_sessions"] = (o.isNotNull() & ~F.coalesce((col("first") >= o) & (col("first") < c), F.lit(False))).cast("int")
+    both = bars.groupBy("symbol").agg(*_row_counts()).unionByName(d.select("symbol", *[v.alias(k) for k, v in counts.items()]), allowMissingColumns=True)
+    sums = both.groupBy("symbol").agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in both.columns[1:]])
+    out = _judged(sums, *[k for k in counts if k != "instants"])
+    return out.withColumn("passed", col("passed") & (col("large_gaps_rth") == 0) & (col("empty_sessions") == 0))
 
 
 def removed_share(bars: DataFrame) -> DataFrame:

@@ -334,13 +334,8 @@ def dq_missing_sessions(spark, folder):
 
 def dq_report(spark, folder):
     """The validation report: per symbol the row checks, missing and unexpected periods, large gaps, empty sessions, and the verdict."""
-    checks = dq_row_checks(spark, folder)
-    missing = dq_missing_minutes(spark, folder).groupBy("symbol").agg(F.count("*").alias("missing_periods"))
-    sessions = _sessions(spark, folder)
-    extra = _by_frame(lambda tf, m: quality.unexpected_minutes(_slots(spark, folder, tf), sessions.where(F.col("timeframe") == tf), m)).groupBy("symbol").agg(F.count("*").alias("unexpected_periods"))
-    large = dq_gap_classes(spark, folder).where("kind = 'large'").groupBy("symbol").agg(F.count("*").alias("large_gaps"), F.count_if("in_rth").alias("large_gaps_rth"))
-    empty = dq_missing_sessions(spark, folder).groupBy("symbol").agg(F.count("*").alias("empty_sessions"))
-    return quality.report(checks, [missing, extra, large, empty], ["missing_periods", "unexpected_periods", "large_gaps", "large_gaps_rth", "empty_sessions"])
+    b = table(spark, folder, "bars").withColumn("symbol", F.col("contract"))
+    return quality.report(b, _sessions(spark, folder), FRAMES)
 
 
 def dq_minute_runs(spark, folder):

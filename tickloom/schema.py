@@ -29,6 +29,7 @@ def keep_one(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 #: Why a delivered bar is no bar: it lacks its close, a price or volume contradicts what such a number is. The first that holds.
 REASONS = [("null_close", "close is null"), ("crossed", "high is null or low is null or high < low"), ("no_volume", "volume is null or volume < 0")]
+USABLE = " and ".join(f"not coalesce({c}, false)" for _, c in REASONS)
 
 
 def left_out(bars: DataFrame) -> DataFrame:
@@ -44,8 +45,7 @@ def clean_bars(bars: DataFrame) -> DataFrame:
 
     However large or negative a price, it stays; what is false for its contract is found by ``spikes.false_readings``. ``left_out`` says what is dropped.
     """
-    ok = " and ".join(f"not coalesce({c}, false)" for _, c in REASONS)
-    return keep_one(bars.where(ok), ["contract", "timestamp_utc"], "bar_id").select(F.col("contract").alias("symbol"), "timeframe", "timestamp_utc", "open", "high", "low", "close", "volume", *ORDER_FLOW)
+    return keep_one(bars.where(USABLE), ["contract", "timestamp_utc"], "bar_id").select(F.col("contract").alias("symbol"), "timeframe", "timestamp_utc", "open", "high", "low", "close", "volume", *ORDER_FLOW)
 
 
 def clean_trades(trades: DataFrame) -> DataFrame:
